@@ -1,6 +1,6 @@
 """The queries of the training-data operators, each over its whole table, and SQL for those that SQL can express."""
 
-from voxloom.llm import exact_dedup, mixing
+from voxloom.llm import exact_dedup, mixing, packing, quality, secrets, sharding
 
-QUERIES = {"op10_exact_dedup": exact_dedup.op10_exact_dedup, "op2_mixing": mixing.op2_mixing}
-SQL = exact_dedup.SQL | mixing.SQL
+QUERIES = {"op10_exact_dedup": exact_dedup.op10_exact_dedup, "op2_mixing": mixing.op2_mixing, "op4_packing": packing.op4_packing, "op5_quality_rules": quality.op5_quality_rules, "op9_secrets": secrets.op9_secrets, "op6_sharding": sharding.op6_sharding}
+SQL = exact_dedup.SQL | mixing.SQL | quality.SQL
