@@ -1,6 +1,15 @@
 """The queries of the training-data operators, each over its whole table, and SQL for those that SQL can express."""
 
-from voxloom.llm import exact_dedup, mixing, packing, quality, secrets, sharding
+from voxloom.llm import exact_dedup, mixing, neardup, packing, quality, secrets, sharding, warc
 
-QUERIES = {"op10_exact_dedup": exact_dedup.op10_exact_dedup, "op2_mixing": mixing.op2_mixing, "op4_packing": packing.op4_packing, "op5_quality_rules": quality.op5_quality_rules, "op9_secrets": secrets.op9_secrets, "op6_sharding": sharding.op6_sharding}
-SQL = exact_dedup.SQL | mixing.SQL | quality.SQL
+QUERIES = {
+    "op1_near_dedup": neardup.op1_near_dedup,
+    "op2_mixing": mixing.op2_mixing,
+    "op3_warc": warc.op3_warc,
+    "op4_packing": packing.op4_packing,
+    "op5_quality_rules": quality.op5_quality_rules,
+    "op6_sharding": sharding.op6_sharding,
+    "op9_secrets": secrets.op9_secrets,
+    "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+}
+SQL = neardup.SQL | mixing.SQL | warc.SQL | quality.SQL | exact_dedup.SQL
