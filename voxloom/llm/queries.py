@@ -1,6 +1,6 @@
 """The queries of the training-data operators, each over its whole table, and SQL for those that SQL can express."""
 
-from voxloom.llm import exact_dedup, mixing, neardup, packing, quality, secrets, sharding, warc
+from voxloom.llm import exact_dedup, lmscore, mixing, neardup, packing, pii, quality, secrets, sharding, warc
 
 QUERIES = {
     "op1_near_dedup": neardup.op1_near_dedup,
@@ -9,6 +9,8 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_sharding": sharding.op6_sharding,
+    "op7_lm_scoring": lmscore.op7_lm_scoring,
+    "op8_pii": pii.op8_pii,
     "op9_secrets": secrets.op9_secrets,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
