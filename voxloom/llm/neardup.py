@@ -4,12 +4,12 @@ A document is the set of its distinct word shingles, each as 64 bits. SuperMinHa
 permutation of the slots, read one rank at a time; slot values of one shingle are correlated, which lowers the variance,
 and a document stops as soon as no further rank can lower any slot, so long documents read few ranks.
 
-Documents with equal sets are one class from the start. Classes that share a band meet in a bucket, and a
-bucket finds its links exactly: a member is compared with all others at once on the full sets, unless it is already
-linked to most of them. Buckets above a size bound are cut into blocks. Every block first holds its own members and the
-bucket's leader; then members outside the bucket's largest component visit every block, in parts of bounded size. No
-pair of members is ever a row: blocks give only the links of a spanning forest. A few bands go first, since buckets
-whose members they have linked already need no more work.
+Documents with equal sets are one class from the start. Classes that share a band meet in a bucket; buckets connect
+families, and a family finds its links exactly: a member is compared with all others at once on the full sets, unless it
+is already linked to most of them. Families above a size bound are cut into blocks. Every block first holds its own
+members and the family's leader; then members outside the family's largest component visit every block, in parts of bounded
+size. A family of very many blocks is compared bucket by bucket in the same way. No pair of members is ever a
+row: blocks give only the links of a spanning forest.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -159,62 +158,68 @@ def local_links(sets: list[np.ndarray], group: np.ndarray, ask: np.ndarray, perc
                 group[group == group[b]] = group[a]
 
 
-def _block(words: int, percent: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        shingle = Shingler(words)
-        frame = frame.groupby(["id", "name"], as_index=False).agg(text=("text", list), component=("component", "first"), ask=("ask", "max"))
-        sets, keep = [], []
-        for texts, name in zip(frame["text"], frame["name"], strict=True):
-            found = next((s for s in map(shingle, texts) if set_name(s) == name), None)  # an identifier may have several texts
-            keep.append(found is not None)
-            sets += [found] if found is not None else []
-        frame = frame[keep]
-        ids = frame["id"].to_numpy()
-        links = local_links(sets, frame["component"].to_numpy(), frame["ask"].to_numpy(), percent) if sets else []
-        return pd.DataFrame({"a": [ids[a] for a, _ in links], "b": [ids[b] for _, b in links]}, dtype="int64")
-
-    return run
+def _visit(words: int, percent: int):
+    """Links among the rows of each (unit, block, part); rows arrive sorted by these, and one group is held at a time."""
+
+    def links(rows: list[tuple], shingle: Shingler) -> list[tuple[int, int]]:
+        sets: dict[tuple, list] = {}
+        for i, name, component, ask, text in rows:
+            if (i, name) in sets:
+                sets[i, name][2] |= ask
+            else:
+                values = shingle(text)
+                if set_name(values) == name:  # an identifier may have several texts
+                    sets[i, name] = [values, component, ask]
+        if len(sets) < 2:
+            return []
+        ids = [i for i, _ in sets]
+        values, group, ask = zip(*sets.values(), strict=True)
+        return [(ids[a], ids[b]) for a, b in local_links(list(values), np.array(group), np.array(ask), percent)]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, at, held, out = Shingler(words), None, [], []
+        for batch in batches:
+            for unit, block, part, *row in zip(*(batch.column(c).to_pylist() for c in ("unit", "block", "part", "id", "name", "component", "ask", "text")), strict=True):
+                if (unit, block, part) != at:
+                    out += links(held, shingle)
+                    at, held = (unit, block, part), []
+                held.append(tuple(row))
+            if len(out) > 1000:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                out = []
+        out += links(held, shingle)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-def _buckets(placed: DataFrame, block_shingles: int) -> tuple[DataFrame, DataFrame]:
-    """Buckets whose classes are of two or more components, those with the same members once, and the rows in them."""
-    buckets = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("leader"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("name").cast("decimal(38,0)")).alias("who"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    buckets = buckets.where("lo < hi").groupBy("size", "leader", "shingles", "who").agg(F.min("bucket").alias("bucket"))
-    buckets = materialize(buckets.select("bucket", "leader", F.ceil(F.col("shingles") / block_shingles).cast("int").alias("blocks")), "buckets")
-    return buckets, placed.join(buckets, "bucket")
+    return run
 
 
 def _own(salt: str, blocks: str) -> Column:
-    return F.pmod(F.xxhash64("name", "bucket", F.lit(salt)), F.col(blocks).cast("long")).cast("int")
+    return F.pmod(F.xxhash64("name", "unit", F.lit(salt)), F.col(blocks).cast("long")).cast("int")
 
 
 def _every(blocks: str) -> Column:
     return F.sequence(F.lit(0), F.col(blocks) - 1)
 
 
-def _small_visits(placed: DataFrame, block_shingles: int) -> DataFrame:
-    """Every member visits its own block of its bucket, and the bucket's leader visits all; everyone asks."""
-    _, rows = _buckets(placed, block_shingles)
+def _first_visits(units: DataFrame) -> DataFrame:
+    """Every member visits its own block of its unit, and the unit's leader visits all; everyone asks."""
     block = F.explode(F.when(F.col("id") == F.col("leader"), _every("blocks")).otherwise(F.array(_own("block", "blocks"))))
-    return rows.select("bucket", block.alias("block"), F.lit(0).alias("part"), "id", "name", "component", F.lit(True).alias("ask"))
+    return units.select("unit", block.alias("block"), F.lit(0).alias("part"), "id", "name", F.col("id").alias("component"), F.lit(True).alias("ask"))
 
 
-def _grid_visits(placed: DataFrame, block_shingles: int) -> DataFrame | None:
-    """For buckets of several blocks: members outside the largest component ask, in parts of bounded size, in every block."""
-    buckets, rows = _buckets(placed, block_shingles)
-    if not buckets.where("blocks > 1").limit(1).count():
-        return None
-    rows = rows.where("blocks > 1")
-    main = rows.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    rows = rows.join(main, "bucket").withColumn("ask", F.col("component") != F.col("main"))
-    parts = rows.where("ask").groupBy("bucket").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("parts"))
-    rows = rows.join(parts, "bucket")
-    told = rows.select("bucket", _own("block", "blocks").alias("block"), F.explode(_every("parts")).alias("part"), "id", "name", "component", F.lit(False).alias("ask"))
-    asks = rows.where("ask").select("bucket", F.explode(_every("blocks")).alias("block"), _own("part", "parts").alias("part"), "id", "name", "component", F.lit(True).alias("ask"))
-    return told.unionByName(asks)
+def _grid_visits(units: DataFrame, reached: DataFrame, block_shingles: int) -> DataFrame:
+    """In units of several blocks, members outside the largest component ask in every block, in parts of bounded size."""
+    rows = units.join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = rows.groupBy("unit", "component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    asked = sizes.groupBy("unit").agg(F.max_by("component", F.struct("members", "component")).alias("main"), (F.sum("shingles") - F.max_by("shingles", F.struct("members", "component"))).alias("asked"))
+    rows = rows.join(asked.where("asked > 0").select("unit", "main", F.ceil(F.col("asked") / block_shingles).cast("int").alias("parts")), "unit")
+    ask = F.col("component") != F.col("main")
+    asks = F.transform(F.when(ask, _every("blocks")).otherwise(F.array().cast("array<int>")), lambda b: F.struct(b.alias("block"), _own("part", "parts").alias("part"), F.lit(True).alias("ask")))
+    told = F.transform(_every("parts"), lambda p: F.struct(_own("block", "blocks").alias("block"), p.alias("part"), F.lit(False).alias("ask")))
+    return rows.select("unit", "id", "name", "component", F.inline(F.concat(told, asks))).select("unit", "block", "part", "id", "name", "component", "ask")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 50, rows: int = 6, first_bands: int = 4, block_shingles: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 50, rows: int = 6, block_shingles: int = 1 << 16, family_blocks: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id_col, n_shingles, component_id, kept``.
 
     Texts are whole; A-Z count as lower case; words are runs without ASCII white space. A text with fewer than ``words``
@@ -233,20 +238,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     classes = signed.where("name IS NOT NULL AND id IS NOT NULL").groupBy("name").agg(F.min(F.struct("id", "n", "keys")).alias("x"))
     classes = materialize(classes.select("name", F.col("x.id").alias("id"), F.col("x.n").alias("n"), F.col("x.keys").alias("keys")), "classes")
 
-    bodies = texts.where("id IS NOT NULL")
-    edges, reached = None, classes.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
-    for low, high in ((0, first_bands), (first_bands, bands)):
-        for visits in (_small_visits, _grid_visits):
-            # The second kind of visit is for buckets of several blocks; it needs what the first has linked.
-            keys = classes.select("id", "name", "n", F.explode(F.slice("keys", low + 1, high - low)).alias("bucket"))
-            placed = keys.join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-            found = visits(placed, block_shingles)
-            if found is None:
-                continue
-            joined = found.join(bodies, "id")
-            more = materialize(joined.groupBy("bucket", "block", "part").applyInPandas(_block(words, percent), "a long, b long"), "edges")
-            edges = more if edges is None else edges.unionByName(more)
-            reached = components(edges)
+    # Buckets of two or more classes, and the families that they connect.
+    keys = classes.select("id", F.explode("keys").alias("bucket"))
+    leaders = keys.groupBy("bucket").agg(F.count("*").alias("members"), F.min("id").alias("leader")).where("members > 1").select("bucket", "leader")
+    meets = materialize(keys.join(leaders, "bucket").select("bucket", "leader", "id"), "meets")
+    families = components(meets.select(F.col("leader").alias("a"), F.col("id").alias("b")))
+    families = families.unionByName(families.select(F.col("component").alias("node"), "component").distinct())
+    inside = classes.select("id", "name", "n").join(families.select(F.col("node").alias("id"), F.col("component").alias("unit")), "id")
+    units = materialize(_sized(inside, block_shingles), "units")
+    if units.where(F.col("blocks") > family_blocks).limit(1).count():
+        # A family too large to compare as a whole is compared bucket by bucket.
+        large = units.where(F.col("blocks") > family_blocks).select("id", "name", "n")
+        units = units.where(F.col("blocks") <= family_blocks).unionByName(_sized(large.join(meets.select("id", F.col("bucket").alias("unit")), "id"), block_shingles))
+
+    def links(visits: DataFrame) -> DataFrame:
+        order = ["unit", "block", "part"]
+        dealt = visits.join(texts.where("id IS NOT NULL"), "id").repartition(*order).sortWithinPartitions(*order)
+        return materialize(dealt.mapInArrow(_visit(words, percent), "a long, b long"), "edges")
+
+    edges = links(_first_visits(units))
+    reached = components(edges)
+    if units.where("blocks > 1").limit(1).count():
+        edges = edges.unionByName(links(_grid_visits(units.where("blocks > 1"), reached, block_shingles)))
+        reached = components(edges)
 
     named = classes.select("name", "id").join(reached.withColumnRenamed("node", "id"), "id", "left").select("name", F.coalesce("component", "id").alias("component"))
     out = signed.select("id", "n", "name").join(named, "name", "left")
@@ -254,6 +268,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def _sized(rows: DataFrame, block_shingles: int) -> DataFrame:
+    """``rows(id, name, n, unit)`` with each unit's leader and number of blocks."""
+    sizes = rows.groupBy("unit").agg(F.min("id").alias("leader"), F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
+    return rows.select("unit", "id", "name", "n").join(sizes, "unit")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that :func:`near_duplicates` keeps, one document of each group, every column kept whatever its name.
 
