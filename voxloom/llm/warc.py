@@ -64,7 +64,7 @@ def _write(folder: str, roll_bytes: int, date: str, level: int):
         context = TaskContext.get()
         shard, attempt = context.partitionId(), context.taskAttemptId()
         out = at = None
-        number, seen, seen_id, copies = 0, set(), None, 0
+        number, seen, seen_id, copies, mark = 0, set(), None, 0, ()
         stats: list = []
 
         def close() -> pa.RecordBatch:
@@ -79,11 +79,15 @@ def _write(folder: str, roll_bytes: int, date: str, level: int):
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((final, n, size, digest.hexdigest(), first, last), _MANIFEST, strict=True)], schema=_MANIFEST)
 
         for batch in batches:
-            for i, url, payload, refers in zip(*(batch.column(c).to_pylist() for c in ("id", "url", "payload", "refers_to")), strict=True):
+            for i, sha, kind, url, payload, best in zip(*(batch.column(c).to_pylist() for c in ("id", "sha", "kind", "url", "payload", "best")), strict=True):
+                if kind == 0:
+                    mark = (i, sha, best)
+                    continue
+                refers = mark[2] if mark[:2] == (i, sha) else None
                 if i != seen_id or not seen:
                     seen, seen_id, copies = set(), i, 0
                 digest = hashlib.sha1(payload).digest()
-                again = refers is None and digest in seen  # a repeated row: the first is the response
+                again = refers is None and i is not None and digest in seen  # a repeated row: the first is the response
                 copies += again
                 seen.add(digest)
                 refers = i if again else refers
@@ -115,10 +119,12 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     fs.create_dir(root, recursive=True)
     rows = pages.select(pages[id_col].cast("long").alias("id"), pages[url_col].cast("string").alias("url"), F.coalesce(pages[payload_col], F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha", F.sha2("payload", 256))
-    best = rows.groupBy("sha").agg(F.max("id").alias("best"), F.count("*").alias("n")).where("n > 1").select("sha", "best")
-    refers = F.when((F.octet_length("payload") >= least) & ~F.col("id").eqNullSafe(F.col("best")), F.col("best"))
-    marked = rows.join(best, "sha", "left").select("id", "url", "payload", "sha", refers.alias("refers_to"))
-    ranged = marked.repartitionByRange("id", "sha").sortWithinPartitions("id", "sha").select("id", "url", "payload", "refers_to")
+    slim = rows.where(F.octet_length("payload") >= least).select("id", "sha")
+    best = slim.groupBy("sha").agg(F.max("id").alias("best"), F.count("*").alias("n")).where("n > 1 AND best IS NOT NULL").select("sha", "best")
+    # A narrow mark sorts right before the rows it makes revisits, so that payloads are shuffled once.
+    marks = slim.join(best, "sha").where(~F.col("id").eqNullSafe(F.col("best"))).select("id", "sha", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "best").distinct()
+    both = rows.select("id", "sha", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("best")).unionByName(marks)
+    ranged = both.repartitionByRange("id", "sha").sortWithinPartitions("id", "sha", "kind")
     ranged.mapInArrow(_write(folder, roll_bytes, date, level), "file string, records long, bytes long, sha256 string, first_id long, last_id long").write.parquet(f"{folder}/_manifest")
     return pages.sparkSession.read.parquet(f"{folder}/_manifest")
 
