@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
+from voxloom.functions.tables import numbered
+
 
 def path_to_uid(path: Column, prefix: str = "amos_", suffix: str = ".nii.gz") -> Column:
     """File name without prefix and suffix, wherever in it they are."""
@@ -76,16 +78,14 @@ def split_by_group(rows: DataFrame, group: str, order: str) -> DataFrame:
 
 
 def split_by_ratio(rows: DataFrame, order: str, ratio: float = 0.1) -> DataFrame:
-    """The first int(ratio * n) rows stay ``valid``, the others become ``test``. Rows are headers: one per scan."""
-    placed = rows.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1)
-    n = rows.agg(F.count("*").alias("_n"))
-    return placed.join(F.broadcast(n)).withColumn("split", F.when(F.col("_i") < F.floor(F.col("_n") * ratio), "valid").otherwise("test")).drop("_i", "_n")
+    """The first int(ratio * n) rows stay ``valid``, the others become ``test``."""
+    return numbered(rows, order).withColumn("split", F.when(F.col("_i") < F.floor(F.col("_n") * ratio), "valid").otherwise("test")).drop("_i", "_n")
 
 
 def split_by_count(rows: DataFrame, order: str, train: int, test: int) -> DataFrame:
     """Of sorted rows the first ``train``, the last ``test``, and what is between as ``valid``."""
-    up, down = F.row_number().over(Window.orderBy(order)), F.row_number().over(Window.orderBy(F.desc(order)))
-    return rows.withColumn("_u", up).withColumn("_d", down).withColumn("split", F.when(F.col("_u") <= train, "train").when(F.col("_d") <= test, "test").otherwise("valid")).drop("_u", "_d")
+    split = F.when(F.col("_i") < train, "train").when(F.col("_i") >= F.col("_n") - test, "test").otherwise("valid")
+    return numbered(rows, order).withColumn("split", split).drop("_i", "_n")
 
 
 def shuffled(rows: DataFrame, uid: str, seed: int) -> DataFrame:
@@ -95,12 +95,10 @@ def shuffled(rows: DataFrame, uid: str, seed: int) -> DataFrame:
 
 def batches(rows: DataFrame, order: str, size: int, drop_remainder: bool) -> DataFrame:
     """Rows with ``batch_id`` and ``slot``; an incomplete last batch goes if ``drop_remainder``."""
-    placed = rows.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1)
-    placed = placed.withColumn("batch_id", F.floor(F.col("_i") / size)).withColumn("slot", F.col("_i") % size).drop("_i")
+    placed = numbered(rows, order).withColumn("batch_id", F.floor(F.col("_i") / size)).withColumn("slot", F.col("_i") % size)
     if drop_remainder:
-        full = placed.groupBy("batch_id").count().where(F.col("count") == size).select("batch_id")
-        placed = placed.join(full, "batch_id", "left_semi")
-    return placed
+        placed = placed.where(F.col("batch_id") < F.floor(F.col("_n") / size))
+    return placed.drop("_i", "_n")
 
 
 def pad_batches(rows: DataFrame, batch: str, slot: str, size: int, values: Sequence[str], training: bool = False) -> DataFrame:
@@ -119,7 +117,11 @@ def unpad(rows: DataFrame, batch: str, slot: str, uid: str) -> DataFrame:
 
 
 def even_shards(rows: DataFrame, order: str, shards: int) -> DataFrame:
-    return rows.withColumn("shard", F.ntile(shards).over(Window.orderBy(order)) - 1)
+    """Shards of consecutive rows whose sizes differ by one at most, the larger ones first."""
+    i, size, larger = F.col("_i"), F.floor(F.col("_n") / shards), F.col("_n") % shards
+    split = larger * (size + 1)
+    shard = F.when(i < split, F.floor(i / (size + 1))).otherwise(larger + F.floor((i - split) / F.greatest(size, F.lit(1))))
+    return numbered(rows, order).withColumn("shard", shard.cast("int")).drop("_i", "_n")
 
 
 def best_checkpoint(metrics: DataFrame, largest: bool = True, keys: Sequence[str] = ("run",)) -> DataFrame:

@@ -27,12 +27,10 @@ def slots(spark, sf_dir):
 @query("A04_manifest_paths", with_(PATHS) + "SELECT page_id, path, row_number() OVER (ORDER BY page_id) - 1 AS place FROM paths")
 def manifest(spark, sf_dir):
     """A manifest as one nested value per thousand pages, exploded again in order."""
-    groups = paths(spark, sf_dir).groupBy(F.floor(F.col("page_id") / 1000).alias("g")).agg(F.array_sort(F.collect_list(F.struct("page_id", "path"))).alias("training"))
-    before = groups.select("g", F.size("training").alias("n"))
-    from pyspark.sql import Window
+    from voxloom.functions.tables import numbered
 
-    start = F.coalesce(F.sum("n").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return groups.join(before.select("g", start.alias("start")), "g").select("start", F.posexplode("training").alias("pos", "e")).select("e.page_id", "e.path", (F.col("start") + F.col("pos")).alias("place"))
+    groups = paths(spark, sf_dir).groupBy(F.floor(F.col("page_id") / 1000).alias("g")).agg(F.array_sort(F.collect_list(F.struct("page_id", "path"))).alias("training"))
+    return numbered(groups.select(F.explode("training").alias("e")).select("e.*"), "page_id", "place").select("page_id", "path", "place")
 
 
 _NESTED = "struct<user:struct<id:long,kind:string>,value:double>"
