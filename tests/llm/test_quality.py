@@ -42,7 +42,7 @@ def test_bits_policies_and_ablations(spark):
 def test_junk_goes_and_prose_stays(spark):
     rng = random.Random(4)
     clean = [cases.prose(rng, n) for n in (30, 100, 500)]
-    junk = [" ".join(w + "%%%" for w in clean[1].split()), clean[1].upper().replace(" ", "!! "), " | ".join(clean[2].split()[:60]), "same " * 100, "\n".join(["a line that comes again"] * 30)]
+    junk = [" ".join(w + "%%%" for w in clean[1].split()), clean[1].upper().replace(" ", "!! "), " | ".join(clean[2].split()[:60]), "same " * 100, "\n".join(["a line that comes again"] * 30), " ".join(w for w in clean[1].split() for _ in range(7))]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(clean + junk)], "doc_id long, text string")
     assert {r.doc_id for r in quality.apply_policy(df).collect()} == {0, 1, 2}
 

@@ -24,8 +24,9 @@ RULES = (
     ("duplicate_lines", "n_lines >= 4 AND 2 * n_dup_lines > n_lines"),
     ("one_word", "5 * n_top_word > 2 * n_words"),
     ("long_words", "word_chars > 40 * n_words"),
+    ("stutter", "10 * n_same_next > 3 * n_words"),
 )
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines", "n_top_word")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines", "n_top_word", "n_same_next")
 WINDOW = 8
 _SPACE, _SYMBOLS, _UPPER = b" \t\n\v\f\r", b"#*$%&|<>", bytes(range(65, 91))
 
@@ -47,15 +48,15 @@ BASE = Policy("base", ("few_words", "repeated_windows"))
 STRICT = Policy("v1", tuple(n for n, _ in RULES))
 
 
-def repeated_words(words: list[bytes], window: int = WINDOW) -> tuple[int, int]:
-    """Words that lie in a window of ``window`` words found twice or more, and the count of the commonest word."""
+def repeated_words(words: list[bytes], window: int = WINDOW) -> tuple[int, int, int]:
+    """Words that lie in a window of ``window`` words found twice or more, the count of the commonest word, and words equal to the one before."""
     if not words:
-        return 0, 0
+        return 0, 0, 0
     seen: dict[bytes, int] = {}
     ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
-    top, n = int(np.bincount(ids).max()), len(words) - window + 1
+    top, stutter, n = int(np.bincount(ids).max()), int((ids[1:] == ids[:-1]).sum()), len(words) - window + 1
     if n < 2:
-        return 0, top
+        return 0, top, stutter
     mixed = np.zeros(n, np.uint64)
     for k in range(window):
         mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + n].astype(np.uint64) + np.uint64(1)
@@ -63,7 +64,7 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> tuple[int, int]:
     order = np.argsort(mixed, kind="stable")
     same = mixed[order[1:]] == mixed[order[:-1]]
     if not same.any():
-        return 0, top
+        return 0, top, stutter
     maybe = np.zeros(n, bool)
     maybe[order[1:][same]] = maybe[order[:-1][same]] = True
     found: dict[bytes, list[int]] = {}
@@ -75,7 +76,7 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> tuple[int, int]:
             at = np.array(at)
             np.add.at(cover, at, 1)
             np.add.at(cover, at + window, -1)
-    return int((np.cumsum(cover)[:-1] > 0).sum()), top
+    return int((np.cumsum(cover)[:-1] > 0).sum()), top, stutter
 
 
 def _measures(text: str | None) -> tuple[int, ...]:
@@ -84,8 +85,8 @@ def _measures(text: str | None) -> tuple[int, ...]:
     words = raw.split()
     lines = [x for x in text.split("\n") if x.strip(" \t\v\f\r")]
     gone = lambda chars: len(raw) - len(raw.translate(None, chars))
-    repeat, top = repeated_words(words)
-    return len(words), len(text) - gone(_SPACE), gone(_SYMBOLS), len(lines) - len(set(lines)), repeat, gone(_UPPER), len(lines), top
+    repeat, top, stutter = repeated_words(words)
+    return len(words), len(text) - gone(_SPACE), gone(_SYMBOLS), len(lines) - len(set(lines)), repeat, gone(_UPPER), len(lines), top, stutter
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,12 +168,13 @@ m AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines,
          coalesce(r.n, 0)::BIGINT AS n_repeat_words, (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::BIGINT AS n_upper,
-         coalesce(lines, 0)::BIGINT AS n_lines, coalesce(top, 0)::BIGINT AS n_top_word
+         coalesce(lines, 0)::BIGINT AS n_lines, coalesce(top, 0)::BIGINT AS n_top_word,
+         len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1]))::BIGINT AS n_same_next
   FROM d LEFT JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN o USING (doc_id)),
 f AS (
   SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END + CASE WHEN 10 * n_symbols > word_chars THEN 4 ELSE 0 END
     + CASE WHEN 2 * n_upper > word_chars AND word_chars > 0 THEN 8 ELSE 0 END + CASE WHEN n_lines >= 4 AND 2 * n_dup_lines > n_lines THEN 16 ELSE 0 END
-    + CASE WHEN 5 * n_top_word > 2 * n_words THEN 32 ELSE 0 END + CASE WHEN word_chars > 40 * n_words THEN 64 ELSE 0 END)::BIGINT AS failed FROM m)
+    + CASE WHEN 5 * n_top_word > 2 * n_words THEN 32 ELSE 0 END + CASE WHEN word_chars > 40 * n_words THEN 64 ELSE 0 END + CASE WHEN 10 * n_same_next > 3 * n_words THEN 128 ELSE 0 END)::BIGINT AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, failed = 0 AS kept, failed FROM f
 """
 }
