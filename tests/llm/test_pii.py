@@ -58,6 +58,12 @@ def test_spans_and_rebuilding(spark):
     assert made(spark, [text], kinds=("ssn",))[0].n_found == 1
 
 
+def test_letters_of_other_alphabets(spark):
+    got = made(spark, ["an iñe.19@mail5.example.com, é@x.org", "x" * 70 + "@ex.org"])
+    assert re.match(r"an [a-z]ñ[a-z]\.\d\d@mail5\.example\.com, é@x\.org", got[0].text) and "iñe.19@" not in got[0].text and got[0].n_email == 2
+    assert got[1].n_email == 0  # a local part has 64 characters at most
+
+
 def test_empty_and_columns(spark):
     assert pii.pseudonyms(cases.empty(spark), "k").count() == 0
     assert pii.pseudonyms(cases.frame(spark), "k").count() == len(cases.rows())

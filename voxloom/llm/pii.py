@@ -19,7 +19,7 @@ KINDS = ("email", "ipv4", "ssn", "phone", "date", "card")
 _L, _R = r"(?<![\p{L}\p{N}_.+-])", r"(?![\p{L}\p{N}_])"
 #: Fixed forms, in the order in which they are tried.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}_.%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}" + _R,
+    "email": r"(?<![\p{L}\p{N}_.%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}" + _R,
     "ipv4": _L + r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}_]|\.[0-9])",
     "ssn": _L + r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}_-])",
     "phone": r"(?<![\p{L}\p{N}_.+-])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}_-])",
@@ -75,15 +75,15 @@ def _fill(shape: Column, digits: Column) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
-    """The local part: letters stay letters of their case, digits stay digits; the domain is kept."""
+    """The local part: letters from A to Z stay letters of their case, digits stay digits; other characters and the domain are kept."""
     local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
     chars = F.filter(F.split(local, ""), lambda c: c != "")
     low = lambda c: F.when(c.rlike("[0-9]"), 48).when(c.rlike("[A-Z]"), 65).when(c.rlike("[a-z]"), 97).otherwise(F.ascii(c))
-    parts = F.transform(chars, lambda c: F.struct((F.ascii(c) - low(c)).alias("x"), low(c).alias("low"), F.when(c.rlike("[0-9]"), 10).when(c.rlike("[A-Za-z]"), 26).otherwise(1).alias("radix")))
+    parts = F.transform(chars, lambda c: F.struct(c.alias("c"), (F.ascii(c) - low(c)).alias("x"), low(c).alias("low"), F.when(c.rlike("[0-9]"), 10).when(c.rlike("[A-Za-z]"), 26).otherwise(1).alias("radix")))
 
     def made(p: Column) -> Column:
         out = permute(F.transform(p, lambda c: c["x"]), F.transform(p, lambda c: c["radix"]), key, F.concat(F.lit("email@"), F.lower(domain)))
-        return F.concat(F.array_join(F.zip_with(p, out, lambda c, x: F.char(c["low"] + x)), ""), F.lit("@"), domain)
+        return F.concat(F.array_join(F.zip_with(p, out, lambda c, x: F.when(c["radix"] == 1, c["c"]).otherwise(F.char(c["low"] + x))), ""), F.lit("@"), domain)
 
     return bound(parts, made)
 
