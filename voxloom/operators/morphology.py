@@ -66,10 +66,9 @@ def components(rows: DataFrame, keys: Sequence[str] = ("uid",), axes: Sequence[s
     for _ in range(max_rounds):
         seen = links.join(label.withColumnRenamed("run", "b"), "b").groupBy(F.col("a").alias("run")).agg(F.min("component").alias("m"))
         least = label.join(seen, "run", "left").select("run", "component", F.least("component", F.coalesce("m", "component")).alias("m"))
-        # pointer jumping: the label of the run that names the label
-        least = cut_lineage(least)
-        jump = least.select(F.col("run").alias("m"), F.col("m").alias("m2"))
-        new = cut_lineage(least.join(jump, "m", "left").select("run", F.least("m", F.coalesce("m2", "m")).alias("new"), (F.least("m", F.coalesce("m2", "m")) != F.col("component")).alias("changed")))
+        jump = least.select(F.col("run").alias("m"), F.col("m").alias("m2"))  # pointer jumping: the label of the run that names the label
+        to = F.least("m", F.coalesce("m2", "m"))
+        new = cut_lineage(least.join(jump, "m", "left").select("run", to.alias("new"), (to != F.col("component")).alias("changed")))
         label = new.select("run", F.col("new").alias("component"))
         if not new.where("changed").limit(1).count():
             break
