@@ -82,6 +82,16 @@ def test_local_links_skip_only_what_is_linked():
     assert local_links(sets, np.array([0, 0, 1, 1]), np.ones(4, bool), 80) == []
 
 
+def test_local_links_ask_a_majority():
+    """Rows that ask outnumber those that are told of, and one pair across joins the two components."""
+    sets = [np.arange(k, k + 100, dtype=np.uint64) for k in (0, 5, 10, 15, 20)] + [np.arange(5000, 5100, dtype=np.uint64)]
+    told = np.array([True, True, True, False, False, False])
+    assert [tuple(sorted(x)) for x in local_links(sets, np.array([0, 0, 0, 1, 1, 1]), told, 80)]
+    assert local_links(sets, np.array([0, 0, 0, 0, 0, 1]), np.array([True, True, False, False, False, True]), 80) == []
+    # told rows of both components: an asked one still meets the other's
+    assert local_links(sets, np.array([0, 0, 0, 1, 1, 1]), np.array([False, False, True, False, False, False]), 80)
+
+
 def test_edges(spark):
     assert near_duplicates(cases.empty(spark)).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "x y z u v w"), (7, "x y z u v w"), (3, None), (4, "")], "doc_id long, text string")

@@ -130,8 +130,9 @@ def _sign(words: int, bands: int, rows: int):
 def local_links(sets: list[np.ndarray], group: np.ndarray, ask: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest's links among sets with ``100 * |a & b| >= percent * |a | b|``.
 
-    group: component numbers known so far. Only pairs with a member of ``ask`` (a mask) are looked at. A member of the
-    largest component is not asked itself: whoever is outside of it is asked, and so every pair across components is seen.
+    group: component numbers known so far. Only pairs with a member of ``ask`` (a mask) are looked at. One component may go
+    unasked where whoever is outside of it asks, so that every pair across components is seen: the largest where everyone
+    asks, that of the rows that don't ask where they share one, and none otherwise.
     """
     sizes = np.array([len(s) for s in sets])
     everything = np.concatenate(sets)
@@ -141,8 +142,9 @@ def local_links(sets: list[np.ndarray], group: np.ndarray, ask: np.ndarray, perc
     _, group = np.unique(group, return_inverse=True)
     waiting, links = ask.copy(), []
     while True:
-        largest = np.bincount(group).argmax()
-        open_ = np.flatnonzero(waiting & (group != largest))
+        told = np.unique(group[~ask])
+        spared = -1 if len(told) > 1 else told[0] if len(told) else np.bincount(group).argmax()
+        open_ = np.flatnonzero(waiting & (group != spared))
         if not len(open_):
             return links
         a = open_[0]
