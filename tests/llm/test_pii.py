@@ -58,6 +58,21 @@ def test_spans_and_rebuilding(spark):
     assert made(spark, [text], kinds=("ssn",))[0].n_found == 1
 
 
+def test_cards_next_to_other_numbers(spark):
+    card, other = "4111 1111 1111 1111", "4845168114407329"
+    texts = [card, f"{card} {other}", "7536784127813050 4845168114407329", f"{card} 2024", f"{card} 12/25", f"{card} 07", f"17 {card}", f"{card} 2nd", f"{card} 10.0.0.1", f"{card} 743-555-3824", f"x {card} 2024-01-05 {card}", f"{card} a1@x.org", "3782 822463 10005 123", "1234 " * 40]
+    got = made(spark, texts)
+    new = got[0].text
+    assert luhn(new) and new != card
+    for k in (1, 3, 4, 5, 6, 7, 8, 9, 10, 11):
+        assert new in got[k].text and card not in got[k].text, got[k]
+    assert [got[k].n_card for k in range(13)] == [1, 2, 2] + [1] * 7 + [2, 1, 1]
+    assert other not in got[1].text and got[2].text[17:] == got[1].text[20:] and luhn(got[2].text[:16])
+    assert got[8].n_ipv4 == got[9].n_phone == got[10].n_date == got[11].n_email == 1
+    assert got[1].spans == "card:0:19,card:20:36" and got[6].spans == "card:3:22"
+    assert got[12].text.endswith(" 123") and got[12].text[:17] != texts[12][:17]
+
+
 def test_letters_of_other_alphabets(spark):
     got = made(spark, ["an iñe.19@mail5.example.com, é@x.org", "x" * 70 + "@ex.org"])
     assert re.match(r"an [a-z]ñ[a-z]\.\d\d@mail5\.example\.com, é@x\.org", got[0].text) and "iñe.19@" not in got[0].text and got[0].n_email == 2

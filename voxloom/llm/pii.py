@@ -17,18 +17,23 @@ from voxloom.llm.common import read
 
 KINDS = ("email", "ipv4", "ssn", "phone", "date", "card")
 _L, _R = r"(?<![\p{L}\p{N}_.+-])", r"(?![\p{L}\p{N}_])"
-#: Fixed forms, in the order in which they are tried.
+#: A number of a card's, and what may stand after it without being one.
+_GROUP = r"[0-9]++(?![\p{L}\p{N}_]|-[0-9]++[\p{L}\p{N}_])"
+_OTHER = r"(?!(?:[0-9]{1,2}[./]){2}[0-9]{4}|(?:[0-9]{1,3}\.){3}[0-9]|[\p{L}\p{N}._%+-]{1,64}+@)"
+#: Fixed forms, in the order in which they are tried. Numbers one space or hyphen apart are one match, in which cards are looked for.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}_.%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}" + _R,
     "ipv4": _L + r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}_]|\.[0-9])",
     "ssn": _L + r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}_-])",
     "phone": r"(?<![\p{L}\p{N}_.+-])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}_-])",
     "date": _L + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\p{L}\p{N}_-])",
-    "card": _L + r"[0-9](?:[ -]?[0-9]){12,18}+(?![\p{L}\p{N}_]|-[0-9])",
+    "card": _L + r"(?=[0-9](?:[ -]?[0-9]){12})" + _GROUP + rf"(?:[ -]{_OTHER}{_GROUP})*+",
 }
 #: Days from 1800-01-01 to 2199-12-31, and their number as a product.
 _DAY_ZERO, _DAYS = "1800-01-01", (189, 773)
 PASSES = 4
+#: Digits of a card's numbers where they are grouped as usual; other groupings come after these.
+_USUAL = ("4-4-4-4", "4-6-5", "4-4-4-4-3")
 
 
 def _luhn_sum(digits: Column, parity: int) -> Column:
@@ -145,11 +150,60 @@ def _card(m: Column, key: str) -> Column:
         body = F.slice(digits, F.lit(1), F.size(digits) - 1)
         moved = permute(body, F.array_repeat(F.lit(10), F.size(digits) - 1), key, "card")
         filled = bound(moved, lambda out: F.concat(F.array_join(out.cast("array<string>"), ""), ((10 - _luhn_sum(out, 0) % 10) % 10).cast("string")))
-        return F.when(_luhn_sum(digits, 1) % 10 == 0, bound(filled, lambda new: _fill(m, new)))
+        return F.when(F.size(digits).between(13, 19) & (_luhn_sum(digits, 1) % 10 == 0), bound(filled, lambda new: _fill(m, new)))
 
     return bound(_ints(F.regexp_replace(m, "[^0-9]", "")), made)
 
 
+def _is_joint(m: Column) -> Column:
+    return m.rlike("^[0-9][0-9 -]*[ -][0-9 -]*$") & (F.length(F.translate(m, " -", "")) >= 13)
+
+
+def _marked(m: Column) -> Column:
+    """Numbers one space or hyphen apart, with <> around every card: one number or a usual grouping first, then as many numbers as
+    hold together elsewhere, from left to right."""
+
+    def choose(x: Column) -> Column:
+        n = F.size(x["g"])
+
+        def fits(i: Column, k: Column) -> Column:
+            digits = F.array_join(F.slice(x["g"], i + 1, k), "")
+            return F.when(F.length(digits).between(13, 19), bound(_ints(digits), lambda d: _luhn_sum(d, 1) % 10 == 0)).otherwise(False)
+
+        def longest(i: Column, use: Callable[[Column], Column]) -> Column:
+            return F.array_max(F.filter(F.sequence(F.lit(1), F.least(F.lit(19), n - i)), lambda k: use(k) & fits(i, k)))
+
+        def usual(i: Column) -> Column:
+            shape = lambda k: F.array_join(F.transform(F.slice(x["g"], i + 1, k), lambda v: F.length(v).cast("string")), "-")
+            return longest(i, lambda k: (k == 1) | shape(k).isin(*_USUAL))
+
+        def mark(first: Column) -> Column:
+            clear = lambda i, k: ~F.exists(F.slice(first, i + 1, k), lambda v: v.isNotNull())
+            take = F.transform(first, lambda v, i: F.coalesce(v, longest(i, lambda k: clear(i, k))))
+
+            def put(taken: Column) -> Column:
+                def step(s: Column, i: Column) -> Column:
+                    picked = F.when(i >= s["until"], F.get(taken, i))
+                    until = F.coalesce(i + picked, s["until"])
+                    sep = F.when(i > 0, F.get(x["seps"], i - 1)).otherwise("")
+                    return F.struct(until.alias("until"), F.concat(s["out"], sep, F.when(picked.isNotNull(), "<").otherwise(""), F.get(x["g"], i), F.when(i + 1 == until, ">").otherwise("")).alias("out"))
+
+                return F.aggregate(F.sequence(F.lit(0), n - 1), F.struct(F.lit(0).alias("until"), F.lit("").alias("out")), step, lambda s: s["out"])
+
+            return bound(take, put)
+
+        return bound(F.transform(x["g"], lambda _, i: usual(i)), mark)
+
+    seps = F.filter(F.split(F.regexp_replace(m, "[0-9]+", ""), ""), lambda c: c != "")
+    return bound(F.struct(F.split(m, "[ -]").alias("g"), seps.alias("seps")), choose)
+
+
+def _pieces(m: Column, pattern: str) -> Column:
+    """``m`` as an array of what stays and what is found after it: cards of a joint run, and other kinds between them."""
+    cut = bound(_marked(m), lambda s: F.zip_with(F.split(s, pattern, -1), F.regexp_extract_all(s, F.lit(pattern), F.lit(0)), lambda a, b: F.struct(a.alias("rest"), F.translate(b, "<>", "").alias("found"))))
+    return F.when(_is_joint(m), cut).otherwise(F.array(F.struct(F.lit("").alias("rest"), m.alias("found"))))
+
+
 _MAKERS = {"email": _email, "ipv4": _ipv4, "ssn": _ssn, "phone": _phone, "date": _date, "card": _card}
 
 
@@ -176,8 +230,13 @@ def pseudonyms(docs: DataFrame, key: str, kinds: tuple[str, ...] = KINDS, id_col
     # explode(array(x)) keeps x from being evaluated once for each later use
     rows = rows.select("id", "text", F.explode(F.array(F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))).alias("found"))
     some = F.size("found") > 0
-    rest = F.when(some, F.split("text", pattern, -1))
-    rows = rows.select("id", "text", "found", F.explode(F.array(F.struct(rest.alias("rest"), F.when(some, F.transform("found", judge)).alias("made")))).alias("x")).select("id", "text", "found", "x.*")
+    rows = rows.select("id", "text", "found", F.explode(F.array(F.when(some, F.split("text", pattern, -1)))).alias("rest"))
+    if "card" in kinds:
+        inner = "|".join(["<[0-9 -]+>", *[f"(?:{PATTERNS[k]})" for k in kinds if k in ("ssn", "phone", "date")]])
+        split = F.zip_with("rest", "found", lambda a, m: F.when(m.isNull(), F.array(F.struct(a.alias("rest"), m.alias("found")))).otherwise(F.transform(_pieces(m, inner), lambda p, i: F.struct(F.when(i == 0, F.concat(a, p["rest"])).otherwise(p["rest"]).alias("rest"), p["found"].alias("found")))))
+        whole = F.zip_with("rest", "found", lambda a, m: F.struct(a.alias("rest"), m.alias("found")))
+        rows = rows.select("id", "text", F.explode(F.array(F.when(F.exists("found", _is_joint), F.flatten(split)).otherwise(whole))).alias("x")).select("id", "text", F.col("x.rest").alias("rest"), F.col("x.found").alias("found"))
+    rows = rows.select("id", "text", "found", F.explode(F.array(F.struct(F.col("rest"), F.when(some, F.transform("found", judge)).alias("made")))).alias("x")).select("id", "text", "found", "x.*")
     lengths = F.zip_with("rest", "found", lambda a, b: F.length(a) + F.coalesce(F.length(b), F.lit(0)))
     ends = F.aggregate(lengths, F.array().cast("array<int>"), lambda s, n: F.array_append(s, F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + n))
     rows = rows.select("id", "text", "found", "rest", "made", F.explode(F.array(ends)).alias("ends"))
