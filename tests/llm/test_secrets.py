@@ -1,9 +1,11 @@
 import hashlib
+import random
 import re
+import string
 
 from tests.llm import cases
-from voxloom.llm.packing import vocabulary
-from voxloom.llm.secrets import find_secrets, redact_secrets
+from voxloom.llm.packing import ranks_encoder, vocabulary
+from voxloom.llm.secrets import find_secrets, random_spans, redact_secrets
 
 RANDOM = "q7Gz0kVx2Lr9TbN4Wm8sYd3H"
 TEXTS = [
@@ -38,6 +40,18 @@ def test_base_and_random(spark):
     assert sum(got[k].n_random for k in range(len(TEXTS), len(texts))) == 0
 
 
+def test_random_strings_of_every_alphabet():
+    encode, rng = ranks_encoder(vocabulary()), random.Random(4)
+    tokens = lambda s: len(encode(s))
+    for alphabet in (string.ascii_letters, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"):
+        for n in (16, 19, 20, 24, 32, 40):
+            runs = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(300)]
+            low = [r for r in runs if n <= 2 * tokens(r)]  # the ratio decides
+            assert len(low) >= 290 and all(random_spans(f"see {r} here", tokens, 2.0) == [(4, 4 + n, "random")] for r in low)
+    for known in ("thisIsALongCamelCaseName", "MAX_RETRY_COUNT_OF_QUEUE", "internationalization", "GESCHWINDIGKEITSBEGRENZUNG", "src/main/java/com/example", "x" * 40, "=" * 40, "1234567890123456789", "tel-743-555-3824"):
+        assert random_spans(known, tokens, 2.0) == [], known
+
+
 def test_redaction_and_empty(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)], "doc_id long, text string")
     got = cases.by_id(redact_secrets(df, vocabulary()))

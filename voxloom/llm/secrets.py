@@ -1,8 +1,8 @@
 """Secret scans: three known shapes, and a token-efficiency test for random strings.
 
 A byte-pair vocabulary spends few characters a token on random strings and many on words of any language it has
-seen. Long runs that mix letters and digits are encoded, and those with few characters a token are secrets, unless they are
-digests or identifiers of a known form.
+seen. Long runs with letters are encoded, and those with few characters a token are secrets, unless they are digests, UUIDs or
+words that the vocabulary knows.
 """
 
 from __future__ import annotations
@@ -26,12 +26,14 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Runs that the token-efficiency test looks at.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Known digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512 in hexadecimal), UUIDs, and plain numbers.
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
 UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.IGNORECASE)
-#: Identifiers: words, each with a number at its end at most, joined by separators.
-IDENTIFIER = re.compile(r"[A-Za-z]+[0-9]{0,4}(?:[-_/+=]+(?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,8}))*[-_/+=]*|[0-9_/+=-]+")
+#: Identifiers: words, each with a number at its end at most, joined by separators; their words, and a word's least letters a token.
+IDENTIFIER = re.compile(r"[A-Za-z]+[0-9]{0,4}(?:[-_/+=]+(?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,8}))*[-_/+=]*")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+WORD_LETTERS = 3.0
 _RUN_HEX = re.compile(r"[0-9a-f]{24,}")
 
 
@@ -46,17 +48,23 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in _RUN_HEX.finditer(text)]
 
 
-def is_known(run: str) -> bool:
-    """Digests, UUIDs, identifiers and plain numbers are no secrets by themselves."""
-    return bool(DIGEST.fullmatch(run) or UUID.fullmatch(run) or IDENTIFIER.fullmatch(run))
+def is_known(run: str, tokens: Callable[[str], int], most: float) -> bool:
+    """Digests, UUIDs and identifiers of words with many letters a token are no secrets by themselves. A single word, all in
+    capitals or not, has the letters a token that it has in lower case after a space."""
+    if DIGEST.fullmatch(run) or UUID.fullmatch(run):
+        return True
+    if WORD.fullmatch(run):
+        return len(run) > most * tokens(" " + run.lower())
+    words = WORD.findall(run) if IDENTIFIER.fullmatch(run) else []
+    return bool(words) and sum(map(len, words)) >= WORD_LETTERS * sum(tokens(" " + w.lower()) for w in words)
 
 
 def random_spans(text: str, tokens: Callable[[str], int], most: float) -> list[tuple[int, int, str]]:
-    """Runs of 20 or more characters with letters and digits that have at most ``most`` characters a token."""
+    """Runs of 16 or more characters with letters that have at most ``most`` characters a token."""
     found = []
     for m in RUN.finditer(text):
         run = m[0]
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not is_known(run) and len(run) <= most * tokens(run):
+        if any(c.isalpha() for c in run) and len(run) <= most * tokens(run) and not is_known(run, tokens, most):
             found.append((m.start(), m.end(), "random"))
     return found
 
