@@ -90,3 +90,12 @@ def test_later_families_win(spark):
     a = spark.createDataFrame([(1, "m", 1.0), (1, "n", 2.0)], "uid int, metric string, value double")
     b = spark.createDataFrame([(1, "m", 5.0)], "uid int, metric string, value double")
     assert {r.metric: r.value for r in catalogue.merge_families([a, b], ["uid", "metric"]).collect()} == {"m": 5.0, "n": 2.0}
+
+
+def test_intersection_of_many_types(spark, tmp_path):
+    """Key 1 has all of 60 types, every other key lacks one."""
+    from voxloom.catalog import QUERIES
+
+    rows = [(u, f"t{k}") for u in range(1, 61) for k in range(60) if u == 1 or k != u - 1]
+    spark.createDataFrame(rows, "user_id long, event_type string").selectExpr("*", "timestamp '2024-01-01 00:00:00' AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    assert [r.user_id for r in QUERIES["G01_intersect"](spark, str(tmp_path)).collect()] == [1]

@@ -116,8 +116,8 @@ def all_modalities(spark, sf_dir):
 @query("G01_intersect", "SELECT user_id, ts::DATE AS day FROM events GROUP BY ALL HAVING count(DISTINCT event_type) = 5")
 def intersect(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "event_type")
-    kinds = [r[0] for r in e.select("event_type").distinct().limit(50).collect()]  # a fixed set of modalities
-    return catalogue.intersect_uids([e.where(F.col("event_type") == k).select("user_id", "day") for k in kinds])
+    kinds = e.agg(F.countDistinct("event_type")).first()[0]
+    return catalogue.complete_uids(e.withColumnRenamed("event_type", "modality"), kinds, ["user_id", "day"])
 
 
 @query("G02_union_batches", "SELECT metric, count(*) AS n, round(sum(v), 6) AS total FROM (SELECT 'price' AS metric, o_totalprice AS v FROM orders UNION ALL SELECT 'balance', c_acctbal FROM customer) GROUP BY metric")
