@@ -57,3 +57,26 @@ def test_empty_and_rows(spark):
     assert got.columns == df.columns
     counts = {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()}
     assert counts == {i: n for i, n in times.items() if n}
+
+
+def test_rows_with_repeated_and_null_identifiers(spark):
+    """Identifiers repeated within a source and over sources, and null ones: rows out are the sum of the times."""
+    def row(i, text, source):
+        return (i, text, None, source, 0, "", 0, "", 0.0, "", "", "")
+
+    found = [row(1, "w " * 9, "a"), row(1, "w " * 9, "b"), row(2, "v " * 5, "a"), row(2, "u " * 7, "b"), row(2, "u " * 7, "b"), row(None, "n " * 4, "a"), row(None, "n " * 4, None), row(None, "m " * 8, "b")]
+    found += [row(k, "w " * (k % 5), ["a", "b", "c", None][k % 4]) for k in range(3, 60)]
+    df = cases.frame(spark, found)
+    plan = mix_sources(df).collect()
+    check(found, plan)
+    got = mix_rows(df).collect()
+    assert len(got) == sum(r.times for r in plan)
+    want = {}
+    for r in plan:
+        want[r.doc_id, r.source, r.size] = want.get((r.doc_id, r.source, r.size), 0) + r.times
+    have = {}
+    for r in got:
+        key = (r.doc_id, r.source, len(cases.words(r.text)))
+        have[key] = have.get(key, 0) + 1
+    assert have == {k: n for k, n in want.items() if n}
+    assert mix_rows(cases.empty(spark)).count() == 0

@@ -37,11 +37,31 @@ def test_encoders_agree():
     one, two = ranks_encoder(vocabulary()), json_encoder(public_tokenizers.path("byte_bpe_50k.json"))
     for _, text, *_ in cases.rows():
         assert one(text or "").tolist() == two(text or "").tolist()
-    assert one("a <|endoftext|> b").tolist() == two("a <|endoftext|> b").tolist()
+    for text in ("a <|endoftext|> b", "a<|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|>\n  <|endoftext", "<|ENDOFTEXT|>"):
+        assert one(text).tolist() == two(text).tolist()
+    assert one("a<|endoftext|>b").tolist() == [64, 50256, 65]
+
+
+def brute_bins(lengths, size, bound):
+    """Best fit over a plain list of open bins; the fullest one closes where one more would be open."""
+    placed, opened, free = [], 0, []  # free: [space, bin]
+    for n in lengths:
+        fits = [x for x in free if x[0] >= n]
+        if fits:
+            x = min(fits)
+            free.remove(x)
+        else:
+            x, opened = [size, opened], opened + 1
+        placed.append((x[0], x[1]))
+        if x[0] > n:
+            if len(free) >= bound:
+                free.remove(min(free))
+            free.append([x[0] - n, x[1]])
+    return opened, placed
 
 
 def test_open_bins_are_bounded():
-    bins, held, most = OpenBins(10, 2), {}, 0
+    bins, held = OpenBins(10, 2), {}
     for n in (6, 5, 7, 3, 2, 10, 4, 1, 9):
         b, offset = bins.place(n)
         assert offset == held.get(b, 0)
@@ -50,6 +70,34 @@ def test_open_bins_are_bounded():
     assert bins.opened == len(held)
 
 
+def test_the_fullest_bin_closes_first():
+    bins = OpenBins(10, 2)
+    for n in (4, 7, 9):  # free 6, 3; for the third to stay open the second, the fullest, closes
+        bins.place(n)
+    assert [k for k in range(11) if bins.free >> k & 1] == [1, 6] and bins.count == 2
+    assert bins.place(3) == (0, 4)  # not the closed one, which would fit tighter
+
+
+def test_placement_against_brute_force():
+    rng = np.random.default_rng(4)
+    for bound in (1, 3, 8, 1000):
+        lengths = rng.integers(1, 65, 600).tolist()
+        bins = OpenBins(64, bound)
+        spaces = [64 - bins.place(n)[1] for n in lengths]
+        opened, placed = brute_bins(lengths, 64, bound)
+        assert bins.opened == opened and spaces == [space for space, _ in placed]
+
+
+def test_sequences_are_few():
+    """A fixed number of open bins costs little: short pieces fill what long ones leave."""
+    rng = np.random.default_rng(6)
+    lengths = [int(min(1024, n)) for n in rng.lognormal(5.8, 1.0, 20_000)]
+    bins = OpenBins(1024, 128)
+    for n in lengths:
+        bins.place(n)
+    assert bins.opened <= 1.015 * sum(lengths) / 1024
+
+
 def test_repeated_rows_and_empty(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string")
     got = pack_documents(df, vocabulary()).collect()

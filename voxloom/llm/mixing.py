@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from voxloom.llm.common import join_bounded, materialize, read, word_count
 
@@ -42,16 +42,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     return first.select("source", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``id_col, source_col, size, source_size, target, taken``.
-
-    size: words (0 for a null or empty text). A source takes each document as often as its target holds the source whole,
-    and once more those with the smallest keys up to the rest of the target; the document on the border is in if that
-    brings the sum nearer (by half the border document's size at most). Null sources are one source. Rows
-    repeated with one identifier share a key and go together. Other columns are ignored; an empty table gives no rows.
-    Keys depend on identifiers alone, so reruns agree and no document is taken more than ``most`` times.
-    """
-    rows = materialize(docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), word_count(docs[text_col]).alias("size"), _key(docs[id_col]).alias("key")), "sizes")
+def _border_plan(rows: DataFrame, weights: Sequence[float], share: float, most: int) -> DataFrame:
+    """What each source takes, from written ``rows(source, size, key)``: ``p_source, source_size, target, base, threshold``."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialize(source_targets(sizes, weights, share, float(most)), "targets")
     base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -74,22 +66,45 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     borders = reduce(DataFrame.unionByName, ended)
     takes_it = (F.col("below") + F.col("in_bucket") - F.col("budget")) < (F.col("budget") - F.col("below"))
     borders = borders.select(F.col("source").alias("b_source"), F.when(takes_it, F.col("low")).otherwise(F.col("low") - 1).alias("threshold"))
-    plan = materialize(targets.join(borders, targets["source"].eqNullSafe(borders["b_source"]), "left").select(F.col("source").alias("p_source"), "source_size", "target", base.alias("base"), "threshold"), "plan")
-    out = join_bounded(rows, plan, rows["source"].eqNullSafe(plan["p_source"]), "inner")
+    return materialize(targets.join(borders, targets["source"].eqNullSafe(borders["b_source"]), "left").select(F.col("source").alias("p_source"), "source_size", "target", base.alias("base"), "threshold"), "plan")
+
+
+def _times(most: int) -> Column:
+    """How often a row is taken, from its ``key`` and its source's plan alone."""
     more = F.when(F.col("threshold").isNull(), F.col("target") > F.col("base") * F.col("source_size")).otherwise(F.col("key") <= F.col("threshold"))
-    times = F.least(F.col("base") + more.cast("long"), F.lit(most).cast("long"))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
+    return F.least(F.col("base") + more.cast("long"), F.lit(most).cast("long"))
+
+
+def _keyed(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    return materialize(docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), word_count(docs[text_col]).alias("size"), _key(docs[id_col]).alias("key")), "sizes")
+
+
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``id_col, source_col, size, source_size, target, taken, times``.
+
+    size: words (0 for a null or empty text). A source takes each document as often as its target holds the source whole,
+    and once more those with the smallest keys up to the rest of the target; the document on the border is in if that
+    brings the sum nearer (by half the border document's size at most). Null sources are one source. Rows
+    repeated with one identifier share a key and go together within their source. Other columns are ignored; an empty table gives no rows.
+    Keys depend on identifiers alone, so reruns agree and no document is taken more than ``most`` times.
+    """
+    rows = _keyed(docs, id_col, source_col, text_col)
+    plan = _border_plan(rows, weights, share, most)
+    out = join_bounded(rows, plan, rows["source"].eqNullSafe(plan["p_source"]), "inner").withColumn("times", _times(most))
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
 
 
-def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def mix_rows(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The mixed rows themselves: every row of ``docs`` as often as :func:`mix_sources` takes it, every column kept.
 
-    Rows repeated with one identifier are taken alike, each by itself.
+    A row finds its number of times by its own source and key, so rows repeated with one identifier, in one source or in
+    several, and rows with a null identifier or source are each taken by themselves. An empty table gives no rows, and
+    a source without any word has the target 0, so that none of its rows is taken.
     """
-    times = mix_sources(docs, id_col=id_col, text_col=text_col, **options).where("times > 0").select(F.col(id_col).alias("key"), "times").distinct()
-    rows = docs.select(docs[id_col].alias("key"), F.struct(*docs.columns).alias("row"))
-    found = rows.join(times, rows["key"].eqNullSafe(times["key"]), "inner")
-    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
+    plan = _border_plan(_keyed(docs, id_col, source_col, text_col), weights, share, most)
+    rows = docs.select(docs[source_col].cast("string").alias("source"), _key(docs[id_col]).alias("key"), F.struct(*docs.columns).alias("row"))
+    found = join_bounded(rows, plan, rows["source"].eqNullSafe(plan["p_source"]), "inner").select("row", _times(most).cast("int").alias("times"))
+    return found.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

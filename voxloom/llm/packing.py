@@ -1,9 +1,9 @@
 """Best-fit packing of tokenised documents into sequences.
 
-Documents are tokenised in streaming tasks that keep only lengths and checksums. Pieces of full length are sequences of
-their own. The others are packed online, best fit, with a fixed number of open bins per task: a bitset has
-a bit for each free space that some open bin has, so the tightest bin that fits is the lowest set bit at or above
-the piece's length. When a bin must be opened beyond the bound, the fullest open one closes first.
+Documents are tokenised in streaming tasks that keep only lengths and checksums. Pieces are packed online, best fit, in an
+arbitrary but fixed order of arrival, with a fixed number of open bins per task: a bitset has a bit for each free space that
+some open bin has, so the tightest bin that fits is the lowest set bit at or above the piece's length. When a bin must be
+kept open beyond the bound, the fullest one closes first.
 """
 
 from __future__ import annotations
@@ -20,28 +20,31 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voxloom.llm.common import materialize, read, short_batches
 
-#: Pieces that one packing task takes on average; each task leaves a few sequences unfilled.
-PIECES_A_TASK = 20_000
+#: Pieces that one packing task takes on average; each task leaves up to ``OPEN_BINS`` sequences unfilled.
+PIECES_A_TASK = 200_000
+#: Bins that a packing task holds open.
+OPEN_BINS = 128
+#: The vocabulary's special token.
+SPECIAL = {"<|endoftext|>": 50256}
 _PIECES = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64())])
 
 
 def ranks_encoder(path: str) -> Callable[[str], np.ndarray]:
-    """Text to ids by the ``tiktoken`` ranks file at ``path``; the same ids as the ``tokenizers`` file of that vocabulary."""
+    """Text to ids by the ``tiktoken`` ranks file at ``path``; the same ids as :func:`json_encoder` with that vocabulary's file."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+    encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+    return lambda text: encoding.encode_to_numpy(text, allowed_special="all").astype("<u4")
 
 
 def json_encoder(path: str) -> Callable[[str], np.ndarray]:
-    """Text to ids by the ``tokenizers`` file at ``path``; strings of special tokens are ordinary text."""
+    """Text to ids by the ``tokenizers`` file at ``path``; the string of a special token in a text is that token."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
 
@@ -119,18 +122,18 @@ def _pack(most: int, bound: int):
     return run
 
 
-def pack(pieces: DataFrame, most: int = 1024, open_bins: int = 65536) -> DataFrame:
+def pack(pieces: DataFrame, most: int = 1024, open_bins: int = OPEN_BINS) -> DataFrame:
     """``pieces`` (with ``row, piece, length``) with ``sequence_id`` and ``offset`` added, gapless in each sequence.
 
-    Pieces are dealt to tasks at random and arrive longest first; ``open_bins`` bounds what a task holds, and exceeds
-    what a task of about ``PIECES_A_TASK`` pieces ever opens.
+    Pieces are dealt to tasks at random and arrive in the order of a hash of their identity, whatever their lengths, so
+    that a task that runs again packs alike. ``open_bins`` bounds what a task holds besides the piece at hand.
     """
     tasks = max(1, -(-pieces.count() // PIECES_A_TASK))
-    dealt = pieces.withColumn("deal", F.xxhash64("id", "row", "piece")).repartition(tasks, "deal").sortWithinPartitions(F.desc("length"), "deal").drop("deal")
+    dealt = pieces.withColumn("deal", F.xxhash64("id", "row", "piece")).repartition(tasks, "deal").sortWithinPartitions("deal", "row", "piece").drop("deal")
     return dealt.mapInPandas(_pack(most, open_bins), "row long, id long, piece int, start long, length long, crc long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, most: int = 1024, end_id: int = 2, open_bins: int = 65536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, most: int = 1024, end_id: int = 2, open_bins: int = OPEN_BINS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: ``id_col, piece, start, length, ids_crc32, sequence_id, offset``.
 
     Null and empty texts give one piece of one token. Repeated rows are packed each. Null identifiers stay null. Other
