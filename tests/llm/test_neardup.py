@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from tests.llm import cases
+from voxloom.llm.common import components
 from voxloom.llm.neardup import drop_near_duplicates, local_links, near_duplicates, superminhash
 
 
@@ -53,15 +54,19 @@ def test_against_brute_force(spark):
         assert {tuple(r) for r in near_duplicates(df, words=k).collect()} == brute(found, k)
 
 
-def test_blocks_and_parts(spark):
-    """A family far above the block size, many of whose pairs are not links."""
+def test_blocks_do_not_matter(spark):
+    """A family far above the block size, many of whose pairs are not links: the same links at any block size."""
     rng = random.Random(5)
     text = cases.prose(rng, 80)
     found = [(k, edited(rng, text, rng.randrange(0, 9))) for k in range(120)]
     df = spark.createDataFrame(found, "doc_id long, text string")
-    for family_blocks in (64, 3):  # as one family, and bucket by bucket
-        got = near_duplicates(df, words=2, block_shingles=600, family_blocks=family_blocks)
-        assert {tuple(r) for r in got.collect()} == brute(found, 2)
+    for size in (600, 1 << 16):
+        assert {tuple(r) for r in near_duplicates(df, words=2, block_shingles=size).collect()} == brute(found, 2)
+    few = [{tuple(r) for r in near_duplicates(df, words=2, bands=3, block_shingles=size).collect()} for size in (300, 2000, 1 << 16)]
+    assert few[0] == few[1] == few[2]
+    # what few bands find are links: their components lie within the true ones
+    true = {i: c for i, _, c, _ in brute(found, 2)}
+    assert all(true[i] == true[c] for i, _, c, _ in few[0])
 
 
 def test_signature_estimates_similarity():
@@ -78,18 +83,34 @@ def test_signature_estimates_similarity():
 
 def test_local_links_skip_only_what_is_linked():
     sets = [np.arange(0, 100, dtype=np.uint64), np.arange(2, 102, dtype=np.uint64), np.arange(500, 600, dtype=np.uint64), np.arange(501, 601, dtype=np.uint64)]
-    assert {tuple(sorted(x)) for x in local_links(sets, np.arange(4), np.ones(4, bool), 80)} == {(0, 1), (2, 3)}
-    assert local_links(sets, np.array([0, 0, 1, 1]), np.ones(4, bool), 80) == []
+    none, all_ = np.zeros(4, bool), np.ones(4, bool)
+    assert {tuple(sorted(x)) for x in local_links(sets, np.arange(4), all_, none, 80)} == {(0, 1), (2, 3)}
+    assert local_links(sets, np.array([0, 0, 1, 1]), all_, none, 80) == []
+    assert local_links(sets, np.arange(4), np.array([True, False, False, False]), none, 80) == [(0, 1)]
 
 
 def test_local_links_ask_a_majority():
     """Rows that ask outnumber those that are told of, and one pair across joins the two components."""
     sets = [np.arange(k, k + 100, dtype=np.uint64) for k in (0, 5, 10, 15, 20)] + [np.arange(5000, 5100, dtype=np.uint64)]
-    told = np.array([True, True, True, False, False, False])
-    assert [tuple(sorted(x)) for x in local_links(sets, np.array([0, 0, 0, 1, 1, 1]), told, 80)]
-    assert local_links(sets, np.array([0, 0, 0, 0, 0, 1]), np.array([True, True, False, False, False, True]), 80) == []
+    ask, group = np.array([True, True, True, False, False, False]), np.array([0, 0, 0, 1, 1, 1])
+    assert local_links(sets, group, ask, ~ask, 80)
+    assert local_links(sets, np.array([0, 0, 0, 0, 0, 1]), np.array([True, True, False, False, False, True]), np.array([False] * 2 + [True] * 3 + [False]), 80) == []
     # told rows of both components: an asked one still meets the other's
-    assert local_links(sets, np.array([0, 0, 0, 1, 1, 1]), np.array([False, False, True, False, False, False]), 80)
+    assert local_links(sets, group, np.array([False, False, True, False, False, False]), np.array([True, True, False, False, False, False]), 80) == []
+    assert local_links(sets, group, np.array([False, False, True, False, False, False]), np.zeros(6, bool), 80)
+
+
+def test_components(spark):
+    """Long paths, hubs and repeated edges, against a plain search."""
+    rng = random.Random(8)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(200, 400)] + [(rng.randrange(400, 500), rng.randrange(400, 500)) for _ in range(60)] + [(3, 3), (401, 400), (401, 400)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = {x: x for e in edges for x in e}
+    for _ in range(200):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == {x: r for x, r in root.items() if x != r}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_edges(spark):

@@ -59,14 +59,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: ``(node, component)``, component being the smallest node reachable.
 
     Alternating large-star and small-star rounds; every round is joins and grouped minima on written tables, so
-    no task or driver holds a component. Hot nodes only ever meet in plain joins, which adaptive execution splits.
+    no task or driver holds a component. Null nodes are left out. The smallest neighbours are dealt anew for the join, by an
+    expression that their grouping doesn't have, so that adaptive execution can split the links of a hot node.
     """
 
+    def dealt(u: Column) -> Column:
+        return u.bitwiseXOR(F.lit(1).cast("long"))
+
     def star(links: DataFrame, small: bool) -> DataFrame:
-        both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        both = links.select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))))
         least = both.groupBy("u").agg(F.min("v").alias("m0")).select("u", F.least("u", "m0").alias("m"))
         side = both.where("v <= u") if small else both.where("v > u")
-        out = side.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        near = least.select(dealt(F.col("u")).alias("w"), "m")
+        out = side.join(near, dealt(side["u"]) == near["w"]).select(F.col("v").alias("a"), F.col("m").alias("b"))
         if small:
             out = out.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         return out.where("a <> b").distinct()

@@ -4,12 +4,12 @@ A document is the set of its distinct word shingles, each as 64 bits. SuperMinHa
 permutation of the slots, read one rank at a time; slot values of one shingle are correlated, which lowers the variance,
 and a document stops as soon as no further rank can lower any slot, so long documents read few ranks.
 
-Documents with equal sets are one class from the start. Classes that share a band meet in a bucket; buckets connect
-families, and a family finds its links exactly: a member is compared with all others at once on the full sets, unless it
-is already linked to most of them. Families above a size bound are cut into blocks. Every block first holds its own
-members and the family's leader; then members outside the family's largest component visit every block, in parts of bounded
-size. A family of very many blocks is compared bucket by bucket in the same way. No pair of members is ever a
-row: blocks give only the links of a spanning forest.
+Documents with equal sets are one class from the start. Classes that share a band meet in a bucket; buckets with the same
+members are one. Every two classes of a bucket are compared on their full sets, unless links connect them already: first all
+members with the bucket's leader, the class with most partners over all its buckets, then, in buckets that this leaves
+in pieces, all members outside the largest piece with everyone. Comparisons happen in blocks of bounded size: askers visit
+every block of those they ask. No pair of members is ever a row: blocks give only the links of a spanning forest, and
+the same links hold whatever the block size.
 """
 
 from __future__ import annotations
@@ -110,7 +110,8 @@ def _sign(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in batches:
-            sets = [shingle(t) for t in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            sets = [shingle(t) for t in texts]
             full = [k for k, s in enumerate(sets) if len(s)]
             keys: list = [[] for _ in sets]
             if full:
@@ -121,71 +122,68 @@ def _sign(words: int, bands: int, rows: int):
                 for k, v in zip(full, joined.view(np.int64), strict=True):
                     keys[k] = v
             names = [set_name(s) for s in sets]
-            arrays = [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.string()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "name", "keys"])
+            room = [max(len(s), len(t) // 8) for s, t in zip(sets, texts, strict=True)]
+            arrays = [batch.column("id"), batch.column("hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(room, pa.int64()), pa.array(names, pa.string()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "hash", "n", "room", "name", "keys"])
 
     return run
 
 
-def local_links(sets: list[np.ndarray], group: np.ndarray, ask: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def local_links(sets: list[np.ndarray], group: np.ndarray, ask: np.ndarray, spared: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest's links among sets with ``100 * |a & b| >= percent * |a | b|``.
 
-    group: component numbers known so far. Only pairs with a member of ``ask`` (a mask) are looked at. One component may go
-    unasked where whoever is outside of it asks, so that every pair across components is seen: the largest where everyone
-    asks, that of the rows that don't ask where they share one, and none otherwise.
+    group: component numbers known so far. Each member of ``ask`` (a mask) is compared with all sets outside its component,
+    unless it has joined the component that ``spared`` marks: whoever is outside of that one asks somewhere, so every pair
+    across components is seen by one of its sides.
     """
     sizes = np.array([len(s) for s in sets])
-    everything = np.concatenate(sets)
-    values, where = np.unique(everything, return_inverse=True)
+    values, where = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    mark = np.zeros(len(values), np.int64)
+    mark = np.zeros(len(values), np.int32)
     _, group = np.unique(group, return_inverse=True)
-    waiting, links = ask.copy(), []
-    while True:
-        told = np.unique(group[~ask])
-        spared = -1 if len(told) > 1 else told[0] if len(told) else np.bincount(group).argmax()
-        open_ = np.flatnonzero(waiting & (group != spared))
-        if not len(open_):
-            return links
-        a = open_[0]
-        waiting[a] = False
+    main, links = np.flatnonzero(spared)[:1], []
+    for a in np.flatnonzero(ask):
+        if (group[main] == group[a]).any():
+            continue
+        other = group != group[a]
+        if not other.any():
+            break
         own = where[starts[a] : starts[a] + sizes[a]]
         mark[own] = 1
         common = np.add.reduceat(mark[where], starts)
         mark[own] = 0
-        linked = np.flatnonzero((100 * common >= percent * (sizes + sizes[a] - common)) & (group != group[a]))
-        for b in linked:
+        for b in np.flatnonzero((100 * common >= percent * (sizes + sizes[a] - common)) & other):
             if group[b] != group[a]:
                 links.append((a, b))
                 group[group == group[b]] = group[a]
+    return links
+
+
+_VISIT = ("unit", "block", "part", "id", "hash", "component", "ask", "main")
 
 
 def _visit(words: int, percent: int):
     """Links among the rows of each (unit, block, part); rows arrive sorted by these, and one group is held at a time."""
 
-    def links(rows: list[tuple], shingle: Shingler) -> list[tuple[int, int]]:
-        sets: dict[tuple, list] = {}
-        for i, name, component, ask, text in rows:
-            if (i, name) in sets:
-                sets[i, name][2] |= ask
-            else:
-                values = shingle(text)
-                if set_name(values) == name:  # an identifier may have several texts
-                    sets[i, name] = [values, component, ask]
-        if len(sets) < 2:
+    def links(rows: dict[tuple, list], shingle: Shingler) -> list[tuple[int, int]]:
+        if len(rows) < 2:
             return []
-        ids = [i for i, _ in sets]
-        values, group, ask = zip(*sets.values(), strict=True)
-        return [(ids[a], ids[b]) for a, b in local_links(list(values), np.array(group), np.array(ask), percent)]
+        ids = [i for i, _ in rows]
+        component, ask, main, texts = zip(*rows.values(), strict=True)
+        found = local_links([shingle(t) for t in texts], np.array(component), np.array(ask), np.array(main), percent)
+        return [(ids[a], ids[b]) for a, b in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, at, held, out = Shingler(words), None, [], []
+        shingle, at, held, out = Shingler(words), None, {}, []
         for batch in batches:
-            for unit, block, part, *row in zip(*(batch.column(c).to_pylist() for c in ("unit", "block", "part", "id", "name", "component", "ask", "text")), strict=True):
+            for unit, block, part, i, h, component, ask, main, text in zip(*(batch.column(c).to_pylist() for c in (*_VISIT, "text")), strict=True):
                 if (unit, block, part) != at:
                     out += links(held, shingle)
-                    at, held = (unit, block, part), []
-                held.append(tuple(row))
+                    at, held = (unit, block, part), {}
+                if (i, h) in held:  # one that asks in its own block, or a repeated row
+                    held[i, h][1] |= ask
+                else:
+                    held[i, h] = [component, ask, main, text]
             if len(out) > 1000:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
                 out = []
@@ -196,72 +194,97 @@ def _visit(words: int, percent: int):
 
 
 def _own(salt: str, blocks: str) -> Column:
-    return F.pmod(F.xxhash64("name", "unit", F.lit(salt)), F.col(blocks).cast("long")).cast("int")
+    return F.pmod(F.xxhash64("id", "hash", "unit", F.lit(salt)), F.col(blocks).cast("long")).cast("int")
 
 
 def _every(blocks: str) -> Column:
     return F.sequence(F.lit(0), F.col(blocks) - 1)
 
 
-def _first_visits(units: DataFrame) -> DataFrame:
-    """Every member visits its own block of its unit, and the unit's leader visits all; everyone asks."""
-    block = F.explode(F.when(F.col("id") == F.col("leader"), _every("blocks")).otherwise(F.array(_own("block", "blocks"))))
-    return units.select("unit", block.alias("block"), F.lit(0).alias("part"), "id", "name", F.col("id").alias("component"), F.lit(True).alias("ask"))
+def _with_unit(rows: DataFrame, units: DataFrame) -> DataFrame:
+    """``rows`` with their unit's columns; units are dealt anew, so that adaptive execution can split a unit of many rows."""
+    units = units.withColumn("dealt", F.col("unit").bitwiseXOR(F.lit(1).cast("long"))).drop("unit")
+    return rows.join(units, rows["unit"].bitwiseXOR(F.lit(1).cast("long")) == units["dealt"]).drop("dealt")
+
+
+def _blocks(room: Column, block_shingles: int) -> Column:
+    return F.ceil(F.sum(room) / block_shingles).cast("int")
+
 
+def _star_visits(stars: DataFrame, block_shingles: int) -> DataFrame:
+    """Each member of ``stars(unit, leader, member)`` visits one block of its unit; the leader visits all of them and asks."""
+    sizes = stars.groupBy("unit").agg(_blocks(F.col("member.room"), block_shingles).alias("blocks"), F.first("leader").alias("leader"))
+    members = _with_unit(stars.select("unit", "member.id", "member.hash"), sizes.select("unit", "blocks")).withColumn("block", _own("block", "blocks")).withColumn("ask", F.lit(False))
+    leaders = sizes.select("unit", "leader.id", "leader.hash", F.explode(_every("blocks")).alias("block"), F.lit(True).alias("ask"))
+    both = members.select(leaders.columns).unionByName(leaders)
+    return both.select("unit", "block", F.lit(0).alias("part"), "id", "hash", F.col("id").alias("component"), "ask", F.lit(False).alias("main"))
 
-def _grid_visits(units: DataFrame, reached: DataFrame, block_shingles: int) -> DataFrame:
-    """In units of several blocks, members outside the largest component ask in every block, in parts of bounded size."""
-    rows = units.join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = rows.groupBy("unit", "component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
-    asked = sizes.groupBy("unit").agg(F.max_by("component", F.struct("members", "component")).alias("main"), (F.sum("shingles") - F.max_by("shingles", F.struct("members", "component"))).alias("asked"))
-    rows = rows.join(asked.where("asked > 0").select("unit", "main", F.ceil(F.col("asked") / block_shingles).cast("int").alias("parts")), "unit")
-    ask = F.col("component") != F.col("main")
-    asks = F.transform(F.when(ask, _every("blocks")).otherwise(F.array().cast("array<int>")), lambda b: F.struct(b.alias("block"), _own("part", "parts").alias("part"), F.lit(True).alias("ask")))
+
+def _grid_visits(rows: DataFrame, block_shingles: int) -> DataFrame:
+    """Members of ``rows(unit, id, hash, room, component)`` outside their unit's largest component ask in every block, in parts of bounded size."""
+    sizes = rows.groupBy("unit", "component").agg(F.count("*").alias("members"), F.sum("room").alias("room"))
+    largest = F.struct("members", "component")
+    units = sizes.groupBy("unit").agg(
+        F.max_by("component", largest).alias("largest"), _blocks(F.col("room"), block_shingles).alias("blocks"), F.ceil((F.sum("room") - F.max_by("room", largest)) / block_shingles).cast("int").alias("parts")
+    )
+    rows = _with_unit(rows, units.where("parts > 0"))
+    main = F.col("component") == F.col("largest")
+    asks = F.transform(F.when(main, F.array().cast("array<int>")).otherwise(_every("blocks")), lambda b: F.struct(b.alias("block"), _own("part", "parts").alias("part"), F.lit(True).alias("ask")))
     told = F.transform(_every("parts"), lambda p: F.struct(_own("block", "blocks").alias("block"), p.alias("part"), F.lit(False).alias("ask")))
-    return rows.select("unit", "id", "name", "component", F.inline(F.concat(told, asks))).select("unit", "block", "part", "id", "name", "component", "ask")
+    return rows.select("unit", "id", "hash", "component", main.alias("main"), F.inline(F.concat(told, asks))).select(*_VISIT)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 50, rows: int = 6, block_shingles: int = 1 << 16, family_blocks: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 50, rows: int = 6, block_shingles: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id_col, n_shingles, component_id, kept``.
 
     Texts are whole; A-Z count as lower case; words are runs without ASCII white space. A text with fewer than ``words``
     words is one shingle; null and empty texts have none and are linked with nothing. Documents are linked where
-    ``100 * |a & b| >= percent * |a | b|`` on the full sets; component_id is the smallest identifier reachable. Two documents
-    at 80 percent are missed by all 50 bands of 6 slots with a probability below 3e-7, and by fewer bands the more
-    documents they are linked through. Rows repeated with an identifier are one node.
+    ``100 * |a & b| >= percent * |a | b|`` on the full sets and a band is equal; component_id is the smallest identifier
+    reachable. Two documents at 80 percent are missed by all 50 bands of 6 slots with a probability below 3e-7, and by fewer
+    bands the more documents they are linked through. Rows repeated with an identifier are one node.
     Null identifiers form rows of their own, with a null component and kept true. Other columns are ignored; an empty table gives no rows.
+    block_shingles bounds what a task holds besides one document, and changes nothing in the result.
     """
     spark = docs.sparkSession
     short_batches(spark)
     texts = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("text"))
-    signed = materialize(texts.mapInArrow(_sign(words, bands, rows), "id long, n long, name string, keys array<long>"), "signed")
+    texts = texts.select("id", F.xxhash64("text").alias("hash"), "text")  # the hash tells texts of one identifier apart
+    signed = materialize(texts.mapInArrow(_sign(words, bands, rows), "id long, hash long, n long, room long, name string, keys array<long>"), "signed")
 
     # Classes of equal sets, by their smallest identifier.
-    classes = signed.where("name IS NOT NULL AND id IS NOT NULL").groupBy("name").agg(F.min(F.struct("id", "n", "keys")).alias("x"))
-    classes = materialize(classes.select("name", F.col("x.id").alias("id"), F.col("x.n").alias("n"), F.col("x.keys").alias("keys")), "classes")
-
-    # Buckets of two or more classes, and the families that they connect.
-    keys = classes.select("id", F.explode("keys").alias("bucket"))
-    leaders = keys.groupBy("bucket").agg(F.count("*").alias("members"), F.min("id").alias("leader")).where("members > 1").select("bucket", "leader")
-    meets = materialize(keys.join(leaders, "bucket").select("bucket", "leader", "id"), "meets")
-    families = components(meets.select(F.col("leader").alias("a"), F.col("id").alias("b")))
-    families = families.unionByName(families.select(F.col("component").alias("node"), "component").distinct())
-    inside = classes.select("id", "name", "n").join(families.select(F.col("node").alias("id"), F.col("component").alias("unit")), "id")
-    units = materialize(_sized(inside, block_shingles), "units")
-    if units.where(F.col("blocks") > family_blocks).limit(1).count():
-        # A family too large to compare as a whole is compared bucket by bucket.
-        large = units.where(F.col("blocks") > family_blocks).select("id", "name", "n")
-        units = units.where(F.col("blocks") <= family_blocks).unionByName(_sized(large.join(meets.select("id", F.col("bucket").alias("unit")), "id"), block_shingles))
+    classes = signed.where("name IS NOT NULL AND id IS NOT NULL").groupBy("name").agg(F.min(F.struct("id", "hash", "room", "keys")).alias("x"))
+    classes = materialize(classes.select("name", "x.*"), "classes")
+
+    # One bucket for every set of two or more classes that share a band.
+    keys = classes.select(F.explode("keys").alias("bucket"), "id", "hash", "room")
+    sets = keys.groupBy("bucket").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("id", "hash")).alias("x"), F.bit_xor(F.xxhash64("hash", "id", F.lit(1))).alias("y")).where("members > 1")
+    sets = sets.groupBy("members", "x", "y").agg(F.min("bucket").alias("bucket"))
+    meets = materialize(keys.join(sets.select("bucket", "members"), "bucket"), "meets")
 
     def links(visits: DataFrame) -> DataFrame:
         order = ["unit", "block", "part"]
-        dealt = visits.join(texts.where("id IS NOT NULL"), "id").repartition(*order).sortWithinPartitions(*order)
+        dealt = visits.join(texts.where("id IS NOT NULL"), ["id", "hash"]).repartition(*order).sortWithinPartitions(*order)
         return materialize(dealt.mapInArrow(_visit(words, percent), "a long, b long"), "edges")
 
-    edges = links(_first_visits(units))
+    # Everyone is compared with the leader of each of its buckets.
+    degrees = meets.groupBy("id", "hash").agg(F.sum("members").alias("degree"))
+    member = F.struct("id", "hash", "room").alias("member")
+    ranked = materialize(meets.join(degrees, ["id", "hash"]).select("bucket", "degree", member), "ranked")
+    leaders = ranked.groupBy("bucket").agg(F.max(F.struct("degree", F.bitwise_not("member.id").alias("low"), "member")).alias("x"))
+    leaders = materialize(leaders.select(F.col("bucket").alias("unit"), F.col("x.member").alias("leader")), "leaders")
+    followers = _with_unit(ranked.select(F.col("bucket").alias("unit"), "member"), leaders).where("member <> leader")
+    followers = materialize(followers, "followers")
+    stars = followers.select(F.xxhash64("leader.id", "leader.hash").alias("unit"), "leader", "member").distinct()
+    edges = links(_star_visits(materialize(stars, "stars"), block_shingles))
     reached = components(edges)
-    if units.where("blocks > 1").limit(1).count():
-        edges = edges.unionByName(links(_grid_visits(units.where("blocks > 1"), reached, block_shingles)))
+
+    # Buckets that are still in pieces: everyone outside the largest piece is compared with everyone.
+    named = followers.select("unit", "member.*").join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = materialize(named, "members")
+    open_ = named.groupBy("unit").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("unit")
+    rest = materialize(_with_unit(named, open_), "rest")
+    if rest.limit(1).count():
+        edges = edges.unionByName(links(_grid_visits(rest, block_shingles)))
         reached = components(edges)
 
     named = classes.select("name", "id").join(reached.withColumnRenamed("node", "id"), "id", "left").select("name", F.coalesce("component", "id").alias("component"))
@@ -270,12 +293,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _sized(rows: DataFrame, block_shingles: int) -> DataFrame:
-    """``rows(id, name, n, unit)`` with each unit's leader and number of blocks."""
-    sizes = rows.groupBy("unit").agg(F.min("id").alias("leader"), F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
-    return rows.select("unit", "id", "name", "n").join(sizes, "unit")
-
-
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that :func:`near_duplicates` keeps, one document of each group, every column kept whatever its name.
 
