@@ -29,14 +29,17 @@ SPECIAL = {"<|endoftext|>": 50256}
 _PIECES = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64())])
 
 
-def ranks_encoder(path: str) -> Callable[[str], np.ndarray]:
-    """Text to ids by the ``tiktoken`` ranks file at ``path``; the same ids as :func:`json_encoder` with that vocabulary's file."""
+def ranks_encoder(path: str, special: dict[str, int] = SPECIAL) -> Callable[[str], np.ndarray]:
+    """Text to ids by the ``tiktoken`` ranks file at ``path``; the same ids as :func:`json_encoder` with that vocabulary's file.
+
+    Strings of ``special`` tokens in a text are these tokens; those that it leaves out are ordinary text.
+    """
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+    encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return lambda text: encoding.encode_to_numpy(text, allowed_special="all").astype("<u4")
 
 
