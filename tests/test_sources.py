@@ -21,13 +21,17 @@ def png(path, pixels):
         f.write(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
 
 
-def volume(path, data, spacing):
+def volume(path, data, spacing, slope=0.0, inter=0.0, quaternion=None, matrix=None):
     head = bytearray(352)
     head[0:4] = struct.pack("<i", 348)
-    head[40:56] = struct.pack("<8h", 3, *data.shape, 1, 1, 1, 1)
+    head[40:56] = struct.pack("<8h", data.ndim, *data.shape, *[1] * (7 - data.ndim))
     head[70:72] = struct.pack("<h", 16)
-    head[76:108] = struct.pack("<8f", 1, *spacing, 0, 0, 0, 0)
+    head[76:108] = struct.pack("<8f", 1, *spacing, *[0] * (7 - len(spacing)))
     head[108:112] = struct.pack("<f", 352)
+    head[112:120] = struct.pack("<2f", slope, inter)
+    head[252:256] = struct.pack("<2h", quaternion is not None, matrix is not None)
+    head[256:280] = struct.pack("<6f", *(quaternion or [0] * 6))
+    head[280:328] = struct.pack("<12f", *(matrix or [0] * 12))
     with gzip.open(path, "wb") as f:
         f.write(bytes(head) + data.astype("<f4").tobytes(order="F"))
 
@@ -52,6 +56,56 @@ def test_volumes(spark, tmp_path):
     assert head.uid == "scan" and list(head["shape"]) == [5, 4, 3] and list(head.spacing) == [1.0, 2.0, 0.5]
 
 
+def test_volume_frames(spark, tmp_path):
+    """Every frame of a 4-D and a 5-D file is read, each with its own values."""
+    rng = np.random.default_rng(1)
+    for name, shape in (("four", (3, 2, 2, 4)), ("five", (2, 3, 2, 2, 3)), ("flat", (4, 3))):
+        data = rng.integers(0, 99, shape).astype("f4")
+        volume(tmp_path / f"{name}.nii", data, (1.0, 1.0, 1.0))
+        tiles = files.read_volumes(spark, str(tmp_path), (2, 2, 2), f"{name}.nii")
+        back = {(r.x, r.y, r.z, r.frame): r.value for r in grids.from_tiles(tiles, ["x", "y", "z"], ["uid", "frame"]).collect()}
+        spread = data.reshape([*(list(shape) + [1])[:3], -1], order="F")
+        assert back == {i: float(v) for i, v in np.ndenumerate(spread)}
+
+
+def test_volume_scaling_and_pose(spark, tmp_path):
+    data = np.array([[[1.0]], [[2.0]]], "f4")
+    volume(tmp_path / "plain.nii", data, (1, 1, 1), slope=0.0, inter=5.0)
+    volume(tmp_path / "scaled.nii", data, (1, 1, 1), slope=2.0, inter=5.0, quaternion=[0, 0, 1, 7, 8, 9])
+    volume(tmp_path / "matrix.nii", data, (2, 3, 4), slope=1.0, inter=-1.0, quaternion=[0, 0, 0, 1, 1, 1], matrix=[2, 0, 0, 10, 0, 0, -4, 20, 0, 3, 0, 30])
+    got = {r.uid: r for r in files.read_volumes(spark, str(tmp_path)).collect()}
+    assert {k: list(r.data) for k, r in got.items()} == {"plain": [1, 2], "scaled": [7, 9], "matrix": [0, 1]}  # a slope of 0 scales nothing
+    assert list(got["plain"].origin) == [0, 0, 0] and list(got["plain"].direction) == [1, 0, 0, 0, 1, 0, 0, 0, 1]
+    assert list(got["scaled"].origin) == [7, 8, 9] and np.allclose(got["scaled"].direction, [-1, 0, 0, 0, -1, 0, 0, 0, 1])
+    assert list(got["matrix"].origin) == [10, 20, 30] and np.allclose(got["matrix"].direction, [1, 0, 0, 0, 0, -1, 0, 1, 0])
+
+
+def test_manifests_and_mean_metrics(spark, tmp_path):
+    rows = spark.createDataFrame([(k, "train" if k % 3 else "test") for k in range(40)], "uid long, split string").repartition(5)
+    files.write_split_manifests(rows, f"{tmp_path}/splits")
+    for split in ("train", "test"):
+        (one,) = [f for f in os.listdir(f"{tmp_path}/splits/split={split}") if f.startswith("part-")]
+        lines = open(f"{tmp_path}/splits/split={split}/{one}").read().split()
+        assert lines == ["uid", *[str(k) for k in range(40) if (k % 3 > 0) == (split == "train")]]
+    found = [(10, "ddpm", "dice", 0.5), (10, "ddpm", "num_samp", 3.0), (20, "ddim", "num_samp", 4.0), (20, "ddim", "dice", None)]
+    files.write_mean_metrics(spark.createDataFrame(found, "step int, sampler string, metric string, value double"), f"{tmp_path}/means")
+    back = files.read_checkpoint_metrics(spark, f"{tmp_path}/means")
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(found, key=str)
+    texts = [open(os.path.join(d, f)).read() for d, _, names in os.walk(f"{tmp_path}/means") for f in names if f.startswith("part-")]
+    assert '{"dice":0.5,"num_samp":3.0}\n' in texts  # keys in order
+    assert {(r.step, r.value) for r in files.metric_of_checkpoints(back, "num_samp").collect()} == {(10, 3.0), (20, 4.0)}
+    with pytest.raises(Exception, match="no loss in checkpoint"):
+        files.metric_of_checkpoints(back, "loss").collect()
+
+
+def test_fields_are_scaled_by_spacing(spark, tmp_path):
+    heads = spark.createDataFrame([("a", [2, 2], [0.5, 3.0])], "uid string, shape array<int>, spacing array<double>")
+    field = spark.createDataFrame([("a", 0, 1, 4.0, 5.0, 7)], "uid string, x int, y int, dx double, dy double, step int")
+    files.write_fields(field, heads, f"{tmp_path}/f", ["x", "y"], by_step=True)
+    r = spark.read.parquet(f"{tmp_path}/f").first()
+    assert (r.dx, r.dy, r.step, list(r.spacing)) == (2.0, 15.0, 7, [0.5, 3.0])
+
+
 def test_listings_and_text(spark, tmp_path):
     for d in ("a", "b"):
         os.makedirs(tmp_path / d)

@@ -12,9 +12,10 @@ from voxloom.operators.overlap import dice_loss, soft_sums
 
 
 def _mean_over_voxels(rows: DataFrame, term: Column, voxel: Sequence[str], keys: Sequence[str], name: str) -> DataFrame:
-    """Sum over a voxel's classes, then mean over voxels, in one shuffle: every voxel has as many rows as another."""
+    """Sum over a voxel's classes, then mean over voxels, in one shuffle: the rows of one class count the voxels, as each has every class."""
     rows = rows.withColumn("term", term)
-    return rows.groupBy(*keys).agg((F.sum("term") / F.count_distinct(*[c for c in voxel if c not in keys])).alias(name))
+    first = F.count(F.when(F.col("cls") == 0, 1))
+    return rows.groupBy(*keys).agg(F.try_divide(F.sum("term"), first).alias(name))
 
 
 def cross_entropy(rows: DataFrame, voxel: Sequence[str], keys: Sequence[str] = ("uid",), exclusive: bool = True) -> DataFrame:

@@ -9,6 +9,8 @@ from voxloom.plans.fixtures import BLOB, read, with_
 
 PATHS = "paths AS (SELECT page_id, './imagesTr/amos_' || lpad(page_id::VARCHAR, 4, '0') || '.nii.gz' AS path FROM pages)"
 CKPT = "ckpt AS (SELECT o_custkey AS run, o_orderkey AS step, o_orderpriority AS metric, floor(o_totalprice / 50000) AS value FROM orders)"
+#: Metrics of the checkpoints.
+METRICS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 SLOTS = "slots AS (SELECT conv_id AS batch, turn::INT AS slot, length(text) AS value, CASE WHEN turn % 5 = 3 THEN '' ELSE conv_id || '-' || turn END AS uid FROM conversations)"
 
 
@@ -43,12 +45,6 @@ def flatten(spark, sf_dir):
     return catalogue.flatten(nested).withColumn("record_value", six("record_value"))
 
 
-@query("A09_split_manifest", "SELECT split, count(*) AS n, min(c_custkey) AS first, max(c_custkey) AS last FROM (SELECT c_custkey, CASE WHEN row_number() OVER (ORDER BY c_custkey) <= 938 THEN 'train' WHEN row_number() OVER (ORDER BY c_custkey DESC) <= 282 THEN 'test' ELSE 'valid' END AS split FROM customer) GROUP BY split")
-def split_manifest(spark, sf_dir):
-    rows = catalogue.split_by_count(read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 938, 282)
-    return rows.groupBy("split").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"), F.max("c_custkey").alias("last"))
-
-
 @query("A07_first_examples", with_(BLOB) + "SELECT uid, count(*) AS voxels, sum(label_true)::BIGINT AS labels FROM blob WHERE uid % 3 = 0 AND uid IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0 ORDER BY p_partkey LIMIT 20) GROUP BY uid")
 def first_examples(spark, sf_dir):
     """A split's first 20 examples: headers are cut first, and voxels follow by a semi join."""
@@ -58,24 +54,6 @@ def first_examples(spark, sf_dir):
     return blob_labels(spark, sf_dir).join(heads, "uid", "left_semi").groupBy("uid").agg(F.count("*").alias("voxels"), F.sum("label_true").alias("labels"))
 
 
-_PIVOT = ", ".join(f"max(value) FILTER (metric = '{m}') AS \"{m}\"" for m in ("1-URGENT", "2-HIGH", "3-MEDIUM"))
-
-
-@query("A13_metrics_by_sample", with_(CKPT) + f"SELECT run, {_PIVOT} FROM (SELECT run, metric, max(value) AS value FROM ckpt WHERE metric IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY run, metric) GROUP BY run")
-def metrics_by_sample(spark, sf_dir):
-    best = checkpoints(spark, sf_dir).where("metric IN ('1-URGENT', '2-HIGH', '3-MEDIUM')").groupBy("run", "metric").agg(F.max("value").alias("value"))
-    return catalogue.wide(best, ["1-URGENT", "2-HIGH", "3-MEDIUM"], ["run"])
-
-
-@query("A15_checkpoint_metrics", with_(CKPT) + "SELECT run, step, metric, value FROM ckpt WHERE run % 10 = 1")
-def checkpoint_metrics(spark, sf_dir):
-    """Wide metric rows unpivoted to long ones; absent metrics give no row."""
-    rows = checkpoints(spark, sf_dir).where("run % 10 = 1")
-    names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-    table = catalogue.wide(rows, names, ["run", "step"])
-    return table.unpivot(["run", "step"], names, "metric", "value").where("value IS NOT NULL")
-
-
 @query("B01_drop_key", "SELECT p_name, p_size FROM part")
 def drop_key(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size").drop("p_partkey")
@@ -154,13 +132,14 @@ def geometry(spark, sf_dir):
     return catalogue.geometry_violations(a, b, ["spacing", "origin"])
 
 
-_GROUPS = "g AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE doc_id % 10 = 0), h AS (SELECT *, CASE WHEN floor(n * 0.75) - 2 < 0 THEN greatest(floor(n * 0.75) - 2 + n, 0) ELSE floor(n * 0.75) - 2 END AS e FROM g)"
+_GROUPS = "g AS (SELECT doc_id, k, row_number() OVER (PARTITION BY k ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM (SELECT doc_id, concat_ws('-', source, doc_id % 10) AS k FROM documents)), h AS (SELECT *, CASE WHEN floor(n * 0.75) - 2 < 0 THEN greatest(floor(n * 0.75) - 2 + n, 0) ELSE floor(n * 0.75) - 2 END AS e FROM g)"
 
 
 @query("E06_split_by_group", with_(_GROUPS) + "SELECT doc_id, 'valid' AS split FROM h WHERE i < 2 UNION ALL SELECT doc_id, 'train' FROM h WHERE i >= 2 AND i < e UNION ALL SELECT doc_id, 'test' FROM h WHERE i >= e")
 def split_by_group(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").where("doc_id % 10 = 0").select("doc_id", "source")  # small groups, which overlap
-    return catalogue.split_by_group(rows, "source", "doc_id").select("doc_id", "split")
+    """Groups by source and the identifier's last digit: some are small, and overlap."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.concat_ws("-", "source", F.col("doc_id") % 10).alias("k"))
+    return catalogue.split_by_group(rows, "k", "doc_id").select("doc_id", "split")
 
 
 @query("E07_split_by_ratio", "SELECT page_id, CASE WHEN row_number() OVER (ORDER BY page_id) <= floor((SELECT count(*) FROM pages) * 0.1) THEN 'valid' ELSE 'test' END AS split FROM pages")
@@ -173,7 +152,14 @@ def split_by_count(spark, sf_dir):
     return catalogue.split_by_count(read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 938, 282)
 
 
-@query("E13_early_stopping")
+#: Each run's history folded in step order: a run goes on until three checks in a row fail to beat the best by more than 0.5.
+EARLY = "WITH RECURSIVE " + CKPT + """, o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step) AS k FROM ckpt),
+f AS (SELECT run, step, k, value AS best, 0 AS wait FROM o WHERE k = 1
+  UNION ALL SELECT o.run, o.step, o.k, CASE WHEN o.value - f.best > 0.5 THEN o.value ELSE f.best END, CASE WHEN o.value - f.best > 0.5 THEN 0 ELSE f.wait + 1 END FROM f JOIN o ON o.run = f.run AND o.k = f.k + 1 WHERE f.wait < 3),
+"""
+
+
+@query("E13_early_stopping", EARLY + "l AS (SELECT run, max(CASE WHEN wait >= 3 THEN step END) AS stop_step, max(best) AS best FROM f GROUP BY run) SELECT * FROM l")
 def early_stopping(spark, sf_dir):
     return catalogue.early_stop(checkpoints(spark, sf_dir), 3, 0.5)
 
@@ -183,7 +169,7 @@ def best(spark, sf_dir):
     return catalogue.best_checkpoint(checkpoints(spark, sf_dir))
 
 
-@query("F04_seeded_shuffle")
+@query("F04_seeded_shuffle", "SELECT c_custkey FROM customer")
 def seeded_shuffle(spark, sf_dir):
     return catalogue.shuffled(read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 7)
 

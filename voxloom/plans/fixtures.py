@@ -41,24 +41,32 @@ def blob_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 BLOB_HEADERS = "heads AS (SELECT p_partkey AS uid, 1.0::DOUBLE AS s1, 0.5::DOUBLE + 0.25::DOUBLE * (p_size % 3) AS s2, 1.0::DOUBLE AS s3 FROM part)"
 
 
+#: Voxels of a noise image; order keys that one group of lines spans.
+VOXELS, SPAN = 480, 1 << 20
+_LABEL = "CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"
+_NOISE = [
+    f"l_suppkey * 1000000 + l_orderkey {{div}} {SPAN} * 10000 + rn {{div}} {VOXELS} AS uid", "CAST(rn % 24 AS INT) AS x", f"CAST(rn % {VOXELS} {{div}} 24 AS INT) AS y", "0 AS z", f"{_LABEL} AS label_true",
+    f"CASE WHEN l_quantity % 4 = 0 THEN CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END ELSE {_LABEL} END AS label_pred", "l_discount * 10 AS p_soft", "l_extendedprice AS value",
+]
+_FILL = [f"l_suppkey * 1000000 + span * 10000 + rn {{div}} {VOXELS} AS uid", *_NOISE[1:4], "0 AS label_true", "0 AS label_pred", "CAST(0 AS DOUBLE) AS p_soft", "CAST(0 AS DOUBLE) AS value"]
+
+
 def noise_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One 24 x 20 image per supplier with 480 lines or more."""
+    """As many 24 x 20 images as a supplier's lines fill, the last one filled up with zeros.
+
+    Lines are numbered within a supplier and a span of order keys, so that a supplier with most of the lines is many groups.
+    """
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-    by = Window.partitionBy("l_suppkey")
-    lines = read(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(by.orderBy(*order)) - 1).withColumn("n", F.count("*").over(by))
-    return lines.where("n >= 480 AND rn < 480").selectExpr(
-        "l_suppkey AS uid", "rn % 24 AS x", "cast(rn div 24 AS int) AS y", "0 AS z",
-        "CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS label_true",
-        "CASE WHEN l_quantity % 4 = 0 THEN CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END ELSE CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END END AS label_pred",
-        "l_discount * 10 AS p_soft", "l_extendedprice AS value",
-    )
+    rows, span = read(spark, sf_dir, "lineitem"), F.expr(f"l_orderkey div {SPAN}")
+    lines = rows.withColumn("rn", F.row_number().over(Window.partitionBy("l_suppkey", span).orderBy(*order)) - 1)
+    fill = rows.groupBy("l_suppkey", span.alias("span")).agg(F.count("*").alias("n")).where(f"n % {VOXELS} > 0")
+    fill = fill.withColumn("rn", F.explode(F.sequence("n", F.expr(f"(n div {VOXELS} + 1) * {VOXELS} - 1"))))
+    return lines.selectExpr(*[c.format(div="div") for c in _NOISE]).unionByName(fill.selectExpr(*[c.format(div="div") for c in _FILL]))
 
 
-NOISE = """lines AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS rn,
-  count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem),
-noise AS (SELECT l_suppkey AS uid, (rn % 24)::INT AS x, (rn // 24)::INT AS y, 0 AS z, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS label_true,
-  CASE WHEN l_quantity % 4 = 0 THEN CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END ELSE CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END END AS label_pred,
-  l_discount * 10 AS p_soft, l_extendedprice AS value FROM lines WHERE n >= 480 AND rn < 480)"""
+NOISE = f"""lines AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_orderkey // {SPAN} ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS rn FROM lineitem),
+fill AS (SELECT l_suppkey, span, unnest(range(n, (n // {VOXELS} + 1) * {VOXELS})) AS rn FROM (SELECT l_suppkey, l_orderkey // {SPAN} AS span, count(*) AS n FROM lineitem GROUP BY ALL) WHERE n % {VOXELS} > 0),
+noise AS (SELECT {", ".join(_NOISE).format(div="//")} FROM lines UNION ALL SELECT {", ".join(_FILL).format(div="//")} FROM fill)"""
 
 
 def emb_images(spark: SparkSession, sf_dir: str) -> DataFrame:

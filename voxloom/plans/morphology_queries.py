@@ -57,8 +57,11 @@ def components(spark, sf_dir):
     return found.groupBy("uid", "component").agg(F.min(F.col("x") * 100 + F.col("y")).alias("first"), F.count("*").alias("n")).drop("component")
 
 
-HOLES = RAGGED.replace("WHERE label_true = 1", "WHERE label_true <> 1").replace("abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1", "abs(a.x - b.x) + abs(a.y - b.y) = 1") + """, closed AS (SELECT uid, component FROM c GROUP BY uid, component HAVING max((id % 100 IN (0, 19) OR id // 100 IN (0, 23))::INT) = 0),
-filled AS (SELECT uid, x, y FROM noise WHERE label_true = 1 UNION SELECT uid, id // 100, id % 100 FROM c JOIN closed USING (uid, component))
+#: Background that a path of 4-neighbours leads to from the border stays; the rest is filled.
+HOLES = with_(NOISE).replace("WITH ", "WITH RECURSIVE ", 1) + """, back AS (SELECT uid, x, y FROM noise WHERE label_true <> 1),
+open_ AS (SELECT uid, x, y FROM back WHERE x IN (0, 23) OR y IN (0, 19)
+  UNION SELECT b.uid, b.x, b.y FROM (SELECT uid, x, y, unnest([[0, 1], [0, -1], [1, 0], [-1, 0]]) AS d FROM open_) o JOIN back b ON b.uid = o.uid AND b.x = o.x + d[1] AND b.y = o.y + d[2]),
+filled AS (SELECT uid, x, y FROM noise WHERE label_true = 1 UNION ALL SELECT uid, x, y FROM back ANTI JOIN open_ USING (uid, x, y))
 """
 
 
