@@ -64,16 +64,22 @@ def _write(folder: str, roll_bytes: int, date: str, level: int):
         context = TaskContext.get()
         shard, attempt = context.partitionId(), context.taskAttemptId()
         out = at = None
-        number, seen, seen_id, copies, mark = 0, set(), None, 0, ()
+        number, last, copies, mark = 0, None, 0, ()
         stats: list = []
 
         def close() -> pa.RecordBatch:
             nonlocal out, number
             out.close()
             final = f"part-{shard:06d}-{number:04d}.warc.gz"
-            if fs.get_file_info(f"{root}/{final}").type != pafs.FileType.NotFound:
-                fs.delete_file(f"{root}/{final}")  # an earlier attempt's file, with the same bytes
-            fs.move(at, f"{root}/{final}")
+            there = lambda: fs.get_file_info(f"{root}/{final}").type != pafs.FileType.NotFound
+            if not there():
+                try:
+                    fs.move(at, f"{root}/{final}")
+                except OSError:
+                    if not there():
+                        raise
+            if fs.get_file_info(at).type != pafs.FileType.NotFound:
+                fs.delete_file(at)  # another attempt's file stays: it has the same bytes
             out, number = None, number + 1
             n, size, digest, first, last = stats
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((final, n, size, digest.hexdigest(), first, last), _MANIFEST, strict=True)], schema=_MANIFEST)
@@ -84,12 +90,10 @@ def _write(folder: str, roll_bytes: int, date: str, level: int):
                     mark = (i, sha, best)
                     continue
                 refers = mark[2] if mark[:2] == (i, sha) else None
-                if i != seen_id or not seen:
-                    seen, seen_id, copies = set(), i, 0
-                digest = hashlib.sha1(payload).digest()
-                again = refers is None and i is not None and digest in seen  # a repeated row: the first is the response
-                copies += again
-                seen.add(digest)
+                same = i is not None and (i, sha) == last  # repeated rows stand next to each other
+                again = refers is None and same  # the first is the response
+                copies = copies + again if same else 0
+                last = (i, sha)
                 refers = i if again else refers
                 member = _member(record(i, url, payload, refers, date, again or refers is not None, copies if again else 0), level)
                 if out is None:
@@ -124,7 +128,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     # A narrow mark sorts right before the rows it makes revisits, so that payloads are shuffled once.
     marks = slim.join(best, "sha").where(~F.col("id").eqNullSafe(F.col("best"))).select("id", "sha", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "best").distinct()
     both = rows.select("id", "sha", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("best")).unionByName(marks)
-    ranged = both.repartitionByRange("id", "sha").sortWithinPartitions("id", "sha", "kind")
+    ranged = both.repartitionByRange("id", "sha").sortWithinPartitions("id", "sha", "kind", "url")
     ranged.mapInArrow(_write(folder, roll_bytes, date, level), "file string, records long, bytes long, sha256 string, first_id long, last_id long").write.parquet(f"{folder}/_manifest")
     return pages.sparkSession.read.parquet(f"{folder}/_manifest")
 
