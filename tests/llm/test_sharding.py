@@ -40,3 +40,10 @@ def test_slots_over_many_tasks(spark):
     for g in (0, 1):
         own = sorted((r for r in got if r.g == g), key=lambda r: r.o)
         assert [r.slot for r in own] == list(range(500))
+
+
+def test_leaves_by_target_bytes(spark):
+    rows = [(k, "w " * (1 + k % 50), "en", "s", 0, "", 0, "", 0.0, "", "", "") for k in range(2000)]
+    got = shard_documents(cases.frame(spark, rows), target_bytes=9000).groupBy("shard").agg({"size": "sum"}).collect()
+    total = sum(2 * (1 + k % 50) + 16 for k in range(2000))
+    assert len(got) == -(-total // 9000) and max(r[1] for r in got) <= 9000 * 1.1

@@ -4,7 +4,7 @@ Sampled splitters range-partition the normalised bytes, Spark's external sort pl
 other, and a streaming pass compares each text with its neighbour in full. Splitters hold at most a 64-byte
 prefix, a digest and an identifier, so the driver's sample stays small however long the texts are; the
 identifier is part of the order, so that a group of any size spreads over as many tasks as it fills. Runs that
-cross task borders are joined by comparing the texts at the borders.
+cross task borders are joined by comparing the texts at the borders, which are fetched only where their digests agree.
 """
 
 from __future__ import annotations
@@ -74,14 +74,19 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "body", "sha")
     runs = materialize(ranged.mapInArrow(_runs, _RUNS), "runs")
 
-    # The first and the last run of every task, and which of them continue the task before.
-    ends = runs.where("head IS NOT NULL OR tail IS NOT NULL")
-    ends = ends.groupBy("part").agg(F.max("head").alias("head"), F.max("tail").alias("tail"), F.max("run").alias("last_run"))
+    # The first and the last run of every task, and which of them continue the task before: where digests agree, texts are compared.
+    ends = runs.where("first AND (head IS NOT NULL OR tail IS NOT NULL)")
+    ends = ends.groupBy("part").agg(F.max(F.when(F.col("head").isNotNull(), F.col("sha"))).alias("head"), F.max(F.when(F.col("tail").isNotNull(), F.col("sha"))).alias("tail"), F.max("run").alias("last_run"))
     ordered = Window.orderBy("idx")
     idx = runs.select("part").distinct().select("part", F.row_number().over(Window.orderBy("part")).alias("idx"))
     ends = materialize(ends.join(idx, "part"), "ends")
     before = ends.select((F.col("idx") + 1).alias("idx"), F.col("tail").alias("prev_tail"), F.col("part").alias("prev_part"), F.col("last_run").alias("prev_run"))
-    chain = ends.join(before, "idx", "left").select("idx", "part", "last_run", "prev_part", "prev_run", F.coalesce(F.col("head") == F.col("prev_tail"), F.lit(False)).alias("cont"))
+    borders = materialize(ends.join(before, "idx", "left").select("idx", "part", "last_run", "prev_part", "prev_run", F.coalesce(F.col("head") == F.col("prev_tail"), F.lit(False)).alias("cont")), "borders")
+    maybe = borders.where("cont").select("part", "prev_part")
+    heads = runs.where("head IS NOT NULL").select("part", "head").join(maybe, "part")
+    tails = runs.where("tail IS NOT NULL").select(F.col("part").alias("prev_part"), "tail")
+    same = materialize(heads.join(tails, "prev_part").where(F.col("head") == F.col("tail")).select("part", F.lit(True).alias("same")), "same")
+    chain = join_bounded(borders.drop("cont"), same, ["part"]).withColumn("cont", F.coalesce("same", F.lit(False))).drop("same")
     own = F.struct(F.col("part").alias("p"), F.lit(0).cast("long").alias("r"))
     start = F.when(~F.col("cont"), own).when(F.col("prev_run") > 0, F.struct(F.col("prev_part").alias("p"), F.col("prev_run").alias("r")))
     chain = chain.withColumn("chain", F.last(start, ignorenulls=True).over(ordered))
@@ -102,7 +107,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """``docs`` without the rows that :func:`exact_duplicates` drops, every column kept whatever its name.
 
-    Rows repeated with one identifier and one text become one row.
+    Rows repeated with one identifier and one text become one row. Null texts count as empty; a null identifier is
+    kept like any other, as the smallest. An empty table gives no rows.
     """
 
     def key(i: Column, sha: Column) -> Column:

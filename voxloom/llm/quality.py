@@ -131,20 +131,21 @@ def ablations(ledgers: DataFrame, policies: list[Policy]) -> DataFrame:
 def apply_policy(docs: DataFrame, policy: Policy = STRICT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``policy`` keeps, every column kept whatever its name; repeated rows stay repeated.
 
-    Bits travel with the row through one pass, so no join is needed.
+    A null text has no words, like an empty one, and is rejected by rules on the number of words; null identifiers are
+    no matter. An empty table gives no rows. Bits travel with the row through one pass, so no join is needed.
     """
     short_batches(docs.sparkSession)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_measures(t) for t in batch.column(text_at).to_pylist()]
+            rows = [_measures(t) for t in batch.column(0).field(text_at).to_pylist()]
             arrays = [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(MEASURES))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["row", *MEASURES])
 
-    text_at = 1
+    text_at = names.index(text_col)
     kind = docs.select(F.struct(*names).alias("row")).schema["row"].dataType.simpleString()
-    measured = docs.select(F.struct(*names).alias("row"), docs[text_col].alias("text")).mapInArrow(run, f"row {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
+    measured = docs.select(F.struct(*names).alias("row")).mapInArrow(run, f"row {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
     failed = sum((F.when(F.expr(rule), 1 << bit).otherwise(0) for bit, (_, rule) in enumerate(RULES)), F.lit(0))
     return measured.where(passes(policy, failed.cast("long"))).select("row.*")
 

@@ -99,9 +99,12 @@ def gapless(rows: DataFrame, group: str, order: str) -> DataFrame:
     return join_bounded(ranged, parts, [group, "task"], "inner").withColumn("slot", F.col("at") + F.col("shift")).drop("at", "task", "shift")
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", labels: Sequence[str] = ("lang", "source")) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", labels: Sequence[str] = ("lang", "source"), target_bytes: int | None = None) -> DataFrame:
     """One row per row of ``docs``: ``id_col, size, text_crc32, law, shard, slot, grown_shard``.
 
+    There are as many leaves as ``target_bytes`` needs, where it is given, so that a leaf has about as many bytes or fewer; else
+    ``shards``. Equal texts aren't kept together: the law balances bytes, and a group of copies may exceed a shard.
+
     size: UTF-8 bytes of the text (null: none) plus 16. Dimensions: size, identifier and the ``labels``. The law is
     ``bytes``: shards differ by about the rows on their borders. grown_shard is null under this law. Null texts count as
     empty; rows with equal identifiers and sizes stay together; null identifiers and labels have their own place;
@@ -111,6 +114,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     size = F.octet_length(data).cast("long") + 16
     rows = docs.select(docs[id_col].cast("long").alias("id"), size.alias("size"), F.crc32(data).alias("crc"), *[docs[c].cast("string").alias(f"l_{c}") for c in labels])
     dims = {"size": F.log2("size"), "id": F.col("id")} | {c: F.col(f"l_{c}") for c in labels}
+    if target_bytes:
+        shards = max(1, -(-int(rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]) // target_bytes))
     split = kd_shards(rows, F.col("size"), dims, "id", shards).select("row.id", "row.size", "row.crc", "shard")
     out = gapless(split, "shard", "id")
     return out.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
