@@ -88,3 +88,15 @@ def discretized_log_likelihood(x: Column, mean: Column, log_var: Column, delta:
     up, down = approx_normal_cdf(inv * (x - mean + delta)), approx_normal_cdf(inv * (x - mean - delta))
     low = F.lit(least)
     return F.when(x < -bound, F.log(F.greatest(up, low))).when(x > bound, F.log(F.greatest(1.0 - down, low))).otherwise(F.log(F.greatest(up - down, low)))
+
+
+def keyed_uniform(seed: int, name: str, *keys: Column | str) -> Column:
+    """On [0, 1), with 52 bits of the MD5 of ``seed|name|key|...``: any engine can draw the same numbers. NULL keys are left out of the text."""
+    text = F.concat_ws("|", F.lit(str(seed)), F.lit(name), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def keyed_normal(seed: int, name: str, *keys: Column | str) -> Column:
+    """Standard normal, from two uniform draws."""
+    a, b = keyed_uniform(seed, f"{name}/a", *keys), keyed_uniform(seed, f"{name}/b", *keys)
+    return F.sqrt(-2.0 * F.log(1.0 - a)) * F.cos(2 * math.pi * b)

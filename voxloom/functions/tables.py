@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that the cluster shares, from ``spark.checkpoint.dir``; where it is unset, a temporary one on a single machine, and an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

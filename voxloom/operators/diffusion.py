@@ -6,6 +6,7 @@ A schedule has one row per timestep, a few thousand at most by nature, and is br
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -84,6 +85,13 @@ def q_sample(x_start: Column, noise: Column) -> Column:
     return F.col("sqrt_alpha_cumprod") * x_start + F.col("sqrt_one_minus_alpha_cumprod") * noise
 
 
+def noised(rows: DataFrame, table: DataFrame, x_start: str, seed: int, keys: Sequence[str], noise: Callable[..., Column] | None = None) -> DataFrame:
+    """Rows at their ``t_index`` with ``noise`` and ``x_t`` added. noise: any function of a seed and key columns; standard normal by default."""
+    draw = noise or (lambda s, *k: scalar.keyed_normal(s, "noise", *k))
+    found = at_step(rows, table).withColumn("noise", draw(seed, *map(F.col, keys)))
+    return found.withColumn("x_t", q_sample(F.col(x_start), F.col("noise")))
+
+
 def q_mean_log_variance(x_start: Column) -> tuple[Column, Column]:
     return F.col("sqrt_alpha_cumprod") * x_start, F.col("log_one_minus_alpha_cumprod")
 

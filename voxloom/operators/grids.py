@@ -7,6 +7,8 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from voxloom.functions.scalar import keyed_uniform
+
 AXES = ("x", "y", "z")
 
 
@@ -67,7 +69,7 @@ def crop(voxels: DataFrame, lower: dict[str, Column | int], size: dict[str, Colu
 def random_patch_corner(uid: Column, image: int, patch: int, axis: str, seed: int) -> Column:
     """A corner on [0, image - patch), the end excluded; 0 if both are equal."""
     span = image - patch
-    return F.lit(0) if span <= 0 else F.pmod(F.xxhash64(uid, F.lit(axis), F.lit(seed)), F.lit(span)).cast("int")
+    return F.lit(0) if span <= 0 else F.floor(keyed_uniform(seed, f"corner-{axis}", uid) * span).cast("int")
 
 
 def center_pad(current: Column | int, target: Column | int) -> tuple[Column, Column]:

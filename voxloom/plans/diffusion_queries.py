@@ -6,7 +6,7 @@ from voxloom.catalog import query
 from voxloom.functions import scalar
 from voxloom.functions.nulls import six
 from voxloom.operators import diffusion
-from voxloom.plans.fixtures import EMB, LOSSES, STEPS, emb_images, loss_events, with_
+from voxloom.plans.fixtures import EMB, LOSSES, STEPS, emb_images, loss_events, uniform_sql, with_
 
 T = 50
 #: The schedule that the tables' timesteps index; its last step is the number of distinct timesteps of the data.
@@ -89,6 +89,17 @@ def noising(spark, sf_dir):
     return show(outputs(spark, sf_dir), ("xt", F.col("xt")), ("mean", mean), ("log_variance", log))
 
 
+_DRAW = uniform_sql(7, "noise", "uid || '|' || x || '|' || y")
+
+
+@query("U5_noise_function", ROWS + f", u AS (SELECT uid, x, y, ac, x0, 2 * {_DRAW} - 1 AS e FROM q) SELECT uid, x, y, round(e, 6) AS noise, round(sqrt(ac) * x0 + sqrt(1 - ac) * e, 6) AS x_t FROM u")
+def noise_function(spark, sf_dir):
+    """Noise from a function that the caller gives: uniform on [-1, 1)."""
+    rows = outputs(spark, sf_dir).select("uid", "x", "y", "t_index", "x0")
+    found = diffusion.noised(rows, table(spark), "x0", 7, ["uid", "x", "y"], lambda seed, *keys: 2 * scalar.keyed_uniform(seed, "noise", *keys) - 1)
+    return show(found, ("noise", F.col("noise")), ("x_t", F.col("x_t")))
+
+
 @query("D38_posterior", ROWS + "SELECT uid, x, y, round(c0 * x0 + ct * xt, 6) AS mean, round(v, 6) AS variance, round(lv, 6) AS log_variance FROM q")
 def posterior(spark, sf_dir):
     mean, var, log = diffusion.q_posterior(F.col("x0"), F.col("xt"))

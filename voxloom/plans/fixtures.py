@@ -97,3 +97,12 @@ LOSSES = "losses AS (SELECT event_id // 64 AS batch_id, (event_id % 64)::INT AS
 
 def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+def uniform_sql(seed: int, name: str, key: str = "uid") -> str:
+    """The keyed uniform draw in DuckDB's words."""
+    return f"(('0x' || substr(md5('{seed}|{name}|' || {key}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+def around_sql(most: float, p: float, neutral: float, seed: int, name: str, key: str = "uid") -> str:
+    return f"CASE WHEN {uniform_sql(seed, name + '/on', key)} < {p} THEN {neutral} + (2 * {uniform_sql(seed, name, key)} - 1) * {most!r}::DOUBLE ELSE {neutral}::DOUBLE END"

@@ -70,7 +70,13 @@ def fill_holes(spark, sf_dir):
     return counted(morphology.fill_holes(ragged(spark, sf_dir), (24, 20)))
 
 
-@query("I03_select_component")
+_SELECTED = """, sz AS (SELECT uid, component, count(*) AS n, min(id % 100) AS l FROM c GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY n DESC, component) AS r FROM sz),
+p AS (SELECT a.uid, CASE WHEN b.n IS NULL OR b.n <= 0.75 * a.n OR a.l < b.l THEN a.component ELSE b.component END AS component FROM k a LEFT JOIN k b ON b.uid = a.uid AND b.r = 2 WHERE a.r = 1),
+chosen AS (SELECT uid, id // 100 AS x, id % 100 AS y FROM c JOIN p USING (uid, component))
+"""
+
+
+@query("I03_select_component", RAGGED + _SELECTED + _COUNT.format("chosen"))
 def select_component(spark, sf_dir):
     return counted(morphology.select_component(ragged(spark, sf_dir)))
 
