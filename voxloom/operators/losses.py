@@ -57,6 +57,22 @@ def segmentation_loss(rows: DataFrame, voxel: Sequence[str], keys: Sequence[str]
     return out.withColumn("loss", (dice * F.col("dice_loss") + total) if dice > 0 else total)
 
 
+def loss_metrics(rows: DataFrame, headers: DataFrame, voxel: Sequence[str], keys: Sequence[str] = ("uid",), exclusive: bool = True, dice: float = 1.0, cross: float = 1.0, focal: float = 0.0, gamma: float = 2.0) -> DataFrame:
+    """What goes with :func:`segmentation_loss`, as long ``keys, metric, value``: share and volume of each true class, Dice loss by class
+    and on the whole, the other losses that have a weight, and their sum. headers: keys and ``spacing``.
+    """
+    cls, ml = F.col("cls").cast("string"), F.aggregate("spacing", F.lit(0.001), lambda a, s: a * s)
+    true = rows.groupBy(*keys, "cls").agg(F.sum("t").alias("n"), F.count("*").alias("voxels")).join(headers.select(*keys, "spacing"), list(keys))
+    named = lambda df, **columns: df.select(*keys, F.inline(F.array(*[F.struct(n.alias("metric"), v.cast("double").alias("value")) for n, v in columns.values()])))
+    by_class = named(true, a=(F.concat(F.lit("class_"), cls, F.lit("_proportion_true")), ratio(F.col("n"), F.col("voxels"))), b=(F.concat(F.lit("class_"), cls, F.lit("_volume_true")), F.col("n") * ml))
+    whole = segmentation_loss(rows, voxel, keys, exclusive, dice, cross, focal, gamma)
+    parts = {"total_loss": "loss"} | ({"dice_loss": "dice_loss"} if dice > 0 else {}) | ({"cross_entropy_loss": "cross_entropy"} if cross > 0 else {}) | ({"focal_loss": "focal"} if focal > 0 else {})
+    out = by_class.unionByName(named(whole, **{n: (F.lit(n), F.col(c)) for n, c in parts.items()}))
+    if dice > 0:
+        out = out.unionByName(named(dice_loss_by_class(rows, voxel, [*keys, "cls"], exclusive), a=(F.concat(F.lit("dice_loss_class_"), cls), F.col("dice_loss"))))
+    return out
+
+
 def image_errors(pairs: DataFrame, keys: Sequence[str] = ("uid",), true: str = "a", pred: str = "b", value_range: float = 1.0, eps: float = scalar.EPS) -> DataFrame:
     """PSNR, NRMSD and their loss forms of aligned values; one pass."""
     sums = pairs.groupBy(*keys).agg(F.avg(F.pow(F.col(true) - F.col(pred), F.lit(2.0))).alias("mse"), F.avg(true).alias("mean"))

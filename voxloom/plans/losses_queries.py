@@ -50,6 +50,19 @@ def segmentation_loss(spark, sf_dir):
     return found.select("uid", six("loss").alias("loss"), six("dice_loss").alias("dice_loss"))
 
 
+_METRICS = TERMS + """, k AS (SELECT uid, cls, sum(t) AS nt, count(*) AS nv FROM q GROUP BY uid, cls), m AS (SELECT uid, avg(dl) FILTER (cls > 0) AS dl FROM d GROUP BY uid),
+every AS (SELECT uid, 'class_' || cls || '_proportion_true' AS metric, nt / nv AS value FROM k UNION ALL SELECT uid, 'class_' || cls || '_volume_true', nt * 0.0015::DOUBLE FROM k UNION ALL SELECT uid, 'dice_loss_class_' || cls, dl FROM d
+  UNION ALL SELECT uid, 'dice_loss', dl FROM m UNION ALL SELECT uid, 'cross_entropy_loss', ce FROM n UNION ALL SELECT uid, 'focal_loss', fo FROM n UNION ALL SELECT uid, 'total_loss', m.dl + ce + 0.5::DOUBLE * fo FROM n JOIN m USING (uid))
+"""
+
+
+@query("D24b_loss_metrics", _METRICS + "SELECT uid, metric, round(value, 6) AS value FROM every")
+def loss_metrics(spark, sf_dir):
+    rows = targets(spark, sf_dir)
+    heads = rows.select("uid").distinct().select("uid", F.array(F.lit(1.0), F.lit(0.5), F.lit(3.0)).alias("spacing"))
+    return losses.loss_metrics(rows, heads, VOXEL, focal=0.5).withColumn("value", six("value"))
+
+
 PAIRS = with_(EMB) + ", pairs AS (SELECT a.uid, a.x, a.y, a.value AS a, b.value AS b FROM emb a JOIN emb b ON b.uid = a.uid + 1 AND a.x = b.x AND a.y = b.y), m AS (SELECT uid, avg(pow(a - b, 2)) AS mse, avg(a) AS mean FROM pairs GROUP BY uid)\n"
 
 
