@@ -44,7 +44,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's result is written and read again."""
+    """All stages over ``documents``; each one's result is written and read again.
+
+    Null texts have no words and go with the rules. Null identifiers are documents of their own, as are rows repeated with one
+    identifier and different texts; null sources are one source. Other columns travel along. An empty table gives no rows.
+    """
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)

@@ -1,4 +1,5 @@
 import os
+import random
 
 import corpus_pipeline
 from tests.llm import cases, test_exact_dedup, test_mixing, test_neardup
@@ -41,3 +42,21 @@ def test_stages_give_documents(spark, tmp_path):
     docs = cases.frame(spark).select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "").columns == docs.columns
+
+
+def test_null_and_repeated_identifiers_and_empty_table(spark, tmp_path):
+    """Distinct texts under null identifiers and identifiers repeated over sources: each row is mixed and packed by itself."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = [cases.prose(random.Random(k), 60) for k in range(24)]
+    ids = [None, None, 1, 1, 2, 2, *range(3, 21)]
+    found = [(i, t, "en", [None, "a", "b"][k % 3], len(t)) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    for name, rows in (("some", found), ("none", [])):
+        os.makedirs(tmp_path / name)
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    encode = ranks_encoder(vocabulary())
+    kept = [r for r in found if not rejected(r[1])]
+    times = mix_sources(spark.createDataFrame(kept, schema)).agg({"times": "sum"}).first()[0]
+    assert len(got) == times  # all texts are shorter than a sequence
+    assert {r.length for r in got} <= {len(encode(r[1])) + 1 for r in kept}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
