@@ -1,6 +1,6 @@
 """The queries of the training-data operators, each over its whole table, and SQL for those that SQL can express."""
 
-from voxloom.llm import exact_dedup, lmscore, mixing, neardup, packing, pii, quality, secrets, sharding, warc
+from voxloom.llm import exact_dedup, hardneg, lexical, lmscore, mixing, neardup, packing, pii, quality, secrets, sharding, urlfilter, warc
 
 QUERIES = {
     "op1_near_dedup": neardup.op1_near_dedup,
@@ -13,5 +13,8 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_secrets": secrets.op9_secrets,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_lexical_search": lexical.op11_lexical_search,
+    "op12_hard_negatives": hardneg.op12_hard_negatives,
+    "op13_url_filter": urlfilter.op13_url_filter,
 }
-SQL = neardup.SQL | mixing.SQL | warc.SQL | quality.SQL | exact_dedup.SQL
+SQL = neardup.SQL | mixing.SQL | warc.SQL | quality.SQL | exact_dedup.SQL | lexical.SQL | hardneg.SQL | urlfilter.SQL
