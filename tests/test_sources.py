@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxloom.operators import grids
-from voxloom.sources import files
+from voxloom.sources import files, volumes
 
 
 def png(path, pixels):
@@ -49,7 +49,7 @@ def test_grey_images(spark, tmp_path):
 def test_volumes(spark, tmp_path):
     data = np.arange(5 * 4 * 3, dtype=np.float32).reshape(5, 4, 3)
     volume(tmp_path / "scan.nii.gz", data, (1.0, 2.0, 0.5))
-    tiles = files.read_volumes(spark, str(tmp_path), (2, 3, 2))
+    tiles = volumes.read_volumes(spark, str(tmp_path), (2, 3, 2))
     back = grids.from_tiles(tiles, ["x", "y", "z"])
     assert {(r.x, r.y, r.z): r.value for r in back.collect()} == {i: float(v) for i, v in np.ndenumerate(data)}
     head = tiles.first()
@@ -62,7 +62,7 @@ def test_volume_frames(spark, tmp_path):
     for name, shape in (("four", (3, 2, 2, 4)), ("five", (2, 3, 2, 2, 3)), ("flat", (4, 3))):
         data = rng.integers(0, 99, shape).astype("f4")
         volume(tmp_path / f"{name}.nii", data, (1.0, 1.0, 1.0))
-        tiles = files.read_volumes(spark, str(tmp_path), (2, 2, 2), f"{name}.nii")
+        tiles = volumes.read_volumes(spark, str(tmp_path), (2, 2, 2), f"{name}.nii")
         back = {(r.x, r.y, r.z, r.frame): r.value for r in grids.from_tiles(tiles, ["x", "y", "z"], ["uid", "frame"]).collect()}
         spread = data.reshape([*(list(shape) + [1])[:3], -1], order="F")
         assert back == {i: float(v) for i, v in np.ndenumerate(spread)}
@@ -73,7 +73,7 @@ def test_volume_scaling_and_pose(spark, tmp_path):
     volume(tmp_path / "plain.nii", data, (1, 1, 1), slope=0.0, inter=5.0)
     volume(tmp_path / "scaled.nii", data, (1, 1, 1), slope=2.0, inter=5.0, quaternion=[0, 0, 1, 7, 8, 9])
     volume(tmp_path / "matrix.nii", data, (2, 3, 4), slope=1.0, inter=-1.0, quaternion=[0, 0, 0, 1, 1, 1], matrix=[2, 0, 0, 10, 0, 0, -4, 20, 0, 3, 0, 30])
-    got = {r.uid: r for r in files.read_volumes(spark, str(tmp_path)).collect()}
+    got = {r.uid: r for r in volumes.read_volumes(spark, str(tmp_path)).collect()}
     assert {k: list(r.data) for k, r in got.items()} == {"plain": [1, 2], "scaled": [7, 9], "matrix": [0, 1]}  # a slope of 0 scales nothing
     assert list(got["plain"].origin) == [0, 0, 0] and list(got["plain"].direction) == [1, 0, 0, 0, 1, 0, 0, 0, 1]
     assert list(got["scaled"].origin) == [7, 8, 9] and np.allclose(got["scaled"].direction, [-1, 0, 0, 0, -1, 0, 0, 0, 1])
@@ -139,3 +139,100 @@ def test_predictions(spark, tmp_path):
         files.write_predictions(bad, heads, f"{tmp_path}/q", two_dimensional=True)
     rows.select("uid").distinct().withColumn("split", F.lit("test")).transform(lambda d: files.write_split_manifests(d, f"{tmp_path}/s") or d)
     assert spark.read.csv(f"{tmp_path}/s", header=True).count() == 2
+
+
+def tiles_of(spark, data, uid="v", block=(2, 3, 2), **more):
+    """Rows of one volume: a tile a place, with its geometry."""
+    full = data.reshape([*data.shape, *[1] * (4 - data.ndim)])
+    rows = []
+    for k in range(full.shape[3]):
+        for o in np.ndindex(*[-(-n // b) for n, b in zip(full.shape, block)]):
+            at = [i * b for i, b in zip(o, block)]
+            part = full[tuple(slice(a, a + b) for a, b in zip(at, block)) + (k,)]
+            rows.append((uid, list(full.shape[:3]), [1.5, 0.5, 2.0], k, *at, *part.shape, [float(v) for v in part.ravel()]))
+    return spark.createDataFrame(rows, "uid string, shape array<int>, spacing array<double>, frame int, ox int, oy int, oz int, sx int, sy int, sz int, data array<float>").withColumns(more)
+
+
+def voxels(df):
+    return {(r.uid, r.frame, r.x, r.y, r.z): r.value for r in grids.from_tiles(df, ["x", "y", "z"], ["uid", "frame"]).collect()}
+
+
+def test_volumes_written_and_read(spark, tmp_path):
+    """Frames, geometry and voxels survive, whatever the tiles, for packed and for plain files cut over partitions."""
+    rng, at = np.random.default_rng(5), str(tmp_path / "v")
+    data = {"a": rng.integers(0, 99, (5, 4, 7, 3)).astype("f4"), "b": rng.integers(0, 99, (2, 2, 3, 3)).astype("f4")}
+    turn = F.array(*[F.lit(float(v)) for v in (0, -1, 0, 1, 0, 0, 0, 0, 1)])
+    df = tiles_of(spark, data["a"], "a").unionByName(tiles_of(spark, data["b"], "b", (1, 2, 3)))
+    df = df.withColumns({"origin": F.array(F.lit(-3.0), F.lit(4.0), F.lit(5.5)), "direction": turn})
+    volumes.write_volumes(df.repartition(3), at, frames=3, code=4)
+    assert sorted(os.listdir(at)) == ["a.nii.gz", "b.nii.gz"]
+    want = {(n, k, x, y, z): float(v) for n, d in data.items() for (x, y, z, k), v in np.ndenumerate(d)}
+    read = volumes.read_volumes(spark, at, (3, 3, 2))
+    assert voxels(read) == want
+    head = read.where("uid = 'a'").first()
+    assert (list(head["shape"]), list(head.spacing), list(head.origin)) == ([5, 4, 7], [1.5, 0.5, 2.0], [-3.0, 4.0, 5.5]) and np.allclose(head.direction, [0, -1, 0, 1, 0, 0, 0, 0, 1])
+    with gzip.open(f"{at}/a.nii.gz") as packed, open(tmp_path / "plain.nii", "wb") as plain:
+        plain.write(packed.read())
+    cut = spark.read.format("volumes").option("block", "3,3,2").option("groupBytes", 100).load(str(tmp_path / "plain.nii"))
+    assert cut.rdd.getNumPartitions() > 4
+    assert voxels(cut) == {("plain", *k[1:]): v for k, v in want.items() if k[0] == "a"}
+
+
+def test_conditions_reach_the_source(spark, tmp_path):
+    at = str(tmp_path)
+    for name in ("a", "b", "c"):
+        volume(tmp_path / f"{name}.nii", np.arange(24, dtype="f4").reshape(2, 3, 4) + ord(name), (1, 1, 1))
+    (tmp_path / "bad.nii").write_bytes(b"no volume")
+    with pytest.raises(Exception, match="not a volume|unpack"):
+        volumes.read_volumes(spark, at).collect()
+    got = volumes.read_volumes(spark, at).where("uid = 'b' AND frame IN (0, 4) AND ox = 0")
+    assert {r.uid for r in got.collect()} == {"b"}  # the other files are not opened
+    assert volumes.read_volumes(spark, at).where("uid = 'b' AND uid = 'c'").collect() == []
+    assert volumes.read_volumes(spark, at).where("uid = 'a' AND frame = 1").count() == 0
+    assert volumes.read_volumes(spark, at, glob="none*").count() == 0
+    (tmp_path / "a.nii").write_bytes((tmp_path / "b.nii").read_bytes())
+    whole = gzip.decompress((tmp_path / "b.nii").read_bytes()) if (tmp_path / "b.nii").read_bytes()[:2] == b"\x1f\x8b" else (tmp_path / "b.nii").read_bytes()
+    (tmp_path / "c.nii").write_bytes(whole[:-5])
+    with pytest.raises(Exception, match="ends within"):
+        volumes.read_volumes(spark, at).where("uid = 'c'").collect()
+
+
+def test_nothing_is_left_of_a_failed_write(spark, tmp_path):
+    at, data = str(tmp_path / "v"), np.ones((4, 3, 4), "f4")
+    good = tiles_of(spark, data, "good")
+    gap = tiles_of(spark, data, "gap").where("NOT (ox = 2 AND oz = 2)")
+    twice = tiles_of(spark, data, "twice").unionByName(tiles_of(spark, data, "twice").where("oz = 2"))
+    flat = tiles_of(spark, data, "flat").withColumn("shape", F.array(F.lit(4), F.lit(3)))
+    for bad, told in ((gap, "voxels from plane"), (twice, "voxels from plane|repeated"), (flat, "three dimensions"), (tiles_of(spark, data, "../x"), "name a file")):
+        with pytest.raises(Exception, match=told):
+            volumes.write_volumes(good.unionByName(bad), at)
+        assert os.listdir(at) == []
+    volumes.write_volumes(good, at)
+    with pytest.raises(Exception, match="written twice"):
+        volumes.write_volumes(good, at)
+    volumes.write_volumes(tiles_of(spark, data * 2, "new"), at)
+    assert sorted(os.listdir(at)) == ["good.nii.gz", "new.nii.gz"]
+    volumes.write_volumes(tiles_of(spark, data * 3, "good"), at, mode="overwrite")
+    assert os.listdir(at) == ["good.nii.gz"] and set(voxels(volumes.read_volumes(spark, at)).values()) == {3.0}
+
+
+def test_grey_images_written_and_read(spark, tmp_path):
+    at = str(tmp_path / "i")
+    rng = np.random.default_rng(2)
+    images = {"p": rng.random((5, 7)), "q": np.array([[-1.0, 2.0, 0.5]])}
+    rows = [(n, x, y, float(v)) for n, d in images.items() for (y, x), v in np.ndenumerate(d)]
+    volumes.write_grey_images(spark.createDataFrame(rows, "uid string, x int, y int, value double").repartition(3), at)
+    got = {(r.uid, r.x, r.y): r.value for r in files.read_grey_images(spark, at).collect()}
+    assert got == {(n, x, y): np.floor(min(max(v, 0), 1) * 255) / 255 for n, x, y, v in rows}
+    with pytest.raises(Exception, match="pixels long|missing"):
+        volumes.write_grey_images(spark.createDataFrame([("g", 0, 0, 1.0), ("g", 0, 2, 1.0)], "uid string, x int, y int, value double"), at)
+    assert sorted(os.listdir(at)) == ["p.png", "q.png"]
+
+
+def test_sinks_reject_other_dimensions(spark, tmp_path):
+    heads = spark.createDataFrame([("u", [4], [1.0])], "uid string, shape array<int>, spacing array<double>")
+    tile = spark.createDataFrame([("u", [1.0])], "uid string, data array<double>")
+    with pytest.raises(Exception, match="2 or 3 dimensions"):
+        files.write_predictions(tile, heads, str(tmp_path / "p"))
+    with pytest.raises(Exception, match="has 3 dimensions"):
+        files.write_fields(spark.createDataFrame([("u", 0, 0, 0, 1.0, 1.0, 1.0)], "uid string, x int, y int, z int, dx double, dy double, dz double"), heads, str(tmp_path / "f"))
