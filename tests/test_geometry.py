@@ -1,5 +1,7 @@
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,13 +78,32 @@ def test_edges_of_masks_at_the_border(spark):
 
 
 def test_surface_passes_in_three_dimensions(spark):
-    pts = [(k * 7 % 11, k * 5 % 9, k * 3 % 8) for k in range(30)]
-    axes = ["x", "y", "z"]
-    a = spark.createDataFrame([(1, 1, *p, [1.0, 0.5, 2.0]) for p in set(pts[:15])], "uid long, cls int, x int, y int, z int, spacing array<double>")
-    b = spark.createDataFrame([(1, 1, *p) for p in set(pts[15:])], "uid long, cls int, x int, y int, z int")
-    one = {(r.x, r.y, r.z): round(r.distance, 9) for r in surface.nearest(a, b, axes).collect()}
-    two = {(r.x, r.y, r.z): round(r.distance, 9) for r in surface.nearest_by_pairs(a, b, axes).collect()}
-    assert one == two and len(one) == a.count()
+    rng = random.Random(6)
+    axes, rows = ["x", "y", "z"], {"a": [], "b": []}
+    for key in range(9):
+        for side in rows:
+            n = rng.choice((0, 1, 3, 40)) if key else 60
+            size = 30 if key == 1 else 9
+            rows[side] += [(f"v{key % 3}", key, *[rng.randrange(-2, size) for _ in axes], [1.0, 0.5, 2.0 + key]) for _ in range(n)]
+    a, b = (spark.createDataFrame(r + r[:5], "uid string, cls int, x int, y int, z int, spacing array<double>").repartition(3) for r in rows.values())
+    want = {(u, c, *p): min((math.sqrt(sum((s * (i - j)) ** 2 for s, i, j in zip(sp, p, q))) for v, d, *q, _ in rows["b"] if (v, d) == (u, c)), default=None) for u, c, *p, sp in rows["a"]}
+    near = lambda v: None if v is None else round(v, 9)
+    for cells in (1 << 22, 500, 0):  # keys whole, in part by lines, all by lines
+        got = surface.distances(a, b, axes, cells=cells).collect()
+        assert len(got) == len(want) and {(r.uid, r.cls, r.x, r.y, r.z): near(r.distance) for r in got} == {k: near(v) for k, v in want.items()}
+    assert surface.nearest(a, b, axes).count() == a.count()
+    assert surface.distances(a.limit(0), b, axes).count() == 0 and {r.distance for r in surface.distances(a, b.limit(0), axes, cells=500).collect()} == {None}
+
+
+def test_lower_envelopes_of_random_lines():
+    rng = np.random.default_rng(3)
+    n = rng.integers(0, 7, 50)
+    at = np.sort(np.array([rng.choice(20, 7, replace=False) for _ in n]), axis=1)
+    at[np.arange(7) >= n[:, None]] = 0
+    g, s, start = rng.choice([0.0, 1.0, 2.25, 30.0], (50, 7)), rng.choice([0.5, 1.0, 3.0], 50), rng.integers(-5, 15, 50)
+    got = surface.lower_envelopes(at, g, n, s, start, 12)
+    for k in range(50):
+        assert np.allclose(got[k], [min((g[k, t] + (s[k] * (q - at[k, t])) ** 2 for t in range(n[k])), default=np.inf) for q in range(start[k], start[k] + 12)])
 
 
 def test_patch_grid_and_stitching(spark):
