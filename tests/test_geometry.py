@@ -188,6 +188,68 @@ def drawn(df, n, m):
     return ["".join("#" if (x, y) in got else "." for y in range(m)) for x in range(n)]
 
 
+def test_chords_against_brute_force(spark):
+    """Convex, broken and off-centre elements at the border of small images."""
+    rng = random.Random(11)
+    elements = [morphology.box(3), morphology.octagon(2, 3), morphology.disk(2), [(0, -1), (0, 1)], [(0, 0), (2, 1), (-1, -2)], [(1, 2)], [(0, 3), (0, 4), (-1, 0)], [(2, -3), (2, 3)]]
+    for n, offsets in enumerate(elements):
+        nx, ny = rng.choice([(5, 6), (7, 4), (3, 9)])
+        masks = {u: {(x, y) for x in range(nx) for y in range(ny) if rng.random() < (0.9, 0.6, 1.0)[u % 3]} for u in range(4)}
+        df = spark.createDataFrame([(f"u{u}", u, x, y) for u, m in masks.items() for x, y in m], "uid string, step int, x int, y int")
+        where = lambda x, y: 0 <= x < nx and 0 <= y < ny  # noqa: B023,E731
+        for f in (morphology.dilate, morphology.erode):
+            got = {(r.step, r.x, r.y) for r in f(df, offsets, (nx, ny), ["uid", "step"]).collect()}
+            want = set()
+            for u, m in masks.items():
+                for x, y in np.ndindex(nx, ny):
+                    if f is morphology.dilate:
+                        keep = any((x - i, y - j) in m for i, j in offsets)
+                    else:
+                        reached = [(x + i, y + j) for i, j in offsets if where(x + i, y + j)]
+                        keep = bool(reached) and all(p in m for p in reached)
+                    want |= {(u, x, y)} if keep else set()
+            assert got == want, (n, f.__doc__)
+    sizes = [len(morphology.box(5)), *map(len, morphology.ULTRASOUND)]
+    assert sizes == [25, 25, 69, 321] and {i: b for i, _, b in morphology.chords(morphology.ULTRASOUND[2])} == {i: min(9, 14 - abs(i)) for i in range(-9, 10)}
+
+
+def test_components_over_many_tiles(spark, monkeypatch):
+    """Tiles of every size give the components of a search, in two and three dimensions and for negative places."""
+    rng = random.Random(13)
+    for axes, side, share in ((["x", "y"], 16, 0.45), (["x", "y", "z"], 7, 0.2)):
+        rows = {(u, *[c - 3 for c in p]) for u in range(2) for p in np.ndindex(*[side] * len(axes)) if rng.random() < share}
+        df = spark.createDataFrame([tuple(map(int, r)) for r in rows], "uid int, " + ", ".join(f"{a} int" for a in axes))
+        for diagonal in (True, False):
+            steps = [s for s in np.ndindex(*[3] * len(axes)) if diagonal or sum(abs(v - 1) for v in s) == 1]
+            left, want = set(rows), set()
+            while left:
+                part, todo = set(), [left.pop()]
+                while todo:
+                    p = todo.pop()
+                    part.add(p)
+                    near = {(p[0], *[a + s - 1 for a, s in zip(p[1:], step)]) for step in steps} & left
+                    left -= near
+                    todo += near
+                want.add(frozenset(part))
+            for tile in (2, 64):
+                monkeypatch.setattr(morphology, "TILE", tile)
+                found = {}
+                for r in morphology.components(df, axes=axes, diagonal=diagonal).collect():
+                    found.setdefault(r.component, set()).add((r.uid, *[r[a] for a in axes]))
+                assert {frozenset(v) for v in found.values()} == want, (axes, diagonal, tile)
+
+
+def test_clean_up_by_step(spark):
+    """Steps are cleaned apart; a mask thinner than the first element is gone."""
+    rows = [(1, s, x, y) for s, keep in ((0, range(0, 30)), (1, range(12, 14))) for x in range(30) for y in keep]
+    df = spark.createDataFrame(rows, "uid long, step int, x int, y int")
+    got = morphology.clean_mask(df, (40, 34), *morphology.ULTRASOUND, keys=["uid", "step"])
+    assert {r.step for r in got.select("step").distinct().collect()} == {0} and got.count() > 850
+    labels = df.withColumns({"label_pred": F.lit(2), "label_true": F.lit(1)})
+    kept = morphology.clean_predictions(labels, (40, 34), keys=["uid", "step"])
+    assert {(r.step, r.label_pred) for r in kept.select("step", "label_pred").distinct().collect()} >= {(0, 1), (1, 0)} and kept.count() == df.count()
+
+
 def test_morphology_at_the_border(spark):
     full = grid(spark, ["####"] * 4)
     assert drawn(morphology.erode(full, morphology.box(3), (4, 4)), 4, 4) == ["####"] * 4  # places outside take no part

@@ -106,3 +106,27 @@ def uniform_sql(seed: int, name: str, key: str = "uid") -> str:
 
 def around_sql(most: float, p: float, neutral: float, seed: int, name: str, key: str = "uid") -> str:
     return f"CASE WHEN {uniform_sql(seed, name + '/on', key)} < {p} THEN {neutral} + (2 * {uniform_sql(seed, name, key)} - 1) * {most!r}::DOUBLE ELSE {neutral}::DOUBLE END"
+
+
+#: Ultrasound-like masks: width and height.
+US_SHAPE = (64, 48)
+_US_FAR = "(x-20-uid%9)*(x-20-uid%9)*(12+uid%3)*(12+uid%3) + (y-16-uid%7)*(y-16-uid%7)*(13+uid%4)*(13+uid%4) <= (12+uid%3)*(12+uid%3)*(13+uid%4)*(13+uid%4)"
+_US = [
+    f"CAST(CASE WHEN {_US_FAR} THEN 1 ELSE 0 END AS INT) AS label_true",
+    f"""CAST(CASE WHEN (x*5+y*11+uid*3)%53 = 0 OR (x-20-uid%9)*(x-20-uid%9)+(y-16-uid%7)*(y-16-uid%7) <= uid%4*2 THEN 0 WHEN {_US_FAR} THEN 1
+  WHEN (x-49)*(x-49)*(11+uid%2)*(11+uid%2) + (y-30-uid%5)*(y-30-uid%5)*(9+uid%6)*(9+uid%6) <= (11+uid%2)*(11+uid%2)*(9+uid%6)*(9+uid%6) THEN 1 WHEN (x*7+y*13+uid)%31 = 0 THEN 1 ELSE 0 END AS INT) AS label_pred""",
+]
+
+
+def us_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A 64 x 48 mask for every supplier: an ellipse, and as its prediction that one with holes, another one, and specks."""
+    grid = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("uid")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(US_SHAPE[0] - 1)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(US_SHAPE[1] - 1))))
+    return grid.selectExpr("uid", "x", "y", "0 AS z", *_US)
+
+
+US = f"us AS (SELECT s_suppkey AS uid, x, y, {', '.join(_US).replace('uid', 's_suppkey')} FROM supplier CROSS JOIN (SELECT unnest(range(0, {US_SHAPE[0]}))::INT AS x) CROSS JOIN (SELECT unnest(range(0, {US_SHAPE[1]}))::INT AS y))"
+
+
+def noise_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse voxels of volumes: eight noise images stacked, of which those with label 2 and a low score are foreground."""
+    return noise_voxels(spark, sf_dir).where("label_true = 2 AND p_soft < 0.25").selectExpr("uid div 8 AS uid", "x", "y", "CAST(uid % 8 AS INT) AS z")
