@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxloom.operators import grids, intensity, morphology, resample, stencils, surface
+from voxloom.operators import grids, intensity, morphology, ranks, resample, stencils, surface
 
 XY = ["x", "y"]
 
@@ -106,6 +106,25 @@ def test_lower_envelopes_of_random_lines():
         assert np.allclose(got[k], [min((g[k, t] + (s[k] * (q - at[k, t])) ** 2 for t in range(n[k])), default=np.inf) for q in range(start[k], start[k] + 12)])
 
 
+def test_quantiles_of_large_groups(spark):
+    """Counting around splitters gives what sorting gives: ties, far apart scales, negative values, few and many splitters."""
+    rng = np.random.default_rng(7)
+    groups = {"normal": rng.normal(0, 1, 900), "ties": rng.integers(0, 3, 700).astype(float), "same": np.full(500, 2.5), "wide": np.concatenate([rng.normal(0, 1e-300, 300), rng.normal(0, 1e300, 300), [1.7e308, -1.7e308]]), "few": np.array([1.0, 4.0])}
+    rows = [(n, k % 2, float(v)) for n, d in groups.items() for k, v in enumerate(d)] + [("normal", 0, None), ("normal", 1, float("nan")), ("none", 0, None)]
+    df = spark.createDataFrame(rows, "uid string, step int, value double").repartition(5)
+    shares = [0.0, 0.0095, 0.5, 0.995, 1.0]
+    for small, splits in ((100_000, 128), (10, 8), (0, 128)):
+        got = {(r.uid, r.step): [r[f"p{k}"] for k in range(5)] for r in ranks.quantiles(df, ["uid", "step"], shares, small=small, splits=splits).collect()}
+        assert len(got) == 11 and got["none", 0] == [None] * 5
+        for n, d in groups.items():
+            for s in (0, 1):
+                with np.errstate(over="ignore"):
+                    v = np.sort(d[s::2])
+                    at = [p * (len(v) - 1) for p in shares]
+                    want = [v[int(a)] if a == int(a) or v[int(a)] == v[int(a) + 1] else (int(a) + 1 - a) * v[int(a)] + (a - int(a)) * v[int(a) + 1] for a in at]
+                assert np.allclose(got[n, s], want, rtol=1e-12, atol=0), (n, s, small, splits)
+
+
 def test_patch_grid_and_stitching(spark):
     assert grids.patch_grid((6, 11), (3, 5), (1, 3)) == [(x, y) for x in (0, 2, 3) for y in (0, 2, 4, 6)]
     df = image(spark, [[float(x * 11 + y) for y in range(11)] for x in range(6)])
