@@ -125,6 +125,38 @@ def test_quantiles_of_large_groups(spark):
                 assert np.allclose(got[n, s], want, rtol=1e-12, atol=0), (n, s, small, splits)
 
 
+def test_interpolation_across_tiles(spark, monkeypatch):
+    """Two and three axes, tiles of every size, both border rules, far, absent and undefined coordinates, batches that cut tiles."""
+    rng = random.Random(21)
+    for axes, shape in ((["x", "y"], (9, 7)), (["x", "y", "z"], (5, 4, 6))):
+        image = {(u, *p): rng.uniform(-5, 5) for u in (1, 2) for p in np.ndindex(*shape) if rng.random() < 0.9}
+        place = lambda n: rng.choice([rng.uniform(-2, n + 1), float(rng.randrange(-1, n + 1)), n - 1.0])
+        asked = {(u, k, *[0] * (len(axes) - 1)): [place(n) for n in shape] for u in (1, 2, 3) for k in range(80)}
+        asked |= {(1, 900, *[0] * (len(axes) - 1)): [None] + [0.0] * (len(axes) - 1), (1, 901, *[0] * (len(axes) - 1)): [float("nan")] * len(axes), (1, 902, *[0] * (len(axes) - 1)): [1e300] + [0.0] * (len(axes) - 1)}
+        names = ", ".join(f"{a} int" for a in axes)
+        source = spark.createDataFrame([(*map(int, k), v) for k, v in image.items()] + [(1, *[0 if k else shape[0] for k in range(len(axes))], None)], f"uid int, {names}, v double").repartition(4)
+        targets = spark.createDataFrame([(*k, *s, list(shape)) for k, s in asked.items()], f"uid int, {names}, " + ", ".join(f"s{a} double" for a in axes) + ", shape array<int>")
+        for border in ("blend", "clamp"):
+            want = {}
+            for k, s in asked.items():
+                total = 0.0 if all(v is not None and abs(v) < 1e9 for v in s) else None
+                if border == "clamp" and total is not None:
+                    total = total if all(-0.5 <= v < n - 0.5 for v, n in zip(s, shape)) else None
+                    s = [max(0.0, min(v, n - 1.0)) for v, n in zip(s, shape)]
+                if total is not None:
+                    for step in np.ndindex(*[2] * len(axes)):
+                        low = [math.floor(v) for v in s]
+                        w = math.prod(v - b if c else 1 - (v - b) for v, b, c in zip(s, low, step))
+                        total += w * image.get((k[0], *[b + c for b, c in zip(low, step)]), 7.0) if w else 0.0
+                want[k] = 7.0 if total is None else total
+            for tile, rows in ((32, 1 << 16), (3, 1 << 16), (2, 10)):
+                monkeypatch.setattr(resample, "TILE", tile)
+                monkeypatch.setattr(resample, "ROWS", rows)
+                got = {(r.uid, *[r[a] for a in axes]): r.v for r in resample.multilinear(targets, source, axes, "v", 7.0, ["uid"], border, "shape").collect()}
+                assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want), (axes, border, tile)
+        assert resample.multilinear(targets, source.limit(0), axes, "v", 7.0).select("v").distinct().collect()[0].v == 7.0
+
+
 def test_patch_grid_and_stitching(spark):
     assert grids.patch_grid((6, 11), (3, 5), (1, 3)) == [(x, y) for x in (0, 2, 3) for y in (0, 2, 4, 6)]
     df = image(spark, [[float(x * 11 + y) for y in range(11)] for x in range(6)])
