@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-MODULES = ("overlap", "losses", "intensity", "stencils", "catalogue", "surface", "reports", "diffusion", "grids", "resample", "morphology", "randoms", "streams", "stores")
+MODULES = ("overlap", "losses", "intensity", "stencils", "catalogue", "surface", "reports", "diffusion", "grids", "resample", "morphology", "randoms", "streams", "stores", "preprocess")
 
 
 def query(name: str, sql: str | None = None):

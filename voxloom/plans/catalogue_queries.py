@@ -1,11 +1,15 @@
 """Queries of catalogues, splits, batches and checkpoints."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from voxloom.catalog import query
 from voxloom.functions.nulls import six
+from voxloom.functions.tables import shared_folder
 from voxloom.operators import catalogue
 from voxloom.plans.fixtures import BLOB, read, with_
+from voxloom.sources import files
 
 PATHS = "paths AS (SELECT page_id, './imagesTr/amos_' || lpad(page_id::VARCHAR, 4, '0') || '.nii.gz' AS path FROM pages)"
 CKPT = "ckpt AS (SELECT o_custkey AS run, o_orderkey AS step, o_orderpriority AS metric, floor(o_totalprice / 50000) AS value FROM orders)"
@@ -26,16 +30,14 @@ def slots(spark, sf_dir):
     return read(spark, sf_dir, "conversations").selectExpr("conv_id AS batch", "cast(turn AS int) AS slot", "cast(length(text) AS long) AS value", "CASE WHEN turn % 5 = 3 THEN '' ELSE concat(conv_id, '-', turn) END AS uid")
 
 
-@query("A04_manifest_paths", with_(PATHS) + "SELECT page_id, path, row_number() OVER (ORDER BY page_id) - 1 AS place FROM paths")
+@query("A04_manifest_paths", with_(PATHS) + "SELECT page_id, path, (row_number() OVER (PARTITION BY page_id // 1000 ORDER BY page_id) - 1)::INT AS place FROM paths")
 def manifest(spark, sf_dir):
-    """A manifest as one nested value per thousand pages, exploded again in order."""
-    from voxloom.functions.tables import numbered
-
-    groups = paths(spark, sf_dir).groupBy(F.floor(F.col("page_id") / 1000).alias("g")).agg(F.array_sort(F.collect_list(F.struct("page_id", "path"))).alias("training"))
-    return numbered(groups.select(F.explode("training").alias("e")).select("e.*"), "page_id", "place").select("page_id", "path", "place")
-
-
-_NESTED = "struct<user:struct<id:long,kind:string>,value:double>"
+    """A JSON manifest for every thousand pages, written as a file each and read back in order."""
+    at = f"{shared_folder(spark)}/manifests-{uuid.uuid4().hex}"
+    entries = F.array_sort(F.collect_list(F.struct("page_id", "path")))
+    texts = paths(spark, sf_dir).groupBy(F.floor(F.col("page_id") / 1000).alias("manifest")).agg(F.to_json(F.struct(entries.alias("training"))).alias("value"))
+    texts.write.partitionBy("manifest").text(at)
+    return files.read_manifest(spark, at, "training").select("page_id", "path", "place")
 
 
 @query("A08_flatten_record", "SELECT event_id, user_id AS record_user_id, event_type AS record_user_kind, round(value, 6) AS record_value FROM events")
