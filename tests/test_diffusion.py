@@ -1,4 +1,6 @@
+import datetime
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,24 +89,68 @@ def test_loss_history(spark):
         assert got[t][0] == n and math.isclose(got[t][1], h)
 
 
+def arrivals(spark, at, parts, schema):
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{at}/in/{k}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{at}/in")
+
+
+LOSS_ROWS = "batch_id long, pos int, t_index int, loss double"
+
+
 def test_loss_history_stream_with_split_batches(spark, tmp_path):
+    """Batches go on in later arrivals and come out of order, in time and across restarts."""
+    orders = [(EVENTS[:1], EVENTS[1:4], EVENTS[4:5], EVENTS[5:]), (EVENTS[5:], EVENTS[2:4], EVENTS[:2], EVENTS[4:5])]
+    for n, parts in enumerate(orders):
+        at = f"file://{tmp_path}/{n}"
+        rows = history.run_to_end(history.loss_history(arrivals(spark, at, parts, LOSS_ROWS)), at, "update")
+        last = rows.groupBy("t_index").agg(F.max_by(F.struct("n", "loss_sq"), "n").alias("r")).select("t_index", "r.*").collect()
+        assert {r.t_index for r in last} == set(folded())
+        for r in last:
+            n_rows, h = folded()[r.t_index]
+            assert r.n == n_rows and math.isclose(r.loss_sq, h)
+
+
+def test_late_batches_are_dropped_and_others_folded(spark, tmp_path):
+    """What waits is folded as the watermark passes: the history stays exact, and a batch beyond the bound no longer counts."""
     at = f"file://{tmp_path}"
-    for k, part in enumerate((EVENTS[:1], EVENTS[1:4], EVENTS[4:5], EVENTS[5:])):  # batches go on in later arrivals
-        spark.createDataFrame(part, "batch_id long, pos int, t_index int, loss double").coalesce(1).write.parquet(f"{at}/in/{k}")
-    stream = spark.readStream.schema("batch_id long, pos int, t_index int, loss double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{at}/in")
-    rows = history.run_to_end(history.loss_history(stream), at, "update")
-    last = rows.groupBy("t_index").agg(F.max_by(F.struct("n", "loss_sq"), "epoch_id").alias("r")).select("t_index", "r.*").collect()
-    for r in last:
-        n, h = folded()[r.t_index]
-        assert r.n == n and math.isclose(r.loss_sq, h)
+    parts = [[(b, 0, 1, float(b % 7))] for b in (0, 3, 2, 1, 40, 38, 80, 79, 120, 5, 119)]
+    stream = history.loss_history(arrivals(spark, at, parts, LOSS_ROWS), late=10)
+    rows = history.run_to_end(stream, at, "update")
+    kept = sorted(b for ((b, *_),) in parts if b != 5)  # 5 came after 120
+    want = 0.0
+    for b in kept:
+        want = 0.9 * want + 0.1 * float(b % 7) ** 2
+    last = rows.orderBy(F.desc("n")).first()
+    assert last.n == len(kept) and math.isclose(last.loss_sq, want)
 
 
 def test_early_stop_stream(spark, tmp_path):
-    at = f"file://{tmp_path}"
-    rows = spark.createDataFrame([(1, k, v) for k, v in enumerate((0.1, 0.5, 0.52, 0.51, 0.4, 0.9))] + [(2, 0, 1.0)], "run long, step long, value double")
-    rows.coalesce(1).write.parquet(f"{at}/in")
-    got = history.run_to_end(history.early_stops(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), 3, 0.05), at).collect()
-    assert [(r.run, r.stop_step, r.best) for r in got] == [(1, 4, 0.5)]
+    values = [(1, k, v) for k, v in enumerate((0.1, 0.5, 0.52, 0.51, 0.4, 0.9))]
+    for n, parts in enumerate(([[*values, (2, 0, 1.0)]], [values[3:], [(2, 0, 1.0)], values[1:3], values[:1]])):
+        at = f"file://{tmp_path}/{n}"
+        rows = history.run_to_end(history.early_stops(arrivals(spark, at, parts, "run long, step long, value double"), 3, 0.05), at, "update")
+        got = {r.run: (r.n, r.stop_step, r.best) for r in rows.groupBy("run").agg(F.max("n").alias("n"), F.max_by(F.struct("stop_step", "best"), "n").alias("r")).select("run", "n", "r.*").collect()}
+        assert got == {1: (6, 4, 0.5), 2: (1, None, 1.0)}
+
+
+def test_ingest_of_repeated_scans(spark, tmp_path):
+    """A tile sent again, in its arrival, a later one or after a restart, is there once; so is what a failed commit repeats."""
+    at, schema = f"file://{tmp_path}", "uid long, ox int, data array<double>, sent timestamp"
+    day = lambda d: datetime.datetime(2024, 1, d)
+    first = [(1, 0, [1.0], day(1)), (1, 0, [1.0], day(1)), (1, 8, [2.0], day(1))]
+    again = [(1, 0, [1.0], day(2)), (2, 0, [3.0], day(2))]
+    run = lambda: history.ingest(history.new_tiles(spark, f"{at}/in", schema, options={"recursiveFileLookup": "true"}), at, ["uid", "ox"], "sent", "3 days")
+    for k, part in enumerate((first, again)):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{at}/in/{k}")
+        got = run()
+    assert sorted((r.uid, r.ox) for r in got.collect()) == [(1, 0), (1, 8), (2, 0)] and run().count() == 3
+    newest = max(p for p in os.listdir(f"{tmp_path}/checkpoint/commits") if p.isdigit())
+    for name in (newest, f".{newest}.crc"):  # as if it had failed after writing
+        os.remove(f"{tmp_path}/checkpoint/commits/{name}")
+    assert sorted((r.uid, r.ox) for r in run().collect()) == [(1, 0), (1, 8), (2, 0)]
+    spark.createDataFrame([(3, 0, [4.0], day(20))], schema).coalesce(1).write.parquet(f"{at}/in/9")
+    assert run().where("uid = 3").count() == 1
 
 
 def test_random_columns(spark):

@@ -2,32 +2,85 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
+#: Keyed state lives on disk, beyond the executors' heap.
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
-def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One timestep's rows of a micro-batch: batches in order, the last row of each moves the average."""
-    n, average, batch, pending = state.get if state.exists else (0, 0.0, -1, 0.0)
-    rows = pd.concat(list(frames)).sort_values(["batch_id", "pos"])
-    for b, loss in zip(rows["batch_id"].tolist(), rows["loss"].tolist(), strict=True):
-        if b != batch and batch >= 0:
-            average = 0.9 * average + 0.1 * pending * pending
-        batch, pending, n = b, loss, n + 1
-    state.update((n, average, batch, pending))
-    yield pd.DataFrame({"t_index": [key[0]], "n": [n], "loss_sq": [0.9 * average + 0.1 * pending * pending]})
 
+class _Ordered(StatefulProcessor):
+    """Rows of a key folded in the order of an integer from 0 on, however they arrive; its event time is one second later than its number.
 
-def loss_history(events: DataFrame) -> DataFrame:
-    """A stream of ``batch_id, pos, t_index, loss`` as running ``t_index, n, loss_sq``, in update mode.
+    Folded state is one value; what the watermark has not passed yet waits in a map by that integer, and a timer on event time folds it
+    once nothing before it can come any more. Subclasses say how a row changes what waits and how that is folded.
+    """
+
+    state_type = waiting_type = ""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.folded = handle.getValueState("folded", self.state_type)
+        self.waiting = handle.getMapState("waiting", "at long", self.waiting_type)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        waiting = {k[0]: v for k, v in self.waiting.iterator()} if self.waiting.exists() else {}
+        state, changed = self.folded.get() if self.folded.exists() else self.start, set()
+        for frame in rows:
+            for row in frame.itertuples(index=False):
+                state, changed = self.add(state, waiting, row), changed | {self.at(row)}
+        self.folded.update(state)
+        for at in changed:
+            self.waiting.updateValue((at,), waiting[at])
+        self.handle.registerTimer((max(changed) + 1) * 1000)
+        yield self.result(key, reduce(self.fold, sorted(waiting.items()), state))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() // 1000
+        ready = sorted((k[0], v) for k, v in self.waiting.iterator() if k[0] + 1 <= passed)
+        self.folded.update(reduce(self.fold, ready, self.folded.get()))
+        for at, _ in ready:
+            self.waiting.removeKey((at,))
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+class _History(_Ordered):
+    """The last row of each batch moves a timestep's average of squares; folded: rows seen, average."""
+
+    state_type, waiting_type, start = "n long, average double", "pos long, loss double", (0, 0.0)
+
+    def at(self, row) -> int:
+        return int(row.batch_id)
+
+    def add(self, state: tuple, waiting: dict, row) -> tuple:
+        pos, _ = waiting.get(int(row.batch_id), (-1, 0.0))
+        if row.pos >= pos:
+            waiting[int(row.batch_id)] = (int(row.pos), float(row.loss))
+        return state[0] + 1, state[1]
+
+    def fold(self, state: tuple, item: tuple) -> tuple:
+        return state[0], 0.9 * state[1] + 0.1 * item[1][1] ** 2
+
+    def result(self, key: tuple, state: tuple) -> pd.DataFrame:
+        return pd.DataFrame({"t_index": [key[0]], "n": [state[0]], "loss_sq": [state[1]]})
 
-    State is one row per timestep. A batch may go on in a later micro-batch: its last row so far is held apart from the average.
-    Batches must arrive in order.
+
+def loss_history(events: DataFrame, late: int = 1000) -> DataFrame:
+    """A stream of ``batch_id, pos, t_index, loss`` as running ``t_index, n, loss_sq``, in update mode; a timestep's row with the largest n is its last.
+
+    Batches may arrive in any order and in parts as long as they are at most ``late`` batches behind the newest one; later
+    ones are dropped. State is one row per timestep, and one for each of its batches that others may still precede.
     """
-    return events.groupBy("t_index").applyInPandasWithState(_update, "t_index int, n long, loss_sq double", "n long, average double, batch long, pending double", "update", GroupStateTimeout.NoTimeout)
+    timed = events.withColumn("at", F.timestamp_seconds(F.col("batch_id") + 1)).withWatermark("at", f"{late} seconds")
+    return timed.groupBy("t_index").transformWithStateInPandas(_History(), "t_index int, n long, loss_sq double", "Update", "EventTime")
 
 
 def running_metrics(stream: DataFrame, window: str = "1 hour", late: str = "2 hours", time: str = "ts") -> DataFrame:
@@ -35,45 +88,71 @@ def running_metrics(stream: DataFrame, window: str = "1 hour", late: str = "2 ho
     return stream.withWatermark(time, late).groupBy(F.window(time, window).alias("w"), "metric").agg(F.count("*").alias("n"), F.avg("value").alias("value")).select(F.col("w.start").alias("start"), "metric", "n", "value")
 
 
-def _stop(patience: int, min_delta: float):
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, wait, stopped, any_yet = state.get if state.exists else (0.0, 0, False, False)
-        out = []
-        rows = pd.concat(list(frames)).sort_values("step")
-        for step, value in zip(rows["step"].tolist(), rows["value"].tolist(), strict=True):
-            if stopped:
-                break
-            if not any_yet or value - best > min_delta:
-                best, wait, any_yet = value, 0, True
-            else:
-                wait += 1
-                if wait >= patience:
-                    stopped = True
-                    out.append((key[0], step, best))
-        state.update((best, wait, stopped, any_yet))
-        yield pd.DataFrame(out, columns=["run", "stop_step", "best"]).astype({"run": "int64", "stop_step": "int64", "best": "float64"})
+class _Stops(_Ordered):
+    """A run's values in order of steps; folded: rows seen, best value, steps without a better one, where it stopped (-1: not yet), whether there is any."""
+
+    state_type, waiting_type, start = "n long, best double, wait int, stop long, any boolean", "value double", (0, 0.0, 0, -1, False)
+
+    def __init__(self, patience: int, min_delta: float) -> None:
+        self.patience, self.min_delta = patience, min_delta
 
-    return run
+    def at(self, row) -> int:
+        return int(row.step)
 
+    def add(self, state: tuple, waiting: dict, row) -> tuple:
+        waiting[int(row.step)] = (float(row.value),)
+        return (state[0] + 1, *state[1:])
 
-def early_stops(metrics: DataFrame, patience: int, min_delta: float) -> DataFrame:
-    """A stream of ``run, step, value`` in step order as the runs that stop, once each."""
-    return metrics.groupBy("run").applyInPandasWithState(_stop(patience, min_delta), "run long, stop_step long, best double", "best double, wait int, stopped boolean, any_yet boolean", "append", GroupStateTimeout.NoTimeout)
+    def fold(self, state: tuple, item: tuple) -> tuple:
+        (n, best, wait, stop, any_), (step, (value,)) = state, item
+        if stop >= 0:
+            return state
+        if not any_ or value - best > self.min_delta:
+            return n, value, 0, stop, True
+        return n, best, wait + 1, step if wait + 1 >= self.patience else stop, True
 
+    def result(self, key: tuple, state: tuple) -> pd.DataFrame:
+        out = pd.DataFrame({"run": [key[0]], "n": [state[0]], "stop_step": [state[3] if state[3] >= 0 else None], "best": [state[1]]})
+        return out.astype({"run": "int64", "stop_step": "Int64"})
 
-def new_tiles(spark: SparkSession, folder: str, schema, epochs: int = 1) -> DataFrame:
+
+def early_stops(metrics: DataFrame, patience: int, min_delta: float, late: int = 1000) -> DataFrame:
+    """A stream of ``run, step, value`` as ``run, n, stop_step, best`` in update mode; n counts rows, stop_step is NULL while a run goes on.
+
+    Steps may arrive in any order as long as they are at most ``late`` behind the newest one of all runs; later ones are dropped. An
+    earlier step can still move a stop, so a run's row with the largest n counts.
+    """
+    timed = metrics.withColumn("at", F.timestamp_seconds(F.col("step") + 1)).withWatermark("at", f"{late} seconds")
+    return timed.groupBy("run").transformWithStateInPandas(_Stops(patience, min_delta), "run long, n long, stop_step long, best double", "Update", "EventTime")
+
+
+def new_tiles(spark: SparkSession, folder: str, schema, epochs: int = 1, options: dict[str, str] | None = None) -> DataFrame:
     """A file stream over a tile store; repetition is a column, not an endless source."""
-    tiles = spark.readStream.schema(schema).parquet(folder)
+    tiles = spark.readStream.schema(schema).options(**(options or {})).parquet(folder)
     return tiles.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
 
 
-def run_to_end(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that its source holds now, and give what it wrote. Update mode keeps each micro-batch's rows apart by ``epoch_id``."""
+def ingest(tiles: DataFrame, folder: str, keys: Sequence[str], time: str, late: str = "7 days") -> DataFrame:
+    """Run a stream of tiles over all that its source holds now into a store that holds each tile once; gives the store.
+
+    A tile sent again is told by ``keys`` (and its epoch) as long as its ``time`` is at most ``late`` behind the newest one;
+    state for older ones is dropped, and so are they. Every micro-batch overwrites the folder named by its number, so that one
+    that is repeated after a failure leaves its rows once.
+    """
+    once = tiles.withWatermark(time, late).dropDuplicatesWithinWatermark([*keys, "epoch"])
+    return run_to_end(once, folder, "append", numbered=True)
+
+
+def run_to_end(stream: DataFrame, folder: str, mode: str = "append", numbered: bool = False) -> DataFrame:
+    """Run a stream over all that its source holds now, and give what it wrote. Update and complete mode, and ``numbered`` ones, keep each
+    micro-batch's rows apart by ``epoch_id``."""
     spark = stream.sparkSession
+    for name, value in STORE.items():
+        spark.conf.set(name, value)
     out, check = f"{folder}/out", f"{folder}/checkpoint"
-    if mode == "append":
+    if mode == "append" and not numbered:
         query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start()
     else:
-        query = stream.writeStream.foreachBatch(lambda df, k: df.withColumn("epoch_id", F.lit(k)).write.mode("overwrite").parquet(f"{out}/epoch={k}")).option("checkpointLocation", check).outputMode(mode).trigger(availableNow=True).start()
+        query = stream.writeStream.foreachBatch(lambda df, k: df.withColumn("epoch_id", F.lit(k)).write.mode("overwrite").parquet(f"{out}/batch={k}")).option("checkpointLocation", check).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.schema(stream.schema.add("epoch_id", "long")).parquet(f"{out}/batch=*") if mode != "append" or numbered else spark.read.parquet(out)
