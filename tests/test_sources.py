@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxloom.operators import grids
-from voxloom.sources import files, volumes
+from voxloom.operators import grids, overlap
+from voxloom.sources import files, stores, volumes
 
 
 def png(path, pixels):
@@ -236,3 +236,22 @@ def test_sinks_reject_other_dimensions(spark, tmp_path):
         files.write_predictions(tile, heads, str(tmp_path / "p"))
     with pytest.raises(Exception, match="has 3 dimensions"):
         files.write_fields(spark.createDataFrame([("u", 0, 0, 0, 1.0, 1.0, 1.0)], "uid string, x int, y int, z int, dx double, dy double, dz double"), heads, str(tmp_path / "f"))
+
+
+def test_bucketed_tables_align_without_a_shuffle(spark, tmp_path):
+    rows = [(u, x, y, (u + x) % 3, (u + y) % 3) for u in range(6) for x in range(5) for y in range(4)]
+    df = spark.createDataFrame(rows, "uid long, x int, y int, label_true int, label_pred int")
+    found = [stores.write_bucketed(df.where(f"{c} > 0").select("uid", "x", "y", c), f"bucketed_{c}", f"file://{tmp_path}/{c}", 4, order=["uid", "x", "y"]) for c in ("label_true", "label_pred")]
+    out = overlap.stored_overlap(*found)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    want = {(u, c): tuple(sum(f(t, p) for v, _, _, t, p in rows if v == u) for f in (lambda t, p: t == p == c, lambda t, p: p == c, lambda t, p: t == c)) for u in range(6) for c in (1, 2)}  # noqa: B023
+    assert {(r.uid, r.cls): (r.inter, r.n_pred, r.n_true) for r in out.collect()} == want
+    assert len([f for f in os.listdir(tmp_path / "label_true") if f.endswith(".parquet")]) <= 4
+
+
+def test_long_splits_are_many_files(spark, tmp_path):
+    rows = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("uid"), F.when(F.col("id") % 10 == 0, "test").otherwise("train").alias("split"))
+    files.write_split_manifests(rows, str(tmp_path / "s"), per_file=100)
+    names = sorted(f for f in os.listdir(tmp_path / "s" / "split=train") if f.endswith(".csv"))
+    read = [line for f in names for line in (tmp_path / "s" / "split=train" / f).read_text().split()[1:]]
+    assert len(names) > 8 and read == sorted(read) and len(read) == 900

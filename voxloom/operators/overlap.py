@@ -31,6 +31,15 @@ def overlap_sums(labels: DataFrame, uids: DataFrame, classes: int, keys: Sequenc
     return class_grid(uids, classes).join(sums, [*keys, "cls"], "left").fillna(0)
 
 
+def stored_overlap(true: DataFrame, pred: DataFrame, keys: Sequence[str] = ("uid",), axes: Sequence[str] = ("x", "y")) -> DataFrame:
+    """``keys, cls, inter, n_pred, n_true`` of foreground rows with ``label_true`` and ``label_pred`` in two tables; for tables bucketed by
+    the keys nothing is shuffled."""
+    sizes = [df.groupBy(*keys, F.col(c).alias("cls")).agg(F.count("*").alias(n)) for df, c, n in ((true, "label_true", "n_true"), (pred, "label_pred", "n_pred"))]
+    agree = true.join(pred.hint("merge"), [*keys, *axes]).where("label_true = label_pred").groupBy(*keys, F.col("label_true").alias("cls")).agg(F.count("*").alias("inter"))
+    found = sizes[0].join(sizes[1].join(agree.hint("merge"), [*keys, "cls"], "left").hint("merge"), [*keys, "cls"], "full")  # the full join comes last: nothing is partitioned by its keys
+    return found.fillna(0, ["inter", "n_pred", "n_true"]).select(*keys, "cls", "inter", "n_pred", "n_true")
+
+
 def soft_sums(masks: DataFrame, keys: Sequence[str] = ("uid", "cls"), pred: str = "p", true: str = "t") -> DataFrame:
     """``keys, inter, n_pred, n_true`` of mask rows with scores."""
     p, t = F.col(pred).cast("double"), F.col(true).cast("double")
