@@ -157,6 +157,25 @@ def test_interpolation_across_tiles(spark, monkeypatch):
         assert resample.multilinear(targets, source.limit(0), axes, "v", 7.0).select("v").distinct().collect()[0].v == 7.0
 
 
+def test_convolution_across_tiles(spark, monkeypatch):
+    """Even and odd kernels, two and three axes, gaps, negative places, other columns, tiles smaller and larger than the kernel."""
+    rng = random.Random(31)
+    for axes, side in ((["x", "y"], 11), (["x", "y", "z"], 5)):
+        cells = {(u, *[c - 2 for c in p]): rng.uniform(-1, 1) for u in (1, 2) for p in np.ndindex(*[side] * len(axes)) if u == 1 or rng.random() < 0.8}
+        df = spark.createDataFrame([(*map(int, k), v, 2 * v, "kept") for k, v in cells.items()], "uid int, " + ", ".join(f"{a} int" for a in axes) + ", v double, w double, note string").repartition(3)
+        for weights in ([0.5, 0.25, 0.25], [0.1, 0.2, 0.3, 0.4]):
+            before = (len(weights) - 1) // 2
+            want = {}
+            for k in cells:
+                want[k] = sum(math.prod(weights[i] for i in s) * cells.get((k[0], *[c + i - before for c, i in zip(k[1:], s)]), 0.0) for s in np.ndindex(*[len(weights)] * len(axes)))
+            for tile, cut in ((64, 1 << 21), (4, 1), (2, 500)):
+                monkeypatch.setattr(stencils, "TILE", tile)
+                monkeypatch.setattr(stencils, "CELLS", cut)
+                rows = stencils.convolve(df, ["v", "w"], weights, axes).collect()
+                got = {(r.uid, *[r[a] for a in axes]): r for r in rows}
+                assert len(rows) == len(want) and all(math.isclose(got[k].v, want[k], abs_tol=1e-12) and math.isclose(got[k].w, 2 * want[k], abs_tol=1e-12) and got[k].note == "kept" for k in want)
+
+
 def test_patch_grid_and_stitching(spark):
     assert grids.patch_grid((6, 11), (3, 5), (1, 3)) == [(x, y) for x in (0, 2, 3) for y in (0, 2, 4, 6)]
     df = image(spark, [[float(x * 11 + y) for y in range(11)] for x in range(6)])

@@ -7,10 +7,17 @@ border rules are told apart by name: ``replicate``, ``zero`` and ``drop``.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from voxloom.functions.groups import whole_groups
+
+#: A tile's side, rows that are taken together, and cells of one array.
+TILE, ROWS, CELLS = 64, 1 << 16, 1 << 21
+
 AXES = ("x", "y", "z")
 
 
@@ -69,7 +76,9 @@ def uniform(size: int) -> list[float]:
 
 
 def convolve(voxels: DataFrame, values: Sequence[str], weights: Sequence[float], axes: Sequence[str], border: str = "zero", keys: Sequence[str] = ("uid",), odd_only: bool = False) -> DataFrame:
-    """Separable convolution of ``values`` over dense voxels. border: ``zero`` pads, ``drop`` keeps only whole windows.
+    """Separable convolution of ``values``; a voxel that is absent counts as 0. border: ``zero`` pads, ``drop`` keeps only whole windows.
+
+    Tiles are dealt out with the rims that their windows reach: one shuffle whatever the number of axes.
 
     odd_only: reject even kernels, which are off centre by half a voxel.
     """
@@ -77,19 +86,49 @@ def convolve(voxels: DataFrame, values: Sequence[str], weights: Sequence[float],
     if size < 2 or border not in ("zero", "drop") or (odd_only and size % 2 == 0):
         raise ValueError("kernel size or border")
     before = (size - 1) // 2
-    for a in axes:
-        w = line(a, axes, keys)
-
-        def at(v: str, k: int) -> Column:
-            step = k - before
-            return F.col(v) if step == 0 else F.lead(v, step, 0.0).over(w) if step > 0 else F.lag(v, -step, 0.0).over(w)
-
-        voxels = voxels.withColumns({v: sum((x * at(v, k) for k, x in enumerate(weights)), F.lit(0.0)) for v in values})
     if border == "drop":
+        ends = voxels.groupBy(*keys).agg(*[F.max(a).alias(f"_last_{a}") for a in axes])
+    tiles = [f"_t_{a}" for a in axes]
+    rows = voxels.withColumns({v: F.col(v).cast("double") for v in values})
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    for a, t in zip(axes, tiles, strict=True):  # a voxel goes to every tile with a place that its window reaches
+        rows = rows.withColumn(t, F.explode(F.sequence(F.floor((F.col(a) - (size - 1 - before)) / TILE), F.floor((F.col(a) + before) / TILE))))
+    rows = rows.repartition(*keys, *tiles).sortWithinPartitions(*keys, *tiles)
+    out = rows.mapInArrow(_convolved(list(keys), list(axes), tiles, list(values), list(weights), before), kinds)
+    if border == "drop":
+        out = out.join(ends, list(keys))
         for a in axes:
-            whole = Window.partitionBy(*keys)
-            voxels = voxels.withColumn("_last", F.max(a).over(whole)).where((F.col(a) >= before) & (F.col(a) <= F.col("_last") - (size - 1 - before))).drop("_last")
-    return voxels
+            out = out.where((F.col(a) >= before) & (F.col(a) <= F.col(f"_last_{a}") - (size - 1 - before)))
+        out = out.drop(*[f"_last_{a}" for a in axes])
+    return out
+
+
+def _convolved(keys: list[str], axes: list[str], tiles: list[str], values: list[str], weights: list[float], before: int):
+    """Rows of tiles with their rims, sorted by tile, to the tiles' own rows with their values convolved; tiles of a batch are one array."""
+    size = len(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole, numbers in whole_groups(batches, [*keys, *tiles], ROWS):
+            place = np.column_stack([whole.column(a).to_numpy() - whole.column(t).to_numpy() * TILE for a, t in zip(axes, tiles, strict=True)])
+            home = ((place >= 0) & (place < TILE)).all(axis=1)
+            place = place - place.min(axis=0)
+            shape = place.max(axis=0) + size
+            step = max(1, CELLS // int(np.prod(shape)))
+            first = int(numbers[0])
+            for g in range(first, int(numbers[-1]) + 1, step):
+                i, j = np.searchsorted(numbers, g), np.searchsorted(numbers, g + step)
+                at, own = (numbers[i:j] - g, *place[i:j].T), np.nonzero(home[i:j])[0] + i
+                out = whole.slice(0, 0).select(whole.column_names) if not len(own) else whole.take(pa.array(own))
+                for v in values:
+                    dense = np.zeros((int(numbers[j - 1]) - g + 1, *shape))
+                    dense[(at[0], *[p + before for p in at[1:]])] = whole.column(v).to_numpy()[i:j]
+                    for k in range(len(axes)):
+                        dense = sum(w * np.take(dense, range(n, dense.shape[k + 1] - size + 1 + n), k + 1) for n, w in enumerate(weights))
+                    found = dense[(numbers[own] - g, *place[own].T)]
+                    out = out.set_column(out.column_names.index(v), v, pa.array(found, pa.float64(), mask=np.isnan(found)))
+                yield from out.drop_columns(tiles).combine_chunks().to_batches()
+
+    return run
 
 
 def smooth_labels(masks: DataFrame, axes: Sequence[str], sigma: float, size: int, exclusive: bool, keys: Sequence[str] = ("uid",), voxel: Sequence[str] = ("uid", "x", "y", "z")) -> DataFrame:
