@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,7 @@ def uniform(size: int) -> list[float]:
 
 
 def convolve(voxels: DataFrame, values: Sequence[str], weights: Sequence[float], axes: Sequence[str], border: str = "zero", keys: Sequence[str] = ("uid",), odd_only: bool = False) -> DataFrame:
-    """Separable convolution of ``values``; a voxel that is absent counts as 0. border: ``zero`` pads, ``drop`` keeps only whole windows.
+    """Separable convolution of ``values``; a voxel that is absent counts as 0. border: ``zero`` pads, ``drop`` keeps only windows all of whose voxels are there.
 
     Tiles are dealt out with the rims that their windows reach: one shuffle whatever the number of axes.
 
@@ -86,44 +87,50 @@ def convolve(voxels: DataFrame, values: Sequence[str], weights: Sequence[float],
     if size < 2 or border not in ("zero", "drop") or (odd_only and size % 2 == 0):
         raise ValueError("kernel size or border")
     before = (size - 1) // 2
-    if border == "drop":
-        ends = voxels.groupBy(*keys).agg(*[F.max(a).alias(f"_last_{a}") for a in axes])
     tiles = [f"_t_{a}" for a in axes]
     rows = voxels.withColumns({v: F.col(v).cast("double") for v in values})
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     for a, t in zip(axes, tiles, strict=True):  # a voxel goes to every tile with a place that its window reaches
         rows = rows.withColumn(t, F.explode(F.sequence(F.floor((F.col(a) - (size - 1 - before)) / TILE), F.floor((F.col(a) + before) / TILE))))
     rows = rows.repartition(*keys, *tiles).sortWithinPartitions(*keys, *tiles)
-    out = rows.mapInArrow(_convolved(list(keys), list(axes), tiles, list(values), list(weights), before), kinds)
-    if border == "drop":
-        out = out.join(ends, list(keys))
-        for a in axes:
-            out = out.where((F.col(a) >= before) & (F.col(a) <= F.col(f"_last_{a}") - (size - 1 - before)))
-        out = out.drop(*[f"_last_{a}" for a in axes])
-    return out
+    return rows.mapInArrow(_convolved(list(keys), list(axes), tiles, list(values), list(weights), before, border == "drop"), kinds)
 
 
-def _convolved(keys: list[str], axes: list[str], tiles: list[str], values: list[str], weights: list[float], before: int):
+def _convolved(keys: list[str], axes: list[str], tiles: list[str], values: list[str], weights: list[float], before: int, drop: bool):
     """Rows of tiles with their rims, sorted by tile, to the tiles' own rows with their values convolved; tiles of a batch are one array."""
     size = len(weights)
 
+    def windows(dense: np.ndarray, join) -> np.ndarray:
+        for k in range(1, dense.ndim):
+            dense = join(np.take(dense, range(n, dense.shape[k] - size + 1 + n), k) for n in range(size))
+        return dense
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole, numbers in whole_groups(batches, [*keys, *tiles], ROWS):
             place = np.column_stack([whole.column(a).to_numpy() - whole.column(t).to_numpy() * TILE for a, t in zip(axes, tiles, strict=True)])
             home = ((place >= 0) & (place < TILE)).all(axis=1)
+            used = np.isin(numbers, numbers[home])  # a tile may hold nothing but another one's rim
+            if not used.any():
+                continue
+            whole, place, home = whole.filter(pa.array(used)), place[used], home[used]
+            numbers = np.unique(numbers[used], return_inverse=True)[1]
             place = place - place.min(axis=0)
             shape = place.max(axis=0) + size
             step = max(1, CELLS // int(np.prod(shape)))
-            first = int(numbers[0])
-            for g in range(first, int(numbers[-1]) + 1, step):
+            for g in range(0, int(numbers[-1]) + 1, step):
                 i, j = np.searchsorted(numbers, g), np.searchsorted(numbers, g + step)
-                at, own = (numbers[i:j] - g, *place[i:j].T), np.nonzero(home[i:j])[0] + i
-                out = whole.slice(0, 0).select(whole.column_names) if not len(own) else whole.take(pa.array(own))
+                spot = (numbers[i:j] - g, *(place[i:j] + before).T)
+                own = np.nonzero(home[i:j])[0] + i
+                tiles_here = int(numbers[j - 1]) - g + 1
+                if drop:
+                    there = np.zeros((tiles_here, *shape), bool)
+                    there[spot] = True
+                    own = own[windows(there, lambda parts: reduce(np.logical_and, parts))[(numbers[own] - g, *place[own].T)]]
+                out = whole.take(pa.array(own, pa.int64()))
                 for v in values:
-                    dense = np.zeros((int(numbers[j - 1]) - g + 1, *shape))
-                    dense[(at[0], *[p + before for p in at[1:]])] = whole.column(v).to_numpy()[i:j]
-                    for k in range(len(axes)):
-                        dense = sum(w * np.take(dense, range(n, dense.shape[k + 1] - size + 1 + n), k + 1) for n, w in enumerate(weights))
+                    dense = np.zeros((tiles_here, *shape))
+                    dense[spot] = whole.column(v).to_numpy()[i:j]
+                    dense = windows(dense, lambda parts: sum(w * p for w, p in zip(weights, parts, strict=True)))
                     found = dense[(numbers[own] - g, *place[own].T)]
                     out = out.set_column(out.column_names.index(v), v, pa.array(found, pa.float64(), mask=np.isnan(found)))
                 yield from out.drop_columns(tiles).combine_chunks().to_batches()
