@@ -1,24 +1,22 @@
 """Scoring texts with a small causal self-attention model trained in numpy on subword ids, beside a word unigram.
 
-The model predicts a word from the text before it. A window holds the word before if both are short ones, a mark for the
-topic of all text before, and the word's own ids; masked self-attention predicts each id of the word and its end, so
-that windows overlap and each token is scored once. Windows that are equal give equal probabilities, so each is computed once
-and counted: training takes its gradient over the distinct windows of all training texts, weighted by how often they occur,
-which is the gradient over every word; scoring looks up the windows that a task has met before. Words of more ids than a
-window scores are cut into windows that overlap too.
+A text is the subword ids of its words, each encoded with the space before it, and one end. Ids are scored in windows: a window
+scores ``SPAN`` consecutive ids and sees the ``SPAN`` before them, whatever words they belong to, so windows overlap, each id is
+scored once and sees between ``SPAN`` and ``2 * SPAN - 1`` earlier ids of its text (all of them near its beginning). Masked
+attention runs over batches of windows; distances have learned weights, and the two ids before an input are added to it.
 
 The next id comes from a softmax in two levels, over 32 groups and 32 leaves of a group: the commonest ids are leaves of
 their own, the others share leaves by their training counts. That is a proper distribution over texts.
 
-Everything that is counted is counted over all training documents with grouped sums. Training is distributed: distinct
-windows are dealt to tasks at random, frequent ones to many; every task takes gradient steps from shared parameters, which
-are averaged by the words that they saw.
+Everything that is counted is counted over all training documents with grouped sums. Training is distributed and reads every
+training id once: pieces of texts are dealt to hands by a hash; every task takes gradient steps over its hand from shared
+parameters, which are averaged by the ids that they saw, and a second round goes on from there with the other pieces.
 """
 
 from __future__ import annotations
 
 import base64
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -30,25 +28,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from voxloom.llm.common import materialize, read, short_batches
 from voxloom.llm.packing import ranks_encoder, vocabulary
 
-#: Ids of the vocabulary, and the id at a word's end.
+#: Ids of the vocabulary, and the id at a text's end, which also stands before a text.
 IDS, END = 50_257, 50_256
 #: Groups of leaves, leaves of a group, ids that are a leaf of their own, and buckets of ids that tell what company an id keeps.
 GROUPS, LEAVES, SINGLES, COMPANY = 32, 32, 960, 48
-#: Topics of the text before a word; the last number is for none. Embedding rows are leaves, topics, and one for no word before.
-TOPICS = 8
-ROWS = GROUPS * LEAVES + TOPICS + 2
-#: Bytes of words that see each other: a window of such a word sees the last id of such a word before it.
-SHORT = 3
-#: Ids that a window scores, ids of the same word before them that it sees, width, hidden width.
-PIECE, OVERLAP, WIDTH, HIDDEN = 16, 8, 16, 32
-#: Marks of texts, by mass, that are dealt to topics, and words that they are compared by.
-MARKS, MARK_WORDS = 512, 256
+ROWS = GROUPS * LEAVES
+#: Ids that a window scores, and as many before them that it sees; width and hidden width.
+SPAN, WIDTH, HIDDEN = 32, 16, 48
+#: Ids of a piece of a text in training, a whole number of windows; windows of a step, at least; windows of a batch in scoring.
+PIECE, STEP, CHUNK = 4096, 256, 256
+#: Ids of a hand, a random share of all pieces that one task learns from.
+HAND = 4_000_000
 #: Words whose count a scoring task holds; rarer ones are joined.
 FREQUENT = 250_000
-#: Occurrences of a window that one visit of training stands for, and visits of a step; there is a step for so many words at least.
-VISIT, STEP, STEP_WORDS = 128, 1024, 1 << 14
-#: Visits of a hand, a random share of all windows that a task holds at a time, and hands of a task.
-HAND, HANDS_A_TASK = 250_000, 4
 _MEMO, _FLUSH, _MANY = 500_000, 600_000, 100_000
 
 
@@ -57,25 +49,6 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def segments(words: list[bytes]) -> Iterator[tuple[bytes, list[bytes]]]:
-    """A text's words and its end (the empty word) as keys of windows, in segments with the mark of the text before them.
-
-    A key is the word, after a space and the word before if both have at most ``SHORT`` bytes. The mark is the commonest word
-    of three bytes or more so far, the first of them in the text; none where nothing has occurred twice. It is told anew
-    after 8, 32, 104 words and so on, each segment thrice the one before.
-    """
-    counts: Counter = Counter()
-    mark, at, size, short = b"", 0, 8, SHORT
-    keys = [b + b" " + w if len(w) <= short and 0 < len(b) <= short else w for b, w in zip([b"", *words], [*words, b""])]
-    while at < len(keys):
-        yield mark, keys[at : at + size]
-        if at + size < len(keys):  # else no mark is asked for
-            counts.update([w for w in words[at : at + size] if len(w) > 2])
-            best = max(counts, key=counts.__getitem__, default=b"")
-            mark = best if counts[best] > 1 else b""
-        at, size = at + size, 3 * size
-
-
 def word_openers(path: str) -> np.ndarray:
     """Which ids start with a space; the end is one of them."""
     opens = np.zeros(IDS, bool)
@@ -87,7 +60,7 @@ def word_openers(path: str) -> np.ndarray:
 
 
 class Subwords:
-    """Ids of words, each with the space before it and the end after it; strings of special tokens are ordinary text.
+    """Ids of words, each with the space before it; strings of special tokens are ordinary text, and the empty word is the end.
 
     Many words are encoded together: the vocabulary's pattern never joins what a space separates, so the bytes of the ids
     tell where each word ends. Where they don't, next to white space that isn't ASCII, words are encoded one by one.
@@ -100,57 +73,113 @@ class Subwords:
                 self.size[int(rank)] = len(base64.b64decode(token))
 
     def each(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All words' ids and ends, one after the other, and how many each has; the empty word is an end alone."""
+        """All words' ids, one after the other, and how many each has."""
         some = [w for w in words if w]
         ids = self.encode(" " + b" ".join(some).decode()).astype(np.int64) if some else np.zeros(0, np.int64)
         width = np.fromiter(map(len, words), np.int64, len(words))
-        width += width > 0
+        empty = width == 0
+        width += ~empty
         at, bytes_ = np.cumsum(width), np.concatenate([[0], np.cumsum(self.size[ids])])
         upto = np.searchsorted(bytes_, at)
         if (bytes_[upto] != at).any():
             alone = [self.encode(" " + w.decode()).astype(np.int64) if w else np.zeros(0, np.int64) for w in words]
             ids, upto = np.concatenate(alone), np.cumsum(list(map(len, alone)))
-        return np.insert(ids, upto, END), np.diff(upto, prepend=0) + 1
-
-
-def window_ids(subwords: Subwords, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of the words of windows' ``keys``, one after the other, how many each has, and the last id of the word before or -1."""
-    words: dict[bytes, int] = {}
-    early: dict[bytes, int] = {b"": 0}
-    both = [k.rpartition(b" ") for k in keys]
-    word = np.array([words.setdefault(w, len(words)) for _, _, w in both], np.int64)
-    which = np.array([early.setdefault(b, len(early)) for b, _, _ in both], np.int64)
-    found, each = subwords.each(list(words))
-    sizes, first = each[word], (np.cumsum(each) - each)[word]
-    step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    before, size = subwords.each(list(early))
-    last = np.concatenate([[-1], before])[np.cumsum(size) - 1]  # what stands before each end
-    last[0] = -1
-    return found[np.repeat(first, sizes) + step], sizes, last[which]
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks, keys of windows and their counts. What is held is flushed as it grows."""
-    counts: defaultdict = defaultdict(Counter)
-
-    def flush() -> pa.RecordBatch:
-        marks = [m for m, c in counts.items() for _ in range(len(c))]
-        keys, n = [k for c in counts.values() for k in c], [x for c in counts.values() for x in c.values()]
-        counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()).cast(pa.string()), pa.array(keys, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["mark", "key", "c"])
-
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            for mark, part in segments(words_of(text)):
-                counts[mark].update(part)
-        if sum(map(len, counts.values())) > _FLUSH:
+        return np.insert(ids, upto[empty], END), np.diff(upto, prepend=0) + empty
+
+
+class Lexicon:
+    """Numbers of the words that a task has met and their ids; begun anew when it holds too many."""
+
+    def __init__(self, path: str):
+        self.subwords = Subwords(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.number, self.words = {}, []
+        self.ids, self.first, self.size = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def numbers(self, words: list[bytes]) -> tuple[np.ndarray, int]:
+        """The numbers of ``words``; new ones follow those known before, of which there were so many."""
+        known = len(self.words)
+        at = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        lost = np.flatnonzero(at < 0).tolist()
+        if lost:
+            fresh = list(dict.fromkeys(words[k] for k in lost))
+            self.number.update(zip(fresh, range(known, known + len(fresh))))
+            ids, size = self.subwords.each(fresh)
+            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+            self.ids, self.size = np.concatenate([self.ids, ids.astype(np.uint16)]), np.concatenate([self.size, size])
+            self.words += fresh
+            at[lost] = [self.number[words[k]] for k in lost]
+        return at, known
+
+    def spelled(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words with numbers ``at``, one after the other, and where each ends."""
+        size = self.size[at]
+        ends = np.cumsum(size)
+        return self.ids[np.arange(int(size.sum())) + np.repeat(self.first[at] - ends + size, size)], ends
+
+
+def texts_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """Words of texts, one after the other, each text's followed by the empty word, and the number of each text's words."""
+    words, n = [], []
+    for text in texts:
+        found = words_of(text)
+        words += found
+        words.append(b"")
+        n.append(len(found) + 1)
+    return words, np.array(n, np.int64)
+
+
+def pieces_of(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """A text's pieces in training: how many of their first ids are only seen, and their sequence as :func:`blocks_of` takes it."""
+    whole = np.concatenate([np.full(3, END, np.uint16), ids])
+    for at in range(0, len(ids), PIECE):
+        skip = min(at, SPAN)
+        yield skip, whole[at - skip : at + PIECE + 3]
+
+
+_READ = pa.schema([("word", pa.string()), ("c", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("piece", pa.int64()), ("skip", pa.int32()), ("size", pa.int64()), ("ids", pa.binary())])
+
+
+def _read_texts(path: str):
+    """Words with their counts, and pieces of texts with their ids; other columns are null. What is held is flushed as it grows."""
+
+    def table(**columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _READ], schema=_READ)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, counts = Lexicon(path), np.zeros(0, np.int64)
+
+        def flush() -> pa.RecordBatch:
+            found = table(word=pa.array(lexicon.words, pa.binary()).cast(pa.string()), c=counts)
+            lexicon.clear()
+            return found
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words, n = texts_of(batch.column("text").to_pylist())
+            at, _ = lexicon.numbers(words)
+            more = np.bincount(at, minlength=len(lexicon.words))
+            more[: len(counts)] += counts
+            counts = more
+            ids, ends = lexicon.spelled(at)
+            texts = np.split(ids, ends[np.cumsum(n) - 1][:-1])
+            out = [(i, row, k, skip, len(s) - 3 - skip, s.tobytes()) for i, row, text in zip(batch.column("id").to_pylist(), batch.column("row").to_pylist(), texts, strict=True) for k, (skip, s) in enumerate(pieces_of(text))]
+            yield table(**dict(zip(("id", "row", "piece", "skip", "size", "ids"), zip(*out), strict=True)))
+            if len(counts) > _FLUSH:
+                yield flush()
+                counts = np.zeros(0, np.int64)
+        if len(counts):
             yield flush()
-    if counts:
-        yield flush()
+
+    return run
 
 
 def small_rows(df: DataFrame) -> DataFrame:
-    """Long Arrow batches for what follows: rows are windows or words, not texts."""
+    """Long Arrow batches for what follows: rows are words, not texts."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     return df
 
@@ -258,13 +287,11 @@ def make_classes(counts: np.ndarray, company: np.ndarray, order: np.ndarray, ope
     return Classes(of, np.log10(smooth / mass[of]), np.log(group / group.sum()), np.log(mass.reshape(GROUPS, LEAVES) / group[:, None]))
 
 
-LONGEST = 1 + OVERLAP + PIECE
+SEEN = 2 * SPAN
 _SHAPES = {
-    "emb": (ROWS, WIDTH), "pos": (LONGEST, WIDTH), "qkv": (WIDTH, 3 * WIDTH), "wo": (WIDTH, WIDTH), "near": (LONGEST,),
+    "emb": (ROWS, WIDTH), "one": (ROWS, WIDTH), "two": (ROWS, WIDTH), "qkv": (WIDTH, 3 * WIDTH), "wo": (WIDTH, WIDTH), "near": (SEEN,),
     "w1": (WIDTH, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, WIDTH), "out": (WIDTH, GROUPS), "bias": (GROUPS,), "leaf": (GROUPS, WIDTH, LEAVES), "leaf_bias": (GROUPS, LEAVES),
 }
-#: Lengths that windows are filled up to.
-_LENGTHS = (4, 6, 8, 11, LONGEST)
 
 
 def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -279,72 +306,76 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
 def first_parameters(classes: Classes, seed: int = 7) -> np.ndarray:
     """Small random weights; the biases are log frequencies, so that training starts at the unigram of ids."""
     rng = np.random.default_rng(seed)
-    size = {"emb": 0.3, "pos": 0.1, "leaf": 0.1, "out": 0.1, "w2": 0.1}
-    parts = {n: rng.normal(0, size.get(n, 0.25), s) for n, s in _SHAPES.items()} | {"near": np.zeros(LONGEST), "b1": np.zeros(HIDDEN), "bias": classes.groups, "leaf_bias": classes.leaves}
+    size = {"emb": 0.3, "one": 0.2, "two": 0.1, "leaf": 0.1, "out": 0.1, "w2": 0.1}
+    parts = {n: rng.normal(0, size.get(n, 0.25), s) for n, s in _SHAPES.items()} | {"near": np.zeros(SEEN), "b1": np.zeros(HIDDEN), "bias": classes.groups, "leaf_bias": classes.leaves}
     return np.concatenate([parts[n].ravel() for n in _SHAPES]).astype(np.float32)
 
 
 @dataclass
-class Windows:
-    """Windows as flat arrays: each has ``length`` inputs from ``start`` on; its targets stand at the same places, and the
-    first ``skip`` of them are another window's. ``owner``: the word that a window belongs to."""
+class Blocks:
+    """Blocks of ``SPAN`` places of sequences, in order. ``rows``: leaves of the inputs and of the two ids before each;
+    ``target``: ids to predict, where ``mask`` holds; ``fresh``: whether no block of the same sequence is before it; ``owner``: the sequence."""
 
     rows: np.ndarray
     target: np.ndarray
-    start: np.ndarray
-    length: np.ndarray
-    skip: np.ndarray
+    mask: np.ndarray
+    fresh: np.ndarray
     owner: np.ndarray
 
+    def part(self, a: int, b: int) -> Blocks:
+        return Blocks(self.rows[:, a:b], self.target[a:b], self.mask[a:b], self.fresh[a:b], self.owner[a:b])
 
-def windows_of(ids: np.ndarray, sizes: np.ndarray, before: np.ndarray, topic: np.ndarray, classes: Classes) -> Windows:
-    """Windows of words given by :func:`window_ids` and their ``topic``.
 
-    A window's inputs are the word before, the topic's mark and the ids before its targets; one that goes on with a long
-    word sees ``OVERLAP`` ids more. Nothing is to be predicted from the word before alone.
-    """
-    leaf, first = classes.of[ids], np.cumsum(sizes) - sizes
-    pieces = -(-sizes // PIECE)
-    owner = np.repeat(np.arange(len(sizes)), pieces)
-    number = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    skip = 1 + np.where(number > 0, OVERLAP, 0)
-    begin = first[owner] + number * PIECE - skip
-    length = np.minimum(first[owner] + (number + 1) * PIECE, first[owner] + sizes[owner]) - begin
-    start = np.cumsum(length) - length
-    at = np.maximum(np.arange(int(length.sum())) + np.repeat(begin - start, length), 0)
-    rows = leaf[np.maximum(at - 1, 0)]
-    rows[start] = np.where(before >= 0, classes.of[before], ROWS - 1)[owner]
-    rows[start + 1] = GROUPS * LEAVES + topic[owner]
-    return Windows(rows, ids[at], start, length, skip, owner)
-
-
-def batches_of(w: Windows, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """The chosen windows filled up to a few lengths: their places in ``chosen``, rows, target ids and a mask of the targets to score."""
-    fill = np.searchsorted(_LENGTHS, w.length[chosen])
-    for k in np.unique(fill):
-        which = np.flatnonzero(fill == k)
-        each, span = chosen[which], np.arange(_LENGTHS[k])
-        valid = span < w.length[each, None]
-        at = np.where(valid, w.start[each, None] + span, 0)
-        yield which, w.rows[at], w.target[at], valid & (span >= w.skip[each, None])
-
-
-def _back(n: int) -> np.ndarray:
-    return np.arange(n)[:, None] - np.arange(n)[None, :]
-
-
-def forward(p: dict[str, np.ndarray], rows: np.ndarray) -> tuple:
-    """rows: (windows, length). Attention and hidden states; all but the attention have a row for each input."""
-    n, size = rows.shape
-    x = p["emb"].take(rows.ravel(), axis=0)
-    x.reshape(n, size, WIDTH)[:] += p["pos"][:size]
-    q, k, v = _qkv(x @ p["qkv"], n)
+def blocks_of(ids: np.ndarray, sizes: np.ndarray, skip: np.ndarray, classes: Classes) -> Blocks:
+    """Sequences lie one after the other in ``ids``, with lengths ``sizes``. Each begins with the three ids before its first
+    target (ends, at the beginning of a text); its first ``skip`` targets are seen but not scored."""
+    n, leaf = sizes - 3, classes.of[ids]
+    count = -(-n // SPAN)
+    owner = np.repeat(np.arange(len(sizes)), count)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    local = number[:, None] * SPAN + np.arange(SPAN)
+    at = (np.cumsum(sizes) - sizes)[owner, None] + np.minimum(local, n[owner, None] - 1)
+    return Blocks(np.stack([leaf[at + 2], leaf[at + 1], leaf[at]]), ids[at + 3].astype(np.int64), (local < n[owner, None]) & (local >= skip[owner, None]), number == 0, owner)
+
+
+def _back() -> np.ndarray:
+    """How far back each place that a window sees lies from each that it scores."""
+    return SPAN + np.arange(SPAN)[:, None] - np.arange(SEEN)[None, :]
+
+
+def _qkv(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries, keys and values of each block, as views."""
+    z = z.reshape(-1, SPAN, 3 * WIDTH)
+    return z[..., :WIDTH], z[..., WIDTH : 2 * WIDTH], z[..., 2 * WIDTH :]
+
+
+def _with_before(k: np.ndarray) -> np.ndarray:
+    """Each block after the one before it: what its window sees."""
+    out = np.zeros((len(k), SEEN, WIDTH), k.dtype)
+    out[:, SPAN:] = k
+    out[1:, :SPAN] = k[:-1]
+    return out
+
+
+def _to_blocks(d: np.ndarray, out: np.ndarray) -> None:
+    """The adjoint of :func:`_with_before`."""
+    out[:] = d[:, SPAN:]
+    out[:-1] += d[1:, :SPAN]
+
+
+def forward(p: dict[str, np.ndarray], rows: np.ndarray, fresh: np.ndarray) -> tuple:
+    """Attention and hidden states; all but the attention have a row for each input. The first block must be fresh or is not scored."""
+    x = p["emb"].take(rows[0].ravel(), axis=0)
+    x += p["one"].take(rows[1].ravel(), axis=0)
+    x += p["two"].take(rows[2].ravel(), axis=0)
+    q, k, v = _qkv(x @ p["qkv"])
+    k, v, back = _with_before(k), _with_before(v), _back()
     a = q @ k.transpose(0, 2, 1)
     a *= np.float32(WIDTH**-0.5)
-    back = _back(size)
     a += np.where(back >= 0, p["near"][np.maximum(back, 0)], np.float32(-1e4))
+    a[fresh, :, :SPAN] = -1e4
     np.exp(a, out=a)
-    a /= a.sum(2, keepdims=True)
+    a /= (a @ np.ones(SEEN, a.dtype))[..., None]
     o = (a @ v).reshape(-1, WIDTH)
     h1 = x + o @ p["wo"]
     u = h1 @ p["w1"]
@@ -353,16 +384,6 @@ def forward(p: dict[str, np.ndarray], rows: np.ndarray) -> tuple:
     return x, q, k, v, a, o, h1, u, h1 + u @ p["w2"]
 
 
-def _qkv(z: np.ndarray, windows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Queries, keys and values of each window, as views."""
-    z = z.reshape(windows, -1, 3 * WIDTH)
-    return z[..., :WIDTH], z[..., WIDTH : 2 * WIDTH], z[..., 2 * WIDTH :]
-
-
-def _each(x: np.ndarray, windows: int) -> np.ndarray:
-    return x.reshape(windows, -1, x.shape[1])
-
-
 def _softmax(z: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Probabilities (in place of ``z``) and those of the targets."""
     np.exp(z, out=z)
@@ -388,32 +409,25 @@ def _outputs(p: dict[str, np.ndarray], h: np.ndarray, group: np.ndarray, place:
     return *_softmax(outer, group), *_softmax(inner, place)
 
 
-def log10_probabilities(p: dict[str, np.ndarray], parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """For each part (rows, target leaves, mask): log10 probability of the targets where ``mask`` holds, and 0 elsewhere."""
-    h = np.concatenate([forward(p, rows)[-1].compress(mask.ravel(), axis=0) for rows, _, mask in parts])
-    order, group, place, spans = _by_group(np.concatenate([leaf[mask] for _, leaf, mask in parts]))
+def log10_probabilities(p: dict[str, np.ndarray], b: Blocks, leaf: np.ndarray) -> np.ndarray:
+    """log10 probability of the leaves ``leaf`` where the mask holds, and 0 elsewhere."""
+    h = forward(p, b.rows, b.fresh)[-1].compress(b.mask.ravel(), axis=0)
+    order, group, place, spans = _by_group(leaf[b.mask])
     _, hit, _, inner = _outputs(p, h.take(order, axis=0), group, place, spans)
-    found = np.empty(len(h))
+    found, out = np.empty(len(h)), np.zeros(b.mask.shape)
     found[order] = np.log10(np.maximum(hit, 1e-30)) + np.log10(np.maximum(inner, 1e-30))
-    out, at = [], 0
-    for _, _, mask in parts:
-        each, n = np.zeros(mask.shape), int(mask.sum())
-        each[mask] = found[at : at + n]
-        out.append(each)
-        at += n
+    out[b.mask] = found
     return out
 
 
-def _output_gradient(p: dict[str, np.ndarray], g: dict[str, np.ndarray], h: np.ndarray, leaf: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+def _output_gradient(p: dict[str, np.ndarray], g: dict[str, np.ndarray], h: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, float]:
     order, group, place, spans = _by_group(leaf)
-    h, w = h.take(order, axis=0), weight[order].astype(h.dtype)
+    h = h.take(order, axis=0)
     e, hit, ei, inner = _outputs(p, h, group, place, spans)
-    loss = -float((w * (np.log(np.maximum(hit, 1e-30)) + np.log(np.maximum(inner, 1e-30)))).sum())
-    each = np.arange(len(w))
+    loss = -float((np.log(np.maximum(hit, 1e-30)) + np.log(np.maximum(inner, 1e-30))).sum())
+    each = np.arange(len(h))
     e[each, group] -= 1
     ei[each, place] -= 1
-    e *= w[:, None]
-    ei *= w[:, None]
     g["out"] += h.T @ e
     g["bias"] += e.sum(0)
     dh = e @ p["out"].T
@@ -426,8 +440,14 @@ def _output_gradient(p: dict[str, np.ndarray], g: dict[str, np.ndarray], h: np.n
     return out, loss
 
 
+def _add_rows(to: np.ndarray, rows: np.ndarray, d: np.ndarray) -> None:
+    order = np.argsort(rows.astype(np.int16), kind="stable")
+    sorted_ = rows[order]
+    first = np.flatnonzero(np.diff(sorted_, prepend=-1))
+    to[sorted_[first]] += np.add.reduceat(d.take(order, axis=0), first, axis=0)
+
+
 def _hidden_gradient(p: dict[str, np.ndarray], g: dict[str, np.ndarray], rows: np.ndarray, held: tuple, dh: np.ndarray) -> None:
-    n, size = rows.shape
     x, q, k, v, a, o, h1, u, _ = held
     g["w2"] += u.T @ dh
     du = dh @ p["w2"].T
@@ -435,211 +455,140 @@ def _hidden_gradient(p: dict[str, np.ndarray], g: dict[str, np.ndarray], rows: n
     g["w1"] += h1.T @ du
     g["b1"] += du.sum(0)
     dh += du @ p["w1"].T
-    do = _each(dh @ p["wo"].T, n)
+    do = (dh @ p["wo"].T).reshape(q.shape)
     g["wo"] += o.T @ dh
     d = np.empty((len(x), 3 * WIDTH), dh.dtype)
-    dq, dk, dv = _qkv(d, n)
+    dq, dk, dv = _qkv(d)
     da = do @ v.transpose(0, 2, 1)
-    np.matmul(a.transpose(0, 2, 1), do, out=dv)
-    da -= (da * a).sum(2, keepdims=True)
+    _to_blocks(a.transpose(0, 2, 1) @ do, dv)
     da *= a
-    back = _back(size)
-    g["near"] += np.bincount(np.maximum(back, 0).ravel(), (da.sum(0) * (back >= 0)).ravel(), LONGEST).astype(dh.dtype)
+    da -= a * (da @ np.ones(SEEN, da.dtype))[..., None]
+    back = _back()
+    g["near"] += np.bincount(np.maximum(back, 0).ravel(), (da.sum(0) * (back >= 0)).ravel(), SEEN).astype(dh.dtype)
     da *= dh.dtype.type(WIDTH**-0.5)
     np.matmul(da, k, out=dq)
-    np.matmul(da.transpose(0, 2, 1), q, out=dk)
+    _to_blocks(da.transpose(0, 2, 1) @ q, dk)
     g["qkv"] += x.T @ d
-    dx = dh
-    dx += d @ p["qkv"].T
-    g["pos"][:size] += _each(dx, n).sum(0)
-    order = np.argsort(rows.ravel().astype(np.int16), kind="stable")
-    sorted_ = rows.ravel()[order]
-    first = np.flatnonzero(np.diff(sorted_, prepend=-1))
-    g["emb"][sorted_[first]] += np.add.reduceat(dx.take(order, axis=0), first, axis=0)
+    dh += d @ p["qkv"].T
+    for name, each in zip(("emb", "one", "two"), rows, strict=True):
+        _add_rows(g[name], each.ravel(), dh)
 
 
-def gradient(p: dict[str, np.ndarray], parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
-    """Gradient of the weighted sum of cross entropies over parts (rows, target leaves, weights), and its value."""
+def gradient(p: dict[str, np.ndarray], b: Blocks, leaf: np.ndarray) -> tuple[np.ndarray, float]:
+    """Gradient of the sum of cross entropies where the mask holds, and its value."""
     flat = np.zeros(sum(int(np.prod(s)) for s in _SHAPES.values()), p["emb"].dtype)
-    g, held, at = unpack(flat), [forward(p, rows) for rows, _, _ in parts], [np.flatnonzero(w) for _, _, w in parts]
-    dhs, loss = _output_gradient(p, g, np.concatenate([x[-1].take(i, axis=0) for x, i in zip(held, at)]), np.concatenate([leaf.ravel()[i] for (_, leaf, _), i in zip(parts, at)]), np.concatenate([w.ravel()[i] for (_, _, w), i in zip(parts, at)]))
-    for (rows, _, _), x, i, d in zip(parts, held, at, np.split(dhs, np.cumsum(list(map(len, at)))[:-1])):
-        dh = np.zeros_like(x[-1])
-        dh[i] = d
-        _hidden_gradient(p, g, rows, x, dh)
+    g, held, at = unpack(flat), forward(p, b.rows, b.fresh), np.flatnonzero(b.mask)
+    found, loss = _output_gradient(p, g, held[-1].take(at, axis=0), leaf.ravel()[at])
+    dh = np.zeros_like(held[-1])
+    dh[at] = found
+    _hidden_gradient(p, g, b.rows, held, dh)
     return flat, loss
 
 
 class Trainer:
-    """Adam over distinct windows, each visited as often as it is common and weighted by how often it occurs."""
-
-    def __init__(self, flat: np.ndarray, classes: Classes, rate: float, seed: int):
-        self.p, self.classes, self.rate, self.rng = flat.copy(), classes, rate, np.random.default_rng(seed)
-        self.m, self.v, self.step, self.seen, self.loss = np.zeros_like(flat), np.zeros_like(flat), 0, 0.0, 0.0
-
-    def learn(self, ids: np.ndarray, sizes: np.ndarray, before: np.ndarray, topic: np.ndarray, counts: np.ndarray) -> None:
-        self.seen += float(counts.sum())
-        w = windows_of(ids, sizes, before, topic, self.classes)
-        c = counts[w.owner].astype(np.float64)
-        visits = np.ceil(c / VISIT).astype(np.int64)
-        steps = max(-(-int(visits.sum()) // STEP), -(-int(counts.sum()) // STEP_WORDS))
-        visits = np.minimum(visits, steps)
-        which = np.repeat(np.arange(len(c)), visits)
-        turn = np.arange(len(which)) - np.repeat(np.cumsum(visits) - visits, visits)
-        at = (np.repeat(self.rng.integers(0, steps, len(c)), visits) + turn * steps // np.repeat(visits, visits)) % steps
-        order = np.argsort(at, kind="stable")
-        for part in np.split(which[order], np.searchsorted(at[order], np.arange(1, steps))):
-            if len(part):
-                self.take(w, part, (c / visits)[part])
-
-    def take(self, w: Windows, part: np.ndarray, weight: np.ndarray) -> None:
-        parts = [(rows, self.classes.of[target], mask * weight[which, None]) for which, rows, target, mask in batches_of(w, part)]
-        g, loss = gradient(unpack(self.p), parts)
-        self.loss += loss
-        g /= np.float32(sum(x.sum() for _, _, x in parts))
-        self.step += 1
+    """Adam over blocks; each id is learned from once."""
+
+    def __init__(self, flat: np.ndarray, classes: Classes, rate: float):
+        self.p, self.classes, self.rate = flat.copy(), classes, rate
+        self.m, self.v, self.step, self.seen = np.zeros_like(flat), np.zeros_like(flat), 0, 0.0
+
+    def learn(self, b: Blocks) -> float:
+        """One step; the cross entropy before it."""
+        g, loss = gradient(unpack(self.p), b, self.classes.of[b.target])
+        n = float(b.mask.sum())
+        g /= np.float32(max(n, 1.0))
+        self.step, self.seen = self.step + 1, self.seen + n
         self.m += np.float32(0.1) * (g - self.m)
         self.v += np.float32(0.01) * (g * g - self.v)
         rate = self.rate / (1 + self.step / 200) ** 0.5
         self.p -= np.float32(rate) * (self.m / np.float32(1 - 0.9**self.step)) / (np.sqrt(self.v / np.float32(1 - 0.99**self.step)) + np.float32(1e-6))
-
-
-def word_scores(p: dict[str, np.ndarray], ids: np.ndarray, sizes: np.ndarray, before: np.ndarray, topic: np.ndarray, classes: Classes, chunk: int = 1024) -> np.ndarray:
-    """log10 probability of each word and its end, given its topic."""
-    w = windows_of(ids, sizes, before, topic, classes)
-    each = np.zeros(len(w.start))
-    for a in range(0, len(each), chunk):
-        chosen = np.arange(a, min(a + chunk, len(each)))
-        parts = list(batches_of(w, chosen))
-        for (which, _, target, mask), found in zip(parts, log10_probabilities(p, [(rows, classes.of[target], mask) for _, rows, target, mask in parts])):
-            each[chosen[which]] = (found + classes.share[target] * mask).sum(1)
-    return np.bincount(w.owner, each, len(sizes))
-
-
-def _train(path: str, classes: Classes, flat: np.ndarray, turn: int, rate: float):
+        return loss / max(n, 1.0)
+
+
+def sequence_scores(p: dict[str, np.ndarray], ids: np.ndarray, sizes: np.ndarray, classes: Classes) -> np.ndarray:
+    """log10 probability of each text of ``ids``, the next ``sizes`` ids each. Batches go on within a text: they take the block before along."""
+    ends = np.cumsum(sizes)
+    b = blocks_of(np.insert(ids, np.repeat(ends - sizes, 3), END), sizes + 3, np.zeros(len(sizes), np.int64), classes)
+    each = np.zeros(len(b.owner))
+    for a in range(0, len(each), CHUNK):
+        before = 0 if b.fresh[a] else 1
+        part = b.part(a - before, a + CHUNK)
+        mask = part.mask
+        if before:
+            mask = mask.copy()
+            mask[0] = False
+        part = Blocks(part.rows, part.target, mask, part.fresh, part.owner)
+        found = log10_probabilities(p, part, classes.of[part.target]) + classes.share[part.target] * mask
+        each[a : a + CHUNK] = found[before:].sum(1)
+    return np.bincount(b.owner, each, len(sizes))
+
+
+def _train(path: str, classes: Classes, flat: np.ndarray, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, trainer = Subwords(path), Trainer(flat, classes, rate, turn)
-        at, keys, topics, counts = None, [], [], []
+        trainer, held, skips, windows = Trainer(flat, classes, rate), [], [], 0
 
-        def flush() -> None:
-            if keys:
-                trainer.learn(*window_ids(subwords, keys), np.array(topics), np.array(counts))
-            for held in (keys, topics, counts):
-                held.clear()
+        def step() -> None:
+            trainer.learn(blocks_of(np.concatenate(held), np.array(list(map(len, held))), np.array(skips), classes))
+            held.clear()
+            skips.clear()
 
         for batch in batches:
-            hands = batch.column("hand").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(hands)) + 1).tolist(), len(hands)]
-            for a, b in zip(cuts, cuts[1:]):
-                if b > a and hands[a] != at:
-                    flush()
-                    at = hands[a]
-                part = batch.slice(a, b - a)
-                keys += map(str.encode, part.column("key").to_pylist())
-                topics += part.column("topic").to_pylist()
-                counts += part.column("c").to_pylist()
-        flush()
-        yield pa.RecordBatch.from_arrays([pa.array([trainer.seen]), pa.array([trainer.p], pa.list_(pa.float32()))], names=["seen", "p"])
+            for ids, skip in zip(batch.column("ids").to_pylist(), batch.column("skip").to_pylist(), strict=True):
+                held.append(np.frombuffer(ids, np.uint16))
+                skips.append(skip)
+                windows += -(-(len(held[-1]) - 3) // SPAN)
+                if windows >= STEP:
+                    step()
+                    windows = 0
+        if held:
+            step()
+        if trainer.seen:
+            yield pa.RecordBatch.from_arrays([pa.array([trainer.seen]), pa.array([trainer.p], pa.list_(pa.float32()))], names=["seen", "p"])
 
     return run
 
 
-def train(windows: DataFrame, path: str, classes: Classes, rounds: int = 2, rate: float = 0.02) -> np.ndarray:
-    """Parameters after ``rounds`` of local training on :func:`deal_windows` and averaging by words."""
+def deal(pieces: DataFrame, rounds: int) -> list[DataFrame]:
+    """``(skip, ids)`` of each round's pieces, a task's partition being one hand. Every piece is in one round and one hand, by a
+    hash of its place, and hands are read in the order of that hash."""
+    total = pieces.agg(F.sum("size")).first()[0] or 0
+    hands = max(1, -(-int(total) // (HAND * rounds)))
+    dealt = pieces.select("skip", "ids", F.xxhash64("id", "piece", "row").alias("h")).withColumn("turn", F.pmod("h", F.lit(rounds))).withColumn("hand", F.pmod(F.shiftright("h", 20), F.lit(hands)).cast("int"))
+    return [dealt.where(F.col("turn") == turn).repartitionById(hands, "hand").sortWithinPartitions("h").select("skip", "ids") for turn in range(rounds)]
+
+
+def train(pieces: DataFrame, path: str, classes: Classes, rounds: int = 2, rate: float = 0.02) -> np.ndarray:
+    """Parameters after ``rounds`` of local training on the hands of :func:`deal` and averaging by ids."""
     flat = first_parameters(classes)
-    for turn in range(rounds):
-        found = materialize(small_rows(windows).mapInArrow(_train(path, classes, flat, turn, rate / (turn + 1)), "seen double, p array<float>").where("seen > 0"), "parameters")
+    for turn, hands in enumerate(deal(pieces, rounds)):
+        found = materialize(hands.mapInArrow(_train(path, classes, flat, rate / (turn + 1)), "seen double, p array<float>"), "parameters")
         each = found.select("seen", F.posexplode("p").alias("at", "x")).groupBy("at").agg((F.sum(F.col("seen") * F.col("x")) / F.sum("seen")).alias("x")).orderBy("at").toPandas()
         if len(each):
             flat = each["x"].to_numpy("float32")
     return flat
 
 
-def topics_of(windows: DataFrame) -> dict[str, int]:
-    """Topics of the commonest marks: those whose texts share their commonest words. Other marks have none."""
-    spark = windows.sparkSession
-    mass = windows.where("mark <> ''").groupBy("mark").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "mark").limit(MARKS).toPandas()
-    marks = mass["mark"].tolist()
-    if not marks:
-        return {}
-    row, column = spark.createDataFrame(list(zip(marks, range(len(marks)))), "mark string, row int"), spark.createDataFrame(list(zip(marks[:MARK_WORDS], range(MARK_WORDS))), "key string, column int")
-    seen = windows.join(F.broadcast(column), "key").join(F.broadcast(row), "mark").groupBy("row", "column").agg(F.sum("c").alias("c")).toPandas()
-    profile = np.zeros((len(marks), MARK_WORDS))
-    profile[seen["row"], seen["column"]] = np.log1p(seen["c"].to_numpy("float64"))
-    near = near_centres(profile, mass["c"].to_numpy("float64"), min(TOPICS, len(marks)))
-    return dict(zip(marks, near.tolist(), strict=True))
-
-
-def by_topic(windows: DataFrame, topics: dict[str, int]) -> DataFrame:
-    """Distinct windows ``(topic, key, c)`` of all training texts."""
-    named = windows.sparkSession.createDataFrame(list(topics.items()), "mark string, topic int")
-    merged = windows.join(F.broadcast(named), "mark", "left").groupBy(F.coalesce("topic", F.lit(TOPICS)).alias("topic"), "key").agg(F.sum("c").alias("c"))
-    return materialize(merged, "merged")
-
-
-def deal_windows(merged: DataFrame) -> DataFrame:
-    """Distinct windows ``(hand, topic, key, c)``, dealt to hands at random; a frequent one to several, in equal shares, so
-    that each hand resembles the whole."""
-    visits = merged.agg(F.sum(F.ceil(F.col("c") / VISIT))).first()[0] or 0
-    hands = max(1, -(-int(visits) // HAND))
-    shares = F.least(F.ceil(F.col("c") / VISIT), F.lit(hands)).cast("int")
-    hand = ((F.pmod(F.xxhash64("topic", "key"), F.lit(hands)) + F.col("turn")) % hands).cast("int")
-    dealt = merged.select("topic", "key", (F.col("c") / shares).alias("c"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("turn")).select(hand.alias("hand"), "topic", "key", "c")
-    return materialize(dealt.repartitionByRange(-(-hands // HANDS_A_TASK), "hand").sortWithinPartitions("hand", F.xxhash64("key", "topic"), "key", "topic"), "dealt")
-
-
-def _score(path: str, classes: Classes, flat: np.ndarray, topics: dict[str, int], frequent: dict[str, int]):
+def _score(path: str, classes: Classes, flat: np.ndarray, frequent: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, p, topic_of = Subwords(path), unpack(flat), {m.encode(): k for m, k in topics.items()}
+        lexicon, p, base = Lexicon(path), unpack(flat), np.zeros(0)
         logs = dict(zip(map(str.encode, frequent), np.log10(np.array(list(frequent.values()), np.float64) + 1).tolist(), strict=True))
-        numbers: dict[int, dict[bytes, int]] = defaultdict(dict)
-        words: list[bytes] = []
-        score = base = np.zeros(0)
-
-        def learn(new: dict[int, set[bytes]]) -> None:
-            nonlocal score, base
-            keys, own = [k for found in new.values() for k in found], np.repeat(np.array(list(new), np.int64), list(map(len, new.values())))
-            n = len(words)
-            for topic, found in new.items():
-                numbers[topic].update(zip(found, range(n, n + len(found))))
-                n += len(found)
-            fresh = [k.rpartition(b" ")[2] for k in keys]
-            words.extend(fresh)
-            score = np.concatenate([score, word_scores(p, *window_ids(subwords, keys), own, classes)])
-            base = np.concatenate([base, np.array([logs.get(w, np.nan) for w in fresh])])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if len(words) > _MEMO:  # start anew
-                numbers.clear()
-                words.clear()
-                score = base = np.zeros(0)
-            lengths, keys, topic, at = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                n = 0
-                for mark, part in segments(words_of(text)):
-                    t = topic_of.get(mark, TOPICS)
-                    at.extend(map(numbers[t].get, part, repeat(-1)))
-                    keys += part
-                    topic += [t] * len(part)
-                    n += len(part)
-                lengths.append(n)
-            at = np.array(at, np.int64)
-            unknown = np.flatnonzero(at < 0).tolist()
-            if unknown:
-                new: dict[int, set[bytes]] = defaultdict(set)
-                for k in unknown:
-                    new[topic[k]].add(keys[k])
-                learn(new)
-                at[unknown] = [numbers[topic[k]][keys[k]] for k in unknown]
-            first, part = np.cumsum(lengths) - lengths, base[at]
+            if len(lexicon.words) > _MEMO:
+                lexicon.clear()
+                base = np.zeros(0)
+            words, n = texts_of(batch.column("text").to_pylist())
+            at, known = lexicon.numbers(words)
+            base = np.concatenate([base, np.array([logs.get(w, np.nan) for w in lexicon.words[known:]], np.float64)])
+            ids, upto = lexicon.spelled(at)
+            score = sequence_scores(p, ids, np.diff(upto[np.cumsum(n) - 1], prepend=0), classes)
+            first, part = np.cumsum(n) - n, base[at]
             rare = np.isnan(part)
             n_rare = np.add.reduceat(rare.astype(np.int64), first)
-            rest, ends = [words[k] for k in at[rare].tolist()], np.cumsum(n_rare).tolist()
+            rest, ends = [words[k] for k in np.flatnonzero(rare).tolist()], np.cumsum(n_rare).tolist()
             each = [rest[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-            n = np.array(lengths, np.int64)
-            arrays = [batch.column("row"), batch.column("id"), batch.column("held_out"), pa.array(n), pa.array(n - n_rare), pa.array(np.add.reduceat(np.where(rare, 0, part), first)), pa.array(each, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(np.add.reduceat(score[at], first))]
+            arrays = [batch.column("row"), batch.column("id"), batch.column("held_out"), pa.array(n), pa.array(n - n_rare), pa.array(np.add.reduceat(np.where(rare, 0, part), first)), pa.array(each, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(score)]
             yield pa.RecordBatch.from_arrays(arrays, names=["row", "id", "held_out", "n", "known", "part", "rest", "score"])
 
     return run
@@ -650,19 +599,16 @@ def language_scores(docs: DataFrame, held_out, path: str, id_col: str = "doc_id"
 
     held_out: a Column; rows where it is not true teach both models. Texts are whole, A-Z count as lower case; tokens
     are words and one end. base_score: sum over tokens of log10((c + 1) / (N + V + 1)) with c, N, V from training tokens. score:
-    the attention model's log10 probability of the text's words, each by its subword ids, and their end. Null and empty texts
-    are one token. Repeated rows are scored each and all teach; null identifiers stay null. Other columns are ignored; an empty
-    table gives no rows. Without any training document N and V are 0 and the model is the one training starts from.
-    What the driver and the tasks hold of the corpus is bounded: counts of ``FREQUENT`` words and of the vocabulary's ids, and
-    topics of ``MARKS`` marks.
+    the attention model's log10 probability of the text's subword ids and its end. Null and empty texts are one token. Repeated
+    rows are scored each and all teach; null identifiers stay null. Other columns are ignored; an empty table gives no
+    rows. Without any training document N and V are 0 and the model is the one training starts from. What the driver and the
+    tasks hold of the corpus is bounded: counts of ``FREQUENT`` words and of the vocabulary's ids.
     """
     spark = docs.sparkSession
     short_batches(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("text"))
-    windows = materialize(rows.where("NOT held_out").select("text").mapInArrow(_count, "mark string, key string, c long"), "windows")
-    topics = topics_of(windows)
-    merged = by_topic(windows, topics)
-    words = materialize(merged.groupBy(F.substring_index("key", " ", -1).alias("word")).agg(F.sum("c").alias("c")), "words")
+    found = materialize(rows.where("NOT held_out").select("id", "row", "text").mapInArrow(_read_texts(path), "word string, c long, id long, row long, piece long, skip int, size long, ids binary"), "read")
+    words = materialize(found.where("word IS NOT NULL").groupBy("word").agg(F.sum("c").alias("c")), "words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
 
     # The commonest words: a threshold on the count that leaves at most FREQUENT of them.
@@ -674,10 +620,9 @@ def language_scores(docs: DataFrame, held_out, path: str, id_col: str = "doc_id"
 
     counts, company = id_counts(words, path)
     classes = make_classes(counts, company, np.lexsort((np.arange(IDS), -counts)), word_openers(path))
-    flat = train(deal_windows(merged), path, classes)
-
     short_batches(spark)
-    scored = materialize(rows.mapInArrow(_score(path, classes, flat, topics, frequent), "row long, id long, held_out boolean, n long, known long, part double, rest array<string>, score double"), "scored")
+    flat = train(found.where("ids IS NOT NULL"), path, classes)
+    scored = materialize(rows.mapInArrow(_score(path, classes, flat, frequent), "row long, id long, held_out boolean, n long, known long, part double, rest array<string>, score double"), "scored")
     rare = scored.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
     rare = rare.join(words if not least else words.where(F.col("c") < least), "word").groupBy("row").agg(F.sum("k").alias("rare_known"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("rare_part"))
     out = scored.drop("rest").join(rare, "row", "left")
