@@ -34,9 +34,9 @@ IDS, END = 50_257, 50_256
 GROUPS, LEAVES, SINGLES, COMPANY = 32, 32, 960, 48
 ROWS = GROUPS * LEAVES
 #: Ids that a window scores, and as many before them that it sees; width and hidden width.
-SPAN, WIDTH, HIDDEN = 32, 16, 48
+SPAN, WIDTH, HIDDEN = 16, 16, 48
 #: Ids of a piece of a text in training, a whole number of windows; windows of a step, at least; windows of a batch in scoring.
-PIECE, STEP, CHUNK = 4096, 256, 256
+PIECE, STEP, CHUNK = 4096, 512, 512
 #: Ids of a hand, a random share of all pieces that one task learns from.
 HAND = 4_000_000
 #: Words whose count a scoring task holds; rarer ones are joined.
@@ -364,24 +364,26 @@ def _to_blocks(d: np.ndarray, out: np.ndarray) -> None:
 
 
 def forward(p: dict[str, np.ndarray], rows: np.ndarray, fresh: np.ndarray) -> tuple:
-    """Attention and hidden states; all but the attention have a row for each input. The first block must be fresh or is not scored."""
+    """Attention (its weights before they are divided by their sum) and hidden states; all but the attention have a row for each input. The first block must be fresh or is not scored."""
     x = p["emb"].take(rows[0].ravel(), axis=0)
     x += p["one"].take(rows[1].ravel(), axis=0)
     x += p["two"].take(rows[2].ravel(), axis=0)
     q, k, v = _qkv(x @ p["qkv"])
+    q *= np.float32(WIDTH**-0.5)
     k, v, back = _with_before(k), _with_before(v), _back()
     a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(WIDTH**-0.5)
-    a += np.where(back >= 0, p["near"][np.maximum(back, 0)], np.float32(-1e4))
-    a[fresh, :, :SPAN] = -1e4
     np.exp(a, out=a)
-    a /= (a @ np.ones(SEEN, a.dtype))[..., None]
-    o = (a @ v).reshape(-1, WIDTH)
+    a *= np.where(back >= 0, np.exp(p["near"])[np.maximum(back, 0)], np.float32(0))
+    a[fresh, :, :SPAN] = 0
+    total = (a @ np.ones(SEEN, a.dtype))[..., None]
+    o = a @ v
+    o /= total
+    o = o.reshape(-1, WIDTH)
     h1 = x + o @ p["wo"]
     u = h1 @ p["w1"]
     u += p["b1"]
     np.maximum(u, 0, out=u)
-    return x, q, k, v, a, o, h1, u, h1 + u @ p["w2"]
+    return x, q, k, v, a, total, o, h1, u, h1 + u @ p["w2"]
 
 
 def _softmax(z: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -400,12 +402,18 @@ def _by_group(leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, lis
     return order, group.astype(np.int64), leaf[order] % LEAVES, [(g, slice(a, b)) for g, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
 
 
-def _outputs(p: dict[str, np.ndarray], h: np.ndarray, group: np.ndarray, place: np.ndarray, spans: list[tuple[int, slice]]) -> tuple:
+def _logits(p: dict[str, np.ndarray], h: np.ndarray, group: np.ndarray, spans: list[tuple[int, slice]]) -> tuple[np.ndarray, np.ndarray]:
     outer = h @ p["out"]
     outer += p["bias"]
-    inner = p["leaf_bias"].take(group, axis=0)
+    inner = np.empty((len(h), LEAVES), h.dtype)
     for g, span in spans:
-        inner[span] += h[span] @ p["leaf"][g]
+        np.matmul(h[span], p["leaf"][g], out=inner[span])
+        inner[span] += p["leaf_bias"][g]
+    return outer, inner
+
+
+def _outputs(p: dict[str, np.ndarray], h: np.ndarray, group: np.ndarray, place: np.ndarray, spans: list[tuple[int, slice]]) -> tuple:
+    outer, inner = _logits(p, h, group, spans)
     return *_softmax(outer, group), *_softmax(inner, place)
 
 
@@ -413,9 +421,13 @@ def log10_probabilities(p: dict[str, np.ndarray], b: Blocks, leaf: np.ndarray) -
     """log10 probability of the leaves ``leaf`` where the mask holds, and 0 elsewhere."""
     h = forward(p, b.rows, b.fresh)[-1].compress(b.mask.ravel(), axis=0)
     order, group, place, spans = _by_group(leaf[b.mask])
-    _, hit, _, inner = _outputs(p, h.take(order, axis=0), group, place, spans)
-    found, out = np.empty(len(h)), np.zeros(b.mask.shape)
-    found[order] = np.log10(np.maximum(hit, 1e-30)) + np.log10(np.maximum(inner, 1e-30))
+    found, out, each = np.empty(len(h)), np.zeros(b.mask.shape), np.arange(len(h))
+    outer, inner = _logits(p, h.take(order, axis=0), group, spans)
+    hit = outer[each, group] + inner[each, place]
+    for z in (outer, inner):
+        np.exp(z, out=z)
+        hit -= np.log(z @ np.ones(z.shape[1], z.dtype))
+    found[order] = hit / np.log(10)
     out[b.mask] = found
     return out
 
@@ -448,7 +460,7 @@ def _add_rows(to: np.ndarray, rows: np.ndarray, d: np.ndarray) -> None:
 
 
 def _hidden_gradient(p: dict[str, np.ndarray], g: dict[str, np.ndarray], rows: np.ndarray, held: tuple, dh: np.ndarray) -> None:
-    x, q, k, v, a, o, h1, u, _ = held
+    x, q, k, v, a, total, o, h1, u, _ = held
     g["w2"] += u.T @ dh
     du = dh @ p["w2"].T
     du *= u > 0
@@ -459,14 +471,16 @@ def _hidden_gradient(p: dict[str, np.ndarray], g: dict[str, np.ndarray], rows: n
     g["wo"] += o.T @ dh
     d = np.empty((len(x), 3 * WIDTH), dh.dtype)
     dq, dk, dv = _qkv(d)
-    da = do @ v.transpose(0, 2, 1)
+    do /= total
     _to_blocks(a.transpose(0, 2, 1) @ do, dv)
+    da = do @ v.transpose(0, 2, 1)
+    da -= ((do.reshape(-1, WIDTH) * o) @ np.ones(WIDTH, do.dtype)).reshape(*do.shape[:2], 1)
     da *= a
-    da -= a * (da @ np.ones(SEEN, da.dtype))[..., None]
     back = _back()
-    g["near"] += np.bincount(np.maximum(back, 0).ravel(), (da.sum(0) * (back >= 0)).ravel(), SEEN).astype(dh.dtype)
-    da *= dh.dtype.type(WIDTH**-0.5)
+    sums = (np.ones(len(da), da.dtype) @ da.reshape(len(da), -1)).reshape(back.shape)
+    g["near"] += np.bincount(np.maximum(back, 0).ravel(), (sums * (back >= 0)).ravel(), SEEN).astype(dh.dtype)
     np.matmul(da, k, out=dq)
+    dq *= dh.dtype.type(WIDTH**-0.5)
     _to_blocks(da.transpose(0, 2, 1) @ q, dk)
     g["qkv"] += x.T @ d
     dh += d @ p["qkv"].T
