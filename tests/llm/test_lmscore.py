@@ -41,43 +41,87 @@ def classes():
     return some_classes()
 
 
+def random_blocks(classes, rng, sizes, skip=None):
+    ids = rng.integers(0, lmscore.IDS, sum(sizes)).astype(np.uint16)
+    return lmscore.blocks_of(ids, np.array(sizes), np.array(skip or [0] * len(sizes)), classes)
+
+
 def test_probabilities_sum_to_one(classes):
-    leaves = lmscore.GROUPS * lmscore.LEAVES
+    leaves = lmscore.ROWS
     assert set(classes.of) == set(range(leaves))
     assert np.allclose(np.bincount(classes.of, 10**classes.share), 1, rtol=1e-9)
     p = lmscore.unpack(lmscore.first_parameters(classes))
-    row = np.random.default_rng(1).integers(0, lmscore.ROWS, 6)
-    rows, leaf = np.tile(row, (leaves, 1)), np.tile(np.arange(leaves)[:, None], (1, 6))
-    (found,) = lmscore.log10_probabilities(p, [(rows, leaf, np.ones(leaf.shape, bool))])
-    assert np.allclose((10**found).sum(0), 1, atol=1e-4)
-
-
-def test_model_is_causal_and_batches_do_not_matter(classes):
-    p = lmscore.unpack(lmscore.first_parameters(classes))
-    rng = np.random.default_rng(2)
-    keys = [b"the", b"", b"of", b"a zebra", b"de " + b"xyzzy" * 30, b"la " + bytes(rng.integers(97, 123, 200).astype(np.uint8))]
-    subwords, topic = lmscore.Subwords(vocabulary()), np.array([0, 8, 3, 1, 2, 5])
-    together = lmscore.word_scores(p, *lmscore.window_ids(subwords, keys), topic, classes)
-    alone = [lmscore.word_scores(p, *lmscore.window_ids(subwords, [k]), topic[i : i + 1], classes)[0] for i, k in enumerate(keys)]
-    assert np.allclose(together, alone, atol=1e-4) and (together < 0).all()
-    rows, leaf = rng.integers(0, lmscore.ROWS, (4, 9)), rng.integers(0, lmscore.GROUPS * lmscore.LEAVES, (4, 9))
-    changed = rows.copy()
-    changed[:, 5:] = (changed[:, 5:] + 11) % lmscore.ROWS
-    one, two = (lmscore.log10_probabilities(p, [(r, leaf, np.ones(leaf.shape, bool))])[0] for r in (rows, changed))
-    assert np.allclose(one[:, :5], two[:, :5], atol=1e-5) and not np.allclose(one[:, 5:], two[:, 5:], atol=1e-3)
+    b = random_blocks(classes, np.random.default_rng(1), [3 + lmscore.SPAN + 5])
+    sums = np.zeros(b.mask.shape)
+    for k in range(leaves):
+        sums += 10 ** lmscore.log10_probabilities(p, b, np.full(b.mask.shape, k)) * b.mask
+    assert np.allclose(sums[b.mask], 1, atol=1e-4)
+
+
+def plain_scores(flat, classes, ids):
+    """A text's score one id at a time, from float64 vectors of the ids that its window sees."""
+    p = {k: v.astype(np.float64) for k, v in lmscore.unpack(flat).items()}
+    line, total = [lmscore.END] * 3 + list(map(int, ids)), 0.0
+    leaf = classes.of[np.array(line)]
+    inputs = [p["emb"][leaf[t + 2]] + p["one"][leaf[t + 1]] + p["two"][leaf[t]] for t in range(len(ids))]
+    seen = []
+    for t, target in enumerate(ids):
+        begin = max(t // lmscore.SPAN - 1, 0) * lmscore.SPAN
+        seen.append(t - begin)
+        q, k, v = np.split(np.array(inputs[begin : t + 1]) @ p["qkv"], 3, axis=1)
+        a = np.exp(k @ q[-1] / np.sqrt(lmscore.WIDTH) + p["near"][t - np.arange(begin, t + 1)])
+        h1 = inputs[t] + (a / a.sum()) @ v @ p["wo"]
+        h = h1 + np.maximum(h1 @ p["w1"] + p["b1"], 0) @ p["w2"]
+        group, place = divmod(int(classes.of[target]), lmscore.LEAVES)
+        for z, at in ((h @ p["out"] + p["bias"], group), (h @ p["leaf"][group] + p["leaf_bias"][group], place)):
+            total += (z[at] - np.log(np.exp(z).sum())) / np.log(10)
+        total += classes.share[target]
+    return total, seen
+
+
+def test_scores_against_one_id_at_a_time(classes, monkeypatch):
+    """Texts of all lengths, over borders of windows and of batches; what stands beside a text doesn't matter."""
+    flat, rng, span = lmscore.first_parameters(classes), np.random.default_rng(2), lmscore.SPAN
+    texts = [rng.integers(0, lmscore.IDS, n).astype(np.uint16) for n in (1, 2, span - 1, span, span + 1, 3 * span, 7 * span + 3, 1)]
+    monkeypatch.setattr(lmscore, "CHUNK", 3)
+    together = lmscore.sequence_scores(lmscore.unpack(flat), np.concatenate(texts), np.array(list(map(len, texts))), classes)
+    want = [plain_scores(flat, classes, t)[0] for t in texts]
+    assert np.allclose(together, want, rtol=1e-5, atol=1e-4) and (together < 0).all()
+    seen = plain_scores(flat, classes, texts[6])[1]
+    assert all(min(t, span) <= n < 2 * span for t, n in enumerate(seen))
+
+
+def test_context_reaches_earlier_words(classes):
+    """On texts of ordinary and of long words, over 90 percent of the ids after the first see ids of an earlier word, and an earlier word changes scores."""
+    lexicon, rng = lmscore.Lexicon(vocabulary()), np.random.default_rng(4)
+    words = [b"%s" % bytes(rng.integers(97, 123, rng.integers(1, 14)).astype(np.uint8)) for _ in range(400)] + [b""]
+    at, _ = lexicon.numbers(words)
+    ids, ends = lexicon.spelled(at)
+    begins = np.repeat(ends - lexicon.size[at], lexicon.size[at])
+    seen_from = np.maximum(np.arange(len(ids)) // lmscore.SPAN - 1, 0) * lmscore.SPAN
+    assert (seen_from < begins)[1:].mean() > 0.9
+    p, other = lmscore.unpack(lmscore.first_parameters(classes)), ids.copy()
+    other[3] = (int(other[3]) + 977) % lmscore.IDS
+    one, two = (lmscore.log10_probabilities(p, b, classes.of[b.target]) for b in (lmscore.blocks_of(np.concatenate([[lmscore.END] * 3, x]).astype(np.uint16), np.array([len(x) + 3]), np.array([0]), classes) for x in (ids, other)))
+    changed = np.flatnonzero(~np.isclose(one, two, atol=1e-6))
+    assert changed.min() == 3 and 2 * lmscore.SPAN - 4 < changed.max() < 2 * lmscore.SPAN
 
 
 def test_gradient(classes):
     flat = lmscore.first_parameters(classes).astype(np.float64)
-    rng = np.random.default_rng(3)
-    parts = [(rng.integers(0, lmscore.ROWS, (n, size)), rng.integers(0, 1024, (n, size)), rng.integers(0, 3, (n, size)) / 7) for n, size in ((5, 4), (3, 11))]
-    g, _ = lmscore.gradient(lmscore.unpack(flat), parts)
-    start = lmscore.ROWS * lmscore.WIDTH
-    for k in [int(parts[0][0][3, 2]) * lmscore.WIDTH + 1, *range(start, len(flat), 271)]:
+    flat[-2000:] += 0.01
+    b = random_blocks(classes, np.random.default_rng(3), [3 + 5, 3 + 2 * lmscore.SPAN + 7, 3 + lmscore.SPAN + 4], [0, 0, lmscore.SPAN])
+    leaf = classes.of[b.target]
+    g, loss = lmscore.gradient(lmscore.unpack(flat), b, leaf)
+    assert np.isclose(loss, -np.log(10) * lmscore.log10_probabilities(lmscore.unpack(flat), b, leaf).sum())
+    start = 3 * lmscore.ROWS * lmscore.WIDTH
+    some = [n * lmscore.ROWS * lmscore.WIDTH + int(b.rows[n, 2, 1]) * lmscore.WIDTH + 1 for n in range(3)]
+    near = start + 4 * lmscore.WIDTH**2
+    for k in [*some, near, near + 1, near + lmscore.SPAN + 2, *range(start, len(flat), 271)]:
         up, down = flat.copy(), flat.copy()
         up[k] += 1e-4
         down[k] -= 1e-4
-        slope = (lmscore.gradient(lmscore.unpack(up), parts)[1] - lmscore.gradient(lmscore.unpack(down), parts)[1]) / 2e-4
+        slope = (lmscore.gradient(lmscore.unpack(up), b, leaf)[1] - lmscore.gradient(lmscore.unpack(down), b, leaf)[1]) / 2e-4
         assert abs(slope - g[k]) < 1e-4
 
 
@@ -85,65 +129,41 @@ def test_ids_of_words():
     """Encoded together, words have the ids that each has alone."""
     subwords, encode = lmscore.Subwords(vocabulary()), lmscore.ranks_encoder(vocabulary(), {})
     words = [b"the", b"", "\u00e9t\u00e9".encode(), b"x" * 3000, b"<|endoftext|>", "a\u00a0".encode(), "\u00a0b".encode(), "\u3000".encode(), b"12,5%", b""]
+
+    def alone(w):
+        return encode(" " + w.decode()).tolist() if w else [lmscore.END]
+
     for some in (words, words[:5], [], [b""], [b"", b"a"]):
         ids, sizes = subwords.each(some)
         for w, got in zip(some, np.split(ids, np.cumsum(sizes)[:-1]) if some else [], strict=True):
-            assert got.tolist() == [*(encode(" " + w.decode()).tolist() if w else []), lmscore.END]
-    ids, sizes, before = lmscore.window_ids(subwords, [b"of zebra", b"zebra", b"a ", b""])
-    assert ids[: sizes[0]].tolist() == ids[sizes[0] : 2 * sizes[0]].tolist() and sizes[2:].tolist() == [1, 1]
-    assert before.tolist() == [encode(" of")[-1], -1, encode(" a")[-1], -1]
-
-
-def test_windows_score_each_id_once(classes):
-    rng = np.random.default_rng(5)
-    sizes = np.array([1, 2, 16, 17, 32, 33, 100, 1, 5])
-    ids = rng.integers(0, lmscore.IDS, sizes.sum())
-    before, topic = np.array([-1, 7, -1, 9, -1, -1, 11, 3, -1]), np.arange(9) % 9
-    w = lmscore.windows_of(ids, sizes, before, topic, classes)
-    scored = [[] for _ in sizes]
-    for which, rows, target, mask in lmscore.batches_of(w, np.arange(len(w.start))):
-        for k, row, t, m in zip(which, rows, target, mask):
-            own = w.owner[k]
-            assert row[0] == (classes.of[before[own]] if before[own] >= 0 else lmscore.ROWS - 1) and row[1] == 1024 + topic[own]
-            hit = np.flatnonzero(m)
-            assert len(hit) <= lmscore.PIECE and (row[2 : hit[-1] + 1] == classes.of[t[1 : hit[-1]]]).all()
-            scored[own].append((int(w.start[k]), t[hit].tolist()))
-    ends = np.cumsum(sizes)
-    for k, found in enumerate(scored):
-        assert sum((part for _, part in sorted(found)), []) == ids[ends[k] - sizes[k] : ends[k]].tolist()
-
-
-def test_segments_tile_every_text():
-    for n in (0, 1, 7, 8, 9, 24, 57, 500):
-        words = [b"%c%d" % (97 + k % 7, k % 13) for k in range(n)]
-        parts = list(lmscore.segments(words))
-        keys = [k for _, part in parts for k in part]
-        assert [k.rpartition(b" ")[2] for k in keys] == [*words, b""]
-        for k, (b, w) in zip(keys, zip([b"", *words], [*words, b""]), strict=True):
-            assert k == (b + b" " + w if 0 < len(b) <= lmscore.SHORT and len(w) <= lmscore.SHORT else w)
-        at = 0
-        for mark, part in parts:
-            seen = Counter(w for w in words[:at] if len(w) > 2)
-            assert (mark == b"" and max(seen.values(), default=0) < 2) or seen[mark] == max(seen.values())
-            at += len(part)
-
-
-def test_every_training_word_is_dealt(spark):
-    """What training reads adds up to all training tokens, and a frequent window is in several hands."""
-    found = [("m", "a", 100_000), ("m", "of b", 3), ("n", "a", 5), ("", "", 70)] + [("m", f"w{k}", 1 + k % 40) for k in range(300)]
-    windows = spark.createDataFrame(found, "mark string, key string, c long")
-    hand, lmscore.HAND = lmscore.HAND, 200
-    try:
-        got = lmscore.deal_windows(lmscore.by_topic(windows, {"m": 2})).collect()
-    finally:
-        lmscore.HAND = hand
-    sums, want = Counter(), Counter()
-    for r in got:
-        sums[r.topic, r.key] += r.c
-    for m, k, c in found:
-        want[2 if m == "m" else lmscore.TOPICS, k] += c
-    assert set(sums) == set(want) and all(math.isclose(sums[k], want[k]) for k in want)
-    assert len({r.hand for r in got}) > 3 and sum(r.key == "a" and r.topic == 2 for r in got) == len({r.hand for r in got})
+            assert got.tolist() == alone(w)
+    lexicon = lmscore.Lexicon(vocabulary())
+    for some in ([b"of", b"zebra", b""], [b"zebra", b"zebra", b"quagga", b"", b"of"], words):
+        at, _ = lexicon.numbers(some)
+        ids, ends = lexicon.spelled(at)
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [alone(w) for w in some]
+
+
+def test_pieces_teach_each_id_once(classes):
+    for n in (1, 5, lmscore.PIECE - 1, lmscore.PIECE, lmscore.PIECE + 1, 3 * lmscore.PIECE + 40):
+        ids = np.random.default_rng(n).integers(0, lmscore.IDS, n).astype(np.uint16)
+        parts = list(lmscore.pieces_of(ids))
+        b = lmscore.blocks_of(np.concatenate([s for _, s in parts]), np.array([len(s) for _, s in parts]), np.array([k for k, _ in parts]), classes)
+        assert b.target[b.mask].tolist() == ids.tolist()
+        whole = lmscore.blocks_of(np.concatenate([[lmscore.END] * 3, ids]).astype(np.uint16), np.array([n + 3]), np.array([0]), classes)
+        assert (b.rows[:, b.mask] == whole.rows[:, whole.mask]).all()
+
+
+def test_every_piece_is_dealt_once(spark, monkeypatch):
+    """Rounds and hands part the pieces, those of one identifier and one text too."""
+    pieces = spark.range(4000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("id"), F.col("id").alias("row"), F.lit(0).alias("piece"), F.lit(0).alias("skip"), F.lit(10).alias("size"), F.col("id").cast("string").cast("binary").alias("ids"))
+    monkeypatch.setattr(lmscore, "HAND", 5000)
+    found, hands = [], []
+    for part in lmscore.deal(pieces, 2):
+        rows = part.withColumn("task", F.spark_partition_id()).collect()
+        found += [int(bytes(r.ids)) for r in rows]
+        hands += Counter(r.task for r in rows).values()
+    assert sorted(found) == list(range(4000)) and len(hands) == 8 and max(hands) < 2 * min(hands)
 
 
 def test_training_helps_on_held_out_documents(spark):
