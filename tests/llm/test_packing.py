@@ -54,9 +54,10 @@ def brute_bins(lengths, size, bound):
             x, opened = [size, opened], opened + 1
         placed.append((x[0], x[1]))
         if x[0] > n:
-            if len(free) >= bound:
-                free.remove(min(free))
             free.append([x[0] - n, x[1]])
+            if len(free) > bound:
+                least = min(space for space, _ in free)
+                free.remove(max((x for x in free if x[0] == least), key=free.index))
     return opened, placed
 
 
@@ -72,10 +73,13 @@ def test_open_bins_are_bounded():
 
 def test_the_fullest_bin_closes_first():
     bins = OpenBins(10, 2)
-    for n in (4, 7, 9):  # free 6, 3; for the third to stay open the second, the fullest, closes
+    for n in (4, 7, 9):  # free 6, 3 and 1: the third, the fullest, closes itself
         bins.place(n)
-    assert [k for k in range(11) if bins.free >> k & 1] == [1, 6] and bins.count == 2
-    assert bins.place(3) == (0, 4)  # not the closed one, which would fit tighter
+    assert [k for k in range(11) if bins.free >> k & 1] == [3, 6] and bins.count == 2
+    assert bins.place(5) == (0, 4)  # free 1 and 3
+    assert bins.place(6) == (3, 0)  # free 4: of 1, 3 and 4 that with 1 closes
+    assert [k for k in range(11) if bins.free >> k & 1] == [3, 4] and bins.count == 2
+    assert bins.place(1) == (1, 7)
 
 
 def test_placement_against_brute_force():

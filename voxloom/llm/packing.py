@@ -106,9 +106,12 @@ class OpenBins:
         else:
             at, space, self.opened = self.opened, self.size, self.opened + 1
         rest = space - length
+        if rest and self.count >= self.bound:  # one more than may be open: the fullest closes, which may be this one
+            least = (self.free & -self.free).bit_length() - 1
+            if rest <= least:
+                return at, self.size - space
+            self._take(least)
         if rest:
-            if self.count >= self.bound:
-                self._take((self.free & -self.free).bit_length() - 1)
             self.bins[rest].append(at)
             self.free |= 1 << rest
             self.count += 1
