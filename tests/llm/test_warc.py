@@ -5,8 +5,10 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from voxloom.llm.common import new_dir
-from voxloom.llm.warc import read_archives, write_archives
+from voxloom.llm.warc import copies_of, read_archives, write_archives
 
 SCHEMA = "page_id long, url string, html string, id long, sha string, kind int, payload string, best long"
 PAGES = [(1, "http://a/", "<p>one</p>"), (2, "http://b/", "<p>one</p>"), (3, None, None), (4, "http://c/ d\r\nX: y", ""), (5, "http://é/", "é" * 1000), (6, "http://long/", "word " * 60_000), (7, "u", "<p>one</p>")]
@@ -76,3 +78,21 @@ def test_empty_and_damage(spark):
         f.write(gzip.compress(data.replace(b"<p>one", b"<p>two")))
     with pytest.raises(Exception, match="digest"):
         read_archives(spark, folder).count()
+
+
+def test_copies_of_one_payload_are_split(spark):
+    """A third of all payloads equal: adaptive execution deals them to several tasks, and each copy is a revisit."""
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "64"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        n = 60_000
+        slim = spark.range(0, n, 1, 8).select("id", F.sha2(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).cast("binary"), 256).alias("sha"))
+        marked = copies_of(slim)
+        rows = marked.collect()
+        assert len(rows) == n // 3 - 1 and {r.best for r in rows} == {n - 3}
+        assert "skew=true" in marked._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -211,7 +211,8 @@ def pseudonyms(docs: DataFrame, key: str, kinds: tuple[str, ...] = KINDS, id_col
     """One row per row of ``docs``: ``id_col, text, n_<kind> ..., n_found, spans``.
 
     text: the whole text with every valid value of the kinds replaced by its pseudonym; invalid ones (a wrong check digit, no
-    such day, an octet above 255) and all else stay as they are. spans: ``kind:start:end`` in code points of the given text,
+    such day, an octet above 255) and all else stay as they are; so does an address with a local part of over 64 characters or
+    over nine labels in its domain, which is no valid one. spans: ``kind:start:end`` in code points of the given text,
     end exclusive. A null text stays null with no spans; repeated rows become equal rows; null identifiers
     stay null. Other columns are ignored, whatever their names; an empty table gives no rows.
     """

@@ -110,6 +110,16 @@ def _write(folder: str, roll_bytes: int, date: str, level: int):
     return run
 
 
+def copies_of(slim: DataFrame) -> DataFrame:
+    """``(id, sha, best)`` of the rows ``(id, sha)`` whose payload a row with a larger identifier, ``best``, holds too.
+
+    The best are dealt anew for the join, by a key that their grouping doesn't have, so that adaptive execution can split a hot payload.
+    """
+    best = slim.groupBy("sha").agg(F.max("id").alias("best"), F.count("*").alias("n")).where("n > 1 AND best IS NOT NULL")
+    dealt = best.select(F.reverse("sha").alias("dealt"), "best")
+    return slim.join(dealt, F.reverse(slim["sha"]) == dealt["dealt"]).where(~F.col("id").eqNullSafe(F.col("best"))).select("id", "sha", "best")
+
+
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, roll_bytes: int = 64 << 20, date: str = "2000-01-01T00:00:00Z", level: int = 6) -> DataFrame:
     """Write a WARC record per row to ``folder`` (a URI that all executors reach) and return the manifest.
 
@@ -124,9 +134,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = pages.select(pages[id_col].cast("long").alias("id"), pages[url_col].cast("string").alias("url"), F.coalesce(pages[payload_col], F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha", F.sha2("payload", 256))
     slim = rows.where(F.octet_length("payload") >= least).select("id", "sha")
-    best = slim.groupBy("sha").agg(F.max("id").alias("best"), F.count("*").alias("n")).where("n > 1 AND best IS NOT NULL").select("sha", "best")
     # A narrow mark sorts right before the rows it makes revisits, so that payloads are shuffled once.
-    marks = slim.join(best, "sha").where(~F.col("id").eqNullSafe(F.col("best"))).select("id", "sha", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "best").distinct()
+    marks = copies_of(slim).select("id", "sha", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "best").distinct()
     both = rows.select("id", "sha", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("best")).unionByName(marks)
     ranged = both.repartitionByRange("id", "sha").sortWithinPartitions("id", "sha", "kind", "url")
     ranged.mapInArrow(_write(folder, roll_bytes, date, level), "file string, records long, bytes long, sha256 string, first_id long, last_id long").write.parquet(f"{folder}/_manifest")
