@@ -1,8 +1,13 @@
 import math
+import os
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +149,35 @@ def test_ids_of_words():
         assert [x.tolist() for x in np.split(ids, ends[:-1])] == [alone(w) for w in some]
 
 
+def test_words_of_texts():
+    """Distinct words and places give what splitting each text gives, with an empty word at its end."""
+    texts = [b"  a  B a\n", b"", b" ", "\u00c9 x\u00a0y\x0b\x0cz\r\tQ".encode(), b"x\x00y \x1c z", b"b"]
+    for some in (texts, texts[1:2], texts[5:], [b"skipped", *texts]):
+        words, at, n = lmscore.texts_of(pa.array(some, pa.binary()).slice(some[0] == b"skipped"))
+        want = [[*t.lower().split(), b""] for t in some if t != b"skipped"]
+        assert [words[k] for k in at] == sum(want, []) and n.tolist() == list(map(len, want)) and len(set(words)) == len(words)
+
+
+FAULTS = """
+import resource
+import numpy as np, pyarrow as pa
+from voxloom.llm import lmscore as m
+classes = m.Classes(np.arange(m.IDS) % m.ROWS, np.zeros(m.IDS), np.zeros(m.GROUPS), np.zeros((m.GROUPS, m.LEAVES)))
+rng = np.random.default_rng(5)
+pieces = [p for _ in range(300) for p in m.pieces_of(rng.integers(0, m.IDS, rng.integers(100, 4000)).astype(np.uint16))]
+batch = pa.RecordBatch.from_pydict({"skip": [k for k, _ in pieces], "ids": [s.tobytes() for _, s in pieces]})
+run, before = m._train("", classes, m.first_parameters(classes), 0.02), resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+(found,) = run(iter([batch]))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before) / found.column("seen")[0].as_py())
+"""
+
+
+def test_training_maps_its_memory_once():
+    """In a process of its own, as a worker has: steps reuse their arrays' memory instead of touching new pages for every one."""
+    said = subprocess.run([sys.executable, "-c", FAULTS], capture_output=True, text=True, timeout=120, check=True, cwd=Path(lmscore.__file__).parents[2], env=os.environ | {"OMP_NUM_THREADS": "1"})
+    assert float(said.stdout) < 0.1
+
+
 def test_pieces_teach_each_id_once(classes):
     for n in (1, 5, lmscore.PIECE - 1, lmscore.PIECE, lmscore.PIECE + 1, 3 * lmscore.PIECE + 40):
         ids = np.random.default_rng(n).integers(0, lmscore.IDS, n).astype(np.uint16)

@@ -16,6 +16,7 @@ parameters, which are averaged by the ids that they saw, and a second round goes
 from __future__ import annotations
 
 import base64
+import ctypes
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +24,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voxloom.llm.common import materialize, read, short_batches
@@ -44,9 +46,15 @@ FREQUENT = 250_000
 _MEMO, _FLUSH, _MANY = 500_000, 600_000, 100_000
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """A-Z in lower case, split at ASCII white space."""
-    return text.lower().split()
+def keep_memory() -> None:
+    """Let this process's allocator (glibc's) hand freed arrays on to the next ones. A fresh process maps the arrays of every step anew,
+    with faults on their pages; one that freed larger arrays before has learnt to keep some."""
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (AttributeError, OSError, TypeError):
+        return
+    mallopt(-3, 1 << 25)  # M_MMAP_THRESHOLD: the largest that it takes
+    mallopt(-1, 1 << 28)  # M_TRIM_THRESHOLD
 
 
 def word_openers(path: str) -> np.ndarray:
@@ -120,15 +128,18 @@ class Lexicon:
         return self.ids[np.arange(int(size.sum())) + np.repeat(self.first[at] - ends + size, size)], ends
 
 
-def texts_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Words of texts, one after the other, each text's followed by the empty word, and the number of each text's words."""
-    words, n = [], []
-    for text in texts:
-        found = words_of(text)
-        words += found
-        words.append(b"")
-        n.append(len(found) + 1)
-    return words, np.array(n, np.int64)
+def texts_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of texts, A-Z in lower case and split at ASCII white space; the place among them of each text's words, followed
+    by the empty word's; and the number of each text's words, that one too."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    words = found.flatten().dictionary_encode()
+    whole = pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary.cast(pa.binary())), b" ")[0].as_py()  # no word has a space
+    distinct, at = whole.split(b" "), words.indices.to_numpy()
+    end = distinct.index(b"") if b"" in distinct else len(distinct)
+    distinct += [b""] * (end == len(distinct))
+    full = at != end  # next to a text's rims there are empty words
+    n = np.diff(np.concatenate([[0], np.cumsum(full)])[np.concatenate([[0], np.cumsum(found.value_lengths().to_numpy())])])
+    return distinct, np.insert(at[full], np.cumsum(n), end), n + 1
 
 
 def pieces_of(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -150,6 +161,7 @@ def _read_texts(path: str):
         return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _READ], schema=_READ)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         lexicon, counts = Lexicon(path), np.zeros(0, np.int64)
 
         def flush() -> pa.RecordBatch:
@@ -160,8 +172,8 @@ def _read_texts(path: str):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            words, n = texts_of(batch.column("text").to_pylist())
-            at, _ = lexicon.numbers(words)
+            words, at, n = texts_of(batch.column("text"))
+            at = lexicon.numbers(words)[0][at]
             more = np.bincount(at, minlength=len(lexicon.words))
             more[: len(counts)] += counts
             counts = more
@@ -343,24 +355,30 @@ def _back() -> np.ndarray:
     return SPAN + np.arange(SPAN)[:, None] - np.arange(SEEN)[None, :]
 
 
+def _scaled(p: dict[str, np.ndarray]) -> np.ndarray:
+    """The weights of queries, keys and values, the former with attention's scale."""
+    w = p["qkv"].copy()
+    w[:, :WIDTH] *= w.dtype.type(WIDTH**-0.5)
+    return w
+
+
 def _qkv(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Queries, keys and values of each block, as views."""
     z = z.reshape(-1, SPAN, 3 * WIDTH)
     return z[..., :WIDTH], z[..., WIDTH : 2 * WIDTH], z[..., 2 * WIDTH :]
 
 
-def _with_before(k: np.ndarray) -> np.ndarray:
-    """Each block after the one before it: what its window sees."""
-    out = np.zeros((len(k), SEEN, WIDTH), k.dtype)
-    out[:, SPAN:] = k
-    out[1:, :SPAN] = k[:-1]
-    return out
+def _with_before(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of each block after those of the one before it, which its window sees: overlapping views of ``z``, which has an
+    empty block in front."""
+    windows = np.lib.stride_tricks.as_strided(z, (len(z) // SPAN - 1, SEEN, 3 * WIDTH), (SPAN * z.strides[0], *z.strides), writeable=False)
+    return windows[..., WIDTH : 2 * WIDTH], windows[..., 2 * WIDTH :]
 
 
 def _to_blocks(d: np.ndarray, out: np.ndarray) -> None:
-    """The adjoint of :func:`_with_before`."""
-    out[:] = d[:, SPAN:]
-    out[:-1] += d[1:, :SPAN]
+    """The adjoint of :func:`_with_before`, for keys or values."""
+    np.add(d[:-1, SPAN:], d[1:, :SPAN], out=out[:-1])
+    out[-1] = d[-1, SPAN:]
 
 
 def forward(p: dict[str, np.ndarray], rows: np.ndarray, fresh: np.ndarray) -> tuple:
@@ -368,14 +386,15 @@ def forward(p: dict[str, np.ndarray], rows: np.ndarray, fresh: np.ndarray) -> tu
     x = p["emb"].take(rows[0].ravel(), axis=0)
     x += p["one"].take(rows[1].ravel(), axis=0)
     x += p["two"].take(rows[2].ravel(), axis=0)
-    q, k, v = _qkv(x @ p["qkv"])
-    q *= np.float32(WIDTH**-0.5)
-    k, v, back = _with_before(k), _with_before(v), _back()
+    z = np.empty((SPAN + len(x), 3 * WIDTH), x.dtype)
+    z[:SPAN] = 0
+    np.matmul(x, _scaled(p), out=z[SPAN:])
+    q, (k, v), back = _qkv(z[SPAN:])[0], _with_before(z), _back()
     a = q @ k.transpose(0, 2, 1)
     np.exp(a, out=a)
     a *= np.where(back >= 0, np.exp(p["near"])[np.maximum(back, 0)], np.float32(0))
     a[fresh, :, :SPAN] = 0
-    total = (a @ np.ones(SEEN, a.dtype))[..., None]
+    total = (a.reshape(-1, SEEN) @ np.ones(SEEN, a.dtype)).reshape(-1, SPAN, 1)
     o = a @ v
     o /= total
     o = o.reshape(-1, WIDTH)
@@ -386,13 +405,6 @@ def forward(p: dict[str, np.ndarray], rows: np.ndarray, fresh: np.ndarray) -> tu
     return x, q, k, v, a, total, o, h1, u, h1 + u @ p["w2"]
 
 
-def _softmax(z: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities (in place of ``z``) and those of the targets."""
-    np.exp(z, out=z)
-    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
-    return z, z[np.arange(len(z)), target]
-
-
 def _by_group(leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, slice]]]:
     """The order of targets by group, their groups and places in that order, and each group's span."""
     group = (leaf // LEAVES).astype(np.int8)
@@ -402,54 +414,61 @@ def _by_group(leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, lis
     return order, group.astype(np.int64), leaf[order] % LEAVES, [(g, slice(a, b)) for g, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
 
 
-def _logits(p: dict[str, np.ndarray], h: np.ndarray, group: np.ndarray, spans: list[tuple[int, slice]]) -> tuple[np.ndarray, np.ndarray]:
-    outer = h @ p["out"]
-    outer += p["bias"]
-    inner = np.empty((len(h), LEAVES), h.dtype)
-    for g, span in spans:
-        np.matmul(h[span], p["leaf"][g], out=inner[span])
-        inner[span] += p["leaf_bias"][g]
-    return outer, inner
+def _output_weights(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each group, the weights and the biases of all groups beside those of its leaves."""
+    w, bias = np.empty((GROUPS, WIDTH, GROUPS + LEAVES), p["out"].dtype), np.empty((GROUPS, GROUPS + LEAVES), p["out"].dtype)
+    w[:, :, :GROUPS], w[:, :, GROUPS:] = p["out"], p["leaf"]
+    bias[:, :GROUPS], bias[:, GROUPS:] = p["bias"], p["leaf_bias"]
+    return w, bias
 
 
-def _outputs(p: dict[str, np.ndarray], h: np.ndarray, group: np.ndarray, place: np.ndarray, spans: list[tuple[int, slice]]) -> tuple:
-    outer, inner = _logits(p, h, group, spans)
-    return *_softmax(outer, group), *_softmax(inner, place)
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The exponentials of ``z`` in its place, as two rows for each of its rows, and these rows' sums: there are as many groups as leaves of one."""
+    np.exp(z, out=z)
+    halves = z.reshape(-1, LEAVES)
+    return halves, halves @ np.ones(LEAVES, z.dtype)
 
 
 def log10_probabilities(p: dict[str, np.ndarray], b: Blocks, leaf: np.ndarray) -> np.ndarray:
     """log10 probability of the leaves ``leaf`` where the mask holds, and 0 elsewhere."""
-    h = forward(p, b.rows, b.fresh)[-1].compress(b.mask.ravel(), axis=0)
-    order, group, place, spans = _by_group(leaf[b.mask])
-    found, out, each = np.empty(len(h)), np.zeros(b.mask.shape), np.arange(len(h))
-    outer, inner = _logits(p, h.take(order, axis=0), group, spans)
-    hit = outer[each, group] + inner[each, place]
-    for z in (outer, inner):
-        np.exp(z, out=z)
-        hit -= np.log(z @ np.ones(z.shape[1], z.dtype))
-    found[order] = hit / np.log(10)
-    out[b.mask] = found
+    h, at, out = forward(p, b.rows, b.fresh)[-1], np.flatnonzero(b.mask), np.zeros(b.mask.shape)
+    order, group, place, spans = _by_group(leaf.ravel()[at])
+    at, (w, bias) = at[order], _output_weights(p)
+    h, z = h.take(at, axis=0), np.empty((len(at), GROUPS + LEAVES), h.dtype)
+    for g, span in spans:
+        np.matmul(h[span], w[g], out=z[span])
+        z[span] += bias[g]
+    start = np.arange(len(at)) * (GROUPS + LEAVES)
+    hit = z.ravel().take(start + group) + z.ravel().take(start + GROUPS + place)
+    hit -= np.log(_exp(z)[1]).reshape(-1, 2).sum(1)
+    out.ravel()[at] = hit / np.log(10)
     return out
 
 
-def _output_gradient(p: dict[str, np.ndarray], g: dict[str, np.ndarray], h: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, float]:
+def _output_gradient(p: dict[str, np.ndarray], g: dict[str, np.ndarray], h: np.ndarray, at: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, float]:
+    """The gradient of ``h``, of which rows ``at`` predict ``leaf``. A group's targets go through all steps together, while they are in the cache."""
     order, group, place, spans = _by_group(leaf)
-    h = h.take(order, axis=0)
-    e, hit, ei, inner = _outputs(p, h, group, place, spans)
-    loss = -float((np.log(np.maximum(hit, 1e-30)) + np.log(np.maximum(inner, 1e-30))).sum())
-    each = np.arange(len(h))
-    e[each, group] -= 1
-    ei[each, place] -= 1
-    g["out"] += h.T @ e
-    g["bias"] += e.sum(0)
-    dh = e @ p["out"].T
+    at, (w, bias) = at[order], _output_weights(p)
+    out, h = np.zeros_like(h), h.take(at, axis=0)
+    dw, db, dh, hit = np.zeros_like(w), np.zeros_like(bias), np.empty_like(h), np.empty((2, len(h)), h.dtype)
     for k, span in spans:
-        g["leaf"][k] += h[span].T @ ei[span]
-        dh[span] += ei[span] @ p["leaf"][k].T
-    g["leaf_bias"][[k for k, _ in spans]] += np.add.reduceat(ei, [span.start for _, span in spans], axis=0)
-    out = np.empty_like(dh)
-    out[order] = dh
-    return out, loss
+        z = h[span] @ w[k]
+        z += bias[k]
+        halves, sums = _exp(z)
+        halves *= (1 / sums)[:, None]
+        flat, to = z.ravel(), np.arange(GROUPS, z.size, GROUPS + LEAVES) + place[span]
+        hit[0, span], hit[1, span] = z[:, k], flat.take(to)
+        z[:, k] -= 1
+        flat[to] = hit[1, span] - 1
+        np.matmul(h[span].T, z, out=dw[k])
+        np.matmul(np.ones(len(z), z.dtype), z, out=db[k])
+        np.matmul(z, w[k].T, out=dh[span])
+    g["out"] += dw[:, :, :GROUPS].sum(0)
+    g["bias"] += db[:, :GROUPS].sum(0)
+    g["leaf"] += dw[:, :, GROUPS:]
+    g["leaf_bias"] += db[:, GROUPS:]
+    out[at] = dh
+    return out, -float(np.log(np.maximum(hit, 1e-30)).sum())
 
 
 def _add_rows(to: np.ndarray, rows: np.ndarray, d: np.ndarray) -> None:
@@ -480,10 +499,11 @@ def _hidden_gradient(p: dict[str, np.ndarray], g: dict[str, np.ndarray], rows: n
     sums = (np.ones(len(da), da.dtype) @ da.reshape(len(da), -1)).reshape(back.shape)
     g["near"] += np.bincount(np.maximum(back, 0).ravel(), (sums * (back >= 0)).ravel(), SEEN).astype(dh.dtype)
     np.matmul(da, k, out=dq)
-    dq *= dh.dtype.type(WIDTH**-0.5)
     _to_blocks(da.transpose(0, 2, 1) @ q, dk)
-    g["qkv"] += x.T @ d
-    dh += d @ p["qkv"].T
+    dw = x.T @ d
+    dw[:, :WIDTH] *= dh.dtype.type(WIDTH**-0.5)
+    g["qkv"] += dw
+    dh += d @ _scaled(p).T
     for name, each in zip(("emb", "one", "two"), rows, strict=True):
         _add_rows(g[name], each.ravel(), dh)
 
@@ -492,9 +512,7 @@ def gradient(p: dict[str, np.ndarray], b: Blocks, leaf: np.ndarray) -> tuple[np.
     """Gradient of the sum of cross entropies where the mask holds, and its value."""
     flat = np.zeros(sum(int(np.prod(s)) for s in _SHAPES.values()), p["emb"].dtype)
     g, held, at = unpack(flat), forward(p, b.rows, b.fresh), np.flatnonzero(b.mask)
-    found, loss = _output_gradient(p, g, held[-1].take(at, axis=0), leaf.ravel()[at])
-    dh = np.zeros_like(held[-1])
-    dh[at] = found
+    dh, loss = _output_gradient(p, g, held[-1], at, leaf.ravel()[at])
     _hidden_gradient(p, g, b.rows, held, dh)
     return flat, loss
 
@@ -539,6 +557,7 @@ def sequence_scores(p: dict[str, np.ndarray], ids: np.ndarray, sizes: np.ndarray
 
 def _train(path: str, classes: Classes, flat: np.ndarray, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         trainer, held, skips, windows = Trainer(flat, classes, rate), [], [], 0
 
         def step() -> None:
@@ -584,6 +603,7 @@ def train(pieces: DataFrame, path: str, classes: Classes, rounds: int = 2, rate:
 
 def _score(path: str, classes: Classes, flat: np.ndarray, frequent: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         lexicon, p, base = Lexicon(path), unpack(flat), np.zeros(0)
         logs = dict(zip(map(str.encode, frequent), np.log10(np.array(list(frequent.values()), np.float64) + 1).tolist(), strict=True))
         for batch in batches:
@@ -592,17 +612,17 @@ def _score(path: str, classes: Classes, flat: np.ndarray, frequent: dict[str, in
             if len(lexicon.words) > _MEMO:
                 lexicon.clear()
                 base = np.zeros(0)
-            words, n = texts_of(batch.column("text").to_pylist())
+            words, place, n = texts_of(batch.column("text"))
             at, known = lexicon.numbers(words)
+            at = at[place]
             base = np.concatenate([base, np.array([logs.get(w, np.nan) for w in lexicon.words[known:]], np.float64)])
             ids, upto = lexicon.spelled(at)
             score = sequence_scores(p, ids, np.diff(upto[np.cumsum(n) - 1], prepend=0), classes)
             first, part = np.cumsum(n) - n, base[at]
             rare = np.isnan(part)
             n_rare = np.add.reduceat(rare.astype(np.int64), first)
-            rest, ends = [words[k] for k in np.flatnonzero(rare).tolist()], np.cumsum(n_rare).tolist()
-            each = [rest[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-            arrays = [batch.column("row"), batch.column("id"), batch.column("held_out"), pa.array(n), pa.array(n - n_rare), pa.array(np.add.reduceat(np.where(rare, 0, part), first)), pa.array(each, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(score)]
+            rest = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]), pa.int32()), pa.array(words, pa.binary()).cast(pa.string()).take(pa.array(place[rare])))
+            arrays = [batch.column("row"), batch.column("id"), batch.column("held_out"), pa.array(n), pa.array(n - n_rare), pa.array(np.add.reduceat(np.where(rare, 0, part), first)), rest, pa.array(score)]
             yield pa.RecordBatch.from_arrays(arrays, names=["row", "id", "held_out", "n", "known", "part", "rest", "score"])
 
     return run
@@ -637,8 +657,8 @@ def language_scores(docs: DataFrame, held_out, path: str, id_col: str = "doc_id"
     short_batches(spark)
     flat = train(found.where("ids IS NOT NULL"), path, classes)
     scored = materialize(rows.mapInArrow(_score(path, classes, flat, frequent), "row long, id long, held_out boolean, n long, known long, part double, rest array<string>, score double"), "scored")
-    rare = scored.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
-    rare = rare.join(words if not least else words.where(F.col("c") < least), "word").groupBy("row").agg(F.sum("k").alias("rare_known"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("rare_part"))
+    rare = scored.select("row", F.explode("rest").alias("word")).join(words if not least else words.where(F.col("c") < least), "word")
+    rare = rare.groupBy("row").agg(F.count("*").alias("rare_known"), F.sum(F.log10(F.col("c") + 1)).alias("rare_part"))
     out = scored.drop("rest").join(rare, "row", "left")
     base = F.col("part") + F.coalesce("rare_part", F.lit(0.0)) - F.col("n") * F.log10(F.lit(float(total + distinct + 1)))
     return out.select(
