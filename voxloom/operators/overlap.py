@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxloom.functions.nulls import ratio
+from voxloom.functions.tables import joined
 
 AXES = ("x", "y", "z")
 
@@ -19,16 +20,17 @@ def class_grid(uids: DataFrame, classes: int) -> DataFrame:
 def overlap_sums(labels: DataFrame, uids: DataFrame, classes: int, keys: Sequence[str] = ("uid",), true: str = "label_true", pred: str = "label_pred") -> DataFrame:
     """``keys, cls, inter, n_pred, n_true`` and coordinate sums ``{t,p}_{x,y,z}`` of aligned hard label rows.
 
-    A voxel whose labels agree gives one row and otherwise two, so classes are not multiplied out; sums are partial before the
-    shuffle. Voxels without a row count as background nowhere: give dense rows if class 0 matters.
+    Voxels are summed by their pair of labels first, and only pairs are dealt to their classes. Voxels without a row count as background
+    nowhere: give dense rows if class 0 matters.
     """
     t, p = F.col(true) == F.col("cls"), F.col(pred) == F.col("cls")
-    rows = labels.withColumn("cls", F.explode(F.array_distinct(F.array(true, pred))))
+    pairs = labels.groupBy(*keys, true, pred).agg(F.count("*").alias("_n"), *[F.sum(a).alias(f"_{a}") for a in AXES])
+    rows = pairs.withColumn("cls", F.explode(F.array_distinct(F.array(true, pred))))
     sums = rows.groupBy(*keys, "cls").agg(
-        F.count_if(t & p).alias("inter"), F.count_if(p).alias("n_pred"), F.count_if(t).alias("n_true"),
-        *[F.sum(F.when(c, F.col(a)).otherwise(0)).cast("long").alias(f"{n}_{a}") for n, c in (("t", t), ("p", p)) for a in AXES],
+        *[F.sum(F.when(c, F.col("_n")).otherwise(0)).alias(n) for n, c in (("inter", t & p), ("n_pred", p), ("n_true", t))],
+        *[F.sum(F.when(c, F.col(f"_{a}")).otherwise(0)).cast("long").alias(f"{n}_{a}") for n, c in (("t", t), ("p", p)) for a in AXES],
     )
-    return class_grid(uids, classes).join(sums, [*keys, "cls"], "left").fillna(0)
+    return joined(class_grid(uids, classes), sums, [*keys, "cls"], "left").fillna(0)
 
 
 def stored_overlap(true: DataFrame, pred: DataFrame, keys: Sequence[str] = ("uid",), axes: Sequence[str] = ("x", "y")) -> DataFrame:

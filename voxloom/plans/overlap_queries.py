@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from voxloom.catalog import query
 from voxloom.functions import scalar
 from voxloom.functions.nulls import six
+from voxloom.functions.tables import joined
 from voxloom.operators import overlap
 from voxloom.plans.fixtures import BLOB, BLOB_HEADERS, CLASSES, LOGITS, NOISE, blob_headers, blob_labels, emb_logits, noise_voxels, with_
 
@@ -20,7 +21,7 @@ s AS (SELECT g.uid, g.cls, any_value(s1) AS s1, any_value(s2) AS s2, any_value(s
 
 def blob_sums(spark, sf_dir):
     heads = blob_headers(spark, sf_dir)
-    return overlap.overlap_sums(blob_labels(spark, sf_dir), heads.select("uid"), CLASSES).join(heads.select("uid", "spacing"), "uid")
+    return joined(overlap.overlap_sums(blob_labels(spark, sf_dir), heads.select("uid"), CLASSES), heads.select("uid", "spacing"), ["uid"])
 
 
 @query("B04_nested_label", with_(NOISE) + "SELECT uid, nested, count(*) AS n FROM (SELECT uid, CASE l WHEN 4 THEN 3 WHEN 1 THEN 2 WHEN 0 THEN 0 ELSE 1 END AS nested FROM (SELECT uid, CASE WHEN p_soft > 0.5 THEN 2 WHEN label_true = 2 THEN 4 ELSE label_true END AS l FROM noise)) GROUP BY ALL")
