@@ -25,6 +25,14 @@ def test_small_tables_are_made_in_many_tasks(spark):
         assert plan(made.groupBy("uid", "x").count()).count("Exchange") == 1  # the one that deals them out
 
 
+def test_exploded_tables_are_not_broadcast(spark):
+    blob = blob_labels(spark, SF)
+    heads = blob.select("uid").distinct()
+    assert "Broadcast" not in plan(overlap.overlap_sums(blob, heads, 4))
+    cleaned = morphology.clean_predictions(us_masks(spark, SF).where("uid < 3"), (64, 48))
+    assert "Broadcast" not in plan(cleaned)
+
+
 def test_sums_by_pairs_of_labels(spark):
     draw = random.Random(3)
     rows = [(draw.choice("ab"), x, y, 0, draw.choice([None, 0, 1, 2]), draw.choice([None, 0, 1, 2])) for x in range(6) for y in range(5)]

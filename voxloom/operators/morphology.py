@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxloom.functions.groups import whole_groups
-from voxloom.functions.tables import cut_lineage
+from voxloom.functions.tables import cut_lineage, joined
 
 #: Lines along each side of a tile of components, and runs that are taken together.
 TILE, ROWS = 64, 1 << 16
@@ -187,24 +187,24 @@ def run_components(runs: DataFrame, keys: Sequence[str] = ("uid",), lines: Seque
         beside = {f"_o_{a}": F.col(a) + v for a, v in zip(lines, s, strict=True)}
         rim = local.withColumns(beside).where(" OR ".join(f"floor(_o_{a} / {TILE}) <> {t}" for a, t in zip(lines, tiles, strict=True)))
         near = rim if near is None else near.unionByName(rim)
-    links = near.join(other, [*keys, *[f"_o_{a}" for a in lines]]).where((F.col("lo") <= F.col("o_hi") + reach) & (F.col("o_lo") <= F.col("hi") + reach))
+    links = joined(near, other, [*keys, *[f"_o_{a}" for a in lines]]).where((F.col("lo") <= F.col("o_hi") + reach) & (F.col("o_lo") <= F.col("hi") + reach))
     links = cut_lineage(links.select(F.col("component").alias("a"), "b").distinct())
     if links.isEmpty():
         return local.drop(*tiles)
     links = cut_lineage(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     label = links.select(F.col("a").alias("run")).distinct().select("run", F.col("run").alias("least"))
     for _ in range(max_rounds):
-        seen = links.join(label.withColumnRenamed("run", "b"), "b").groupBy(F.col("a").alias("run")).agg(F.min("least").alias("m"))
-        least = label.join(seen, "run", "left").select("run", "least", F.least("least", F.coalesce("m", "least")).alias("m"))
+        seen = joined(links, label.withColumnRenamed("run", "b"), ["b"]).groupBy(F.col("a").alias("run")).agg(F.min("least").alias("m"))
+        least = joined(label, seen, ["run"], "left").select("run", "least", F.least("least", F.coalesce("m", "least")).alias("m"))
         jump = least.select(F.col("run").alias("m"), F.col("m").alias("m2"))  # pointer jumping: the label of the run that names the label
         to = F.least("m", F.coalesce("m2", "m"))
-        new = cut_lineage(least.join(jump, "m", "left").select("run", to.alias("new"), (to != F.col("least")).alias("changed")))
+        new = cut_lineage(joined(least, jump, ["m"], "left").select("run", to.alias("new"), (to != F.col("least")).alias("changed")))
         label = new.select("run", F.col("new").alias("least"))
         if new.where("changed").isEmpty():
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    named = local.join(label.withColumnRenamed("run", "component"), "component", "left")
+    named = joined(local, label.withColumnRenamed("run", "component"), ["component"], "left")
     return named.select(*keys, *lines, "lo", "hi", F.coalesce("least", "component").alias("component"))
 
 
@@ -225,13 +225,13 @@ def filled(runs: DataFrame, shape: Sequence[int], keys: Sequence[str] = ("uid",)
     ends = {"x0": F.greatest(F.min("x") - 1, F.lit(0)), "x1": F.least(F.max("x") + 1, F.lit(shape[0] - 1)), "y0": F.greatest(F.min("lo") - 1, F.lit(0)), "y1": F.least(F.max("hi") + 1, F.lit(shape[1] - 1))}
     frame = runs.groupBy(*keys).agg(*[v.alias(n) for n, v in ends.items()])
     held = runs.groupBy(*keys, "x").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("r"))  # at most half as many as a line is long
-    rows = frame.withColumn("x", F.explode(F.sequence("x0", "x1"))).join(held, [*keys, "x"], "left").withColumn("r", F.coalesce("r", F.array().cast("array<struct<lo:int,hi:int>>")))
+    rows = frame.withColumn("x", F.explode(F.sequence("x0", "x1"))).transform(joined, held, [*keys, "x"], "left").withColumn("r", F.coalesce("r", F.array().cast("array<struct<lo:int,hi:int>>")))
     starts = F.concat(F.array("y0"), F.transform("r", lambda r: r["hi"] + 1))
     stops = F.concat(F.transform("r", lambda r: r["lo"] - 1), F.array("y1"))
     gaps = rows.select(*keys, "x", "x0", "x1", "y0", "y1", F.inline(F.arrays_zip(starts.alias("lo"), stops.alias("hi")))).where("lo <= hi")
     gaps = cut_lineage(gaps.select(*keys, "x", "lo", "hi", F.expr("x = x0 OR x = x1 OR lo = y0 OR hi = y1").alias("open")))
-    back = run_components(gaps.drop("open"), keys, diagonal=False).join(gaps, [*keys, "x", "lo", "hi"])
-    holes = back.join(back.where("open").select(*keys, "component").distinct(), [*keys, "component"], "left_anti")
+    back = joined(run_components(gaps.drop("open"), keys, diagonal=False), gaps, [*keys, "x", "lo", "hi"])
+    holes = joined(back, back.where("open").select(*keys, "component").distinct(), [*keys, "component"], "left_anti")
     return covered(runs.unionByName(holes.select(*keys, "x", "lo", "hi")), F.lit(1), keys)
 
 
@@ -256,7 +256,7 @@ def selected(runs: DataFrame, threshold: float = 0.75, axis: str = "y", keys: Se
     two = ranked_components(labelled, axis, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "component", "n", "left"))).alias("c"))
     a, b = F.get("c", F.lit(0)), F.get("c", F.lit(1))
     keep = F.when(F.size("c") == 1, a["component"]).when(b["n"] <= threshold * a["n"], a["component"]).when(a["left"] < b["left"], a["component"]).otherwise(b["component"])
-    return labelled.join(two.select(*keys, keep.alias("component")), [*keys, "component"], "left_semi").select(*keys, "x", "lo", "hi")
+    return joined(labelled, two.select(*keys, keep.alias("component")), [*keys, "component"], "left_semi").select(*keys, "x", "lo", "hi")
 
 
 def select_component(rows: DataFrame, threshold: float = 0.75, axis: str = "y", keys: Sequence[str] = ("uid",)) -> DataFrame:
@@ -273,4 +273,4 @@ def clean_mask(rows: DataFrame, shape: Sequence[int], erode_by, dilate_by, open_
 def clean_predictions(voxels: DataFrame, shape: Sequence[int], elements=ULTRASOUND, threshold: float = 0.75, keys: Sequence[str] = ("uid",), pred: str = "label_pred") -> DataFrame:
     """Voxel rows with the foreground of ``pred`` cleaned to 0 and 1, others unchanged: a ``post`` hook of an evaluation."""
     kept = clean_mask(voxels.where(F.col(pred) > 0).select(*keys, "x", "y"), shape, *elements, threshold, keys).withColumn("_kept", F.lit(1))
-    return voxels.join(kept, [*keys, "x", "y"], "left").withColumn(pred, F.coalesce("_kept", F.lit(0))).drop("_kept")
+    return joined(voxels, kept, [*keys, "x", "y"], "left").withColumn(pred, F.coalesce("_kept", F.lit(0))).drop("_kept")
