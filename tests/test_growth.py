@@ -43,3 +43,38 @@ def test_sums_by_pairs_of_labels(spark):
         t, p = ([q for q in rows if q[0] == uid and q[k] == cls] for k in (4, 5))
         assert (r.inter, r.n_true, r.n_pred) == (sum(q in p for q in t), len(t), len(p))
         assert (r.t_x, r.t_y, r.p_x, r.p_y) == (sum(q[1] for q in t), sum(q[2] for q in t), sum(q[1] for q in p), sum(q[2] for q in p))
+
+
+def test_small_files_are_read_by_many_tasks_in_few_batches(spark, tmp_path):
+    for k in range(1200):
+        (tmp_path / f"v{k}.nii").write_bytes(volumes.make_header((2, 2, 1), 1, (1, 1, 1), (0, 0, 0), (1, 0, 0, 0, 1, 0, 0, 0, 1), 16) + bytes([0, 0, 0, 0] * 4))
+    reader = volumes.VolumeReader({"path": f"file://{tmp_path}", "block": "1,1,1"})
+    parts = reader.partitions()
+    assert len(parts) >= 3 and sum(len(p.pieces) for p in parts) == 1200
+    batches = list(reader.read(parts[0]))
+    assert sum(b.num_rows for b in batches) == 4 * len(parts[0].pieces) and len(batches) <= 3
+    assert volumes.read_volumes(spark, f"file://{tmp_path}", (1, 1, 1)).count() == 4800
+
+
+def test_files_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(64).selectExpr("id AS uid", "0 AS x", "0 AS y", "0.5D AS value")
+    volumes.write_grey_images(rows, f"file://{tmp_path}/i")
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [s.numTasks for j in tracker.getJobIdsForGroup(None) for i in tracker.getJobInfo(j).stageIds if (s := tracker.getStageInfo(i))]
+    assert tasks[-1] > 1 or max(tasks) > 1
+    for bad in ([(0, 1), (0, 1)], [(1, 1)], [(0, 1), (2, 1)]):  # a pixel twice, the first one or one between missing
+        with pytest.raises(Exception, match="missing or repeated"):
+            volumes.write_grey_images(spark.createDataFrame([("g", x, 0, 0.5) for x, _ in bad], "uid string, x int, y int, value double"), f"file://{tmp_path}/b")
+
+
+def test_large_and_sparse_tiles(spark):
+    full = spark.range(64**3).selectExpr("1L AS uid", "cast(id div 4096 AS int) AS x", "cast(id div 64 % 64 AS int) AS y", "cast(id % 64 AS int) AS z", "cast(id AS float) AS value")
+    began = time.perf_counter()
+    assert list(grids.to_tiles(full, (64, 64, 64), ["x", "y", "z"]).first().data) == [float(k) for k in range(64**3)]
+    assert time.perf_counter() - began < 60  # as a map it took the square of the tile's voxels
+    few = spark.createDataFrame([(1, 5, 2, 7.0), (1, 9, 0, None), (2, 0, 0, 1.0)], "uid long, x int, y int, value double")
+    got = {(r.uid, r.ox, r.oy): list(r.data) for r in grids.to_tiles(few, (3, 3), ["x", "y"]).collect()}
+    none = [None] * 9
+    assert got == {(1, 3, 0): [*none[:8], 7.0], (1, 9, 0): none, (2, 0, 0): [1.0, *none[1:]]}
+    with pytest.raises(Exception, match="given twice"):
+        grids.to_tiles(few.unionByName(few), (3, 3), ["x", "y"]).collect()
