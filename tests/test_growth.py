@@ -99,3 +99,22 @@ def test_shared_draws_are_the_keyed_ones(spark):
     df = spark.createDataFrame([(k // 7 if k % 5 else None, f"n{k % 3}") for k in range(50)], "a long, b string")
     both = df.select(*[f(7, "n", *keys).alias(f"{n}{len(keys)}") for n, f in (("k", keyed_uniform), ("s", shared_uniform)) for keys in (("a",), ("a", "b"))])
     assert all(r.k1 == r.s1 and r.k2 == r.s2 for r in both.collect())
+
+
+def test_stops_of_runs_in_one_bucket(spark, tmp_path):
+    """Runs that share a bucket's state, over arrivals that are folded in between, against a plain loop."""
+    draw = random.Random(1)
+    rows = [(run, step, draw.random()) for run in range(9) for step in range(0, 60, run + 1)]
+    for k in range(3):
+        spark.createDataFrame([r for r in rows if r[1] // 20 == k], "run long, step long, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = history.early_stops(spark.readStream.schema("run long, step long, value double").parquet(f"{tmp_path}/in"), 3, 0.05, late=5, buckets=1)
+        found = history.run_to_end(stream, f"file://{tmp_path}", "update")
+    got = {r.run: tuple(r.s) for r in found.groupBy("run").agg(F.max_by(F.struct("n", "stop_step", "best"), "n").alias("s")).collect()}
+    for run in range(9):
+        values, best, wait, stop = [(s, v) for r, s, v in rows if r == run], None, 0, None
+        for s, v in values:
+            if stop is None:
+                better = best is None or v - best > 0.05
+                best, wait = (v, 0) if better else (best, wait + 1)
+                stop = s if wait >= 3 else None
+        assert got[run] == (len(values), stop, best)
