@@ -101,6 +101,18 @@ def test_shared_draws_are_the_keyed_ones(spark):
     assert all(r.k1 == r.s1 and r.k2 == r.s2 for r in both.collect())
 
 
+def test_scores_side_by_side(spark):
+    draw = random.Random(5)
+    rows = [(u, x, c, draw.uniform(-3, 3)) for u in "ab" for x in range(20) for c in (0, 1, 5) if draw.random() < 0.8] + [("a", 20, 0, 1.0), ("a", 20, 1, 1.0), ("b", 21, 5, None)]
+    df, voxel = spark.createDataFrame(rows, "uid string, x int, cls int, logit double"), ["uid", "x"]
+    wide = reports.class_columns(df, voxel, [0, 1, 5])
+    told = lambda t: {(r.uid, r.metric): r.value for r in t.collect()}
+    assert told(reports.confidence_of_columns(wide, [0, 1, 5])) == told(reports.confidence_report(df, voxel))
+    assert {tuple(r) for r in reports.largest_column(wide, voxel, [0, 1, 5]).collect()} == {tuple(r) for r in reports.largest_class(df, voxel).collect()}
+    with pytest.raises(Exception, match="given twice"):
+        reports.class_columns(df.unionByName(df), voxel, [0, 1, 5]).collect()
+
+
 def test_stops_of_runs_in_one_bucket(spark, tmp_path):
     """Runs that share a bucket's state, over arrivals that are folded in between, against a plain loop."""
     draw = random.Random(1)
